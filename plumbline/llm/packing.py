@@ -69,9 +69,10 @@ def pack(
     # a number for each row that doesn't change when a task runs again: its place in the table just written
     left = rows.select("row", "n", F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index")).alias("deal"))
     done: list[DataFrame] = []
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, n bigint, deal bigint, bin bigint, offset bigint, open boolean"
+    schema = f"row {rows.schema['row'].dataType.simpleString()}, n bigint, deal bigint, bin bigint, offset bigint, open boolean, group bigint"
 
     def packed(pdf: pd.DataFrame, again: bool) -> pd.DataFrame:
+        group = pdf["group"].iloc[0]
         pdf = pdf.sort_values(["n", "deal"], ascending=[False, True]) if again else pdf.sort_values("deal")
         pdf = pdf.reset_index(drop=True)
         n = pdf["n"].to_numpy()
@@ -80,13 +81,14 @@ def pack(
         bins[some], offsets[some] = sum_of_squares(n[some], capacity)
         filled = np.bincount(bins, n, minlength=1)
         offsets[~some] = filled[0]
-        return pdf.assign(bin=bins, offset=offsets, open=filled[bins] < reopen_below * capacity)[["row", "n", "deal", "bin", "offset", "open"]]
+        return pdf.assign(bin=bins, offset=offsets, open=filled[bins] < reopen_below * capacity, group=group)[["row", "n", "deal", "bin", "offset", "open", "group"]]
 
     for k in range(rounds):
         count = left.count()
         groups = max(1, -(-count // group_pieces))
         dealt = left.withColumn("group", F.pmod(F.xxhash64("deal", F.lit(k)), F.lit(groups)))
-        out = dealt.groupBy("group").applyInPandas(lambda key, pdf, k=k: packed(pdf.drop(columns="group"), k > 0).assign(group=key[0]), schema + ", group bigint")
+        pack_group = (lambda pdf: packed(pdf, True)) if k else (lambda pdf: packed(pdf, False))
+        out = dealt.groupBy("group").applyInPandas(pack_group, schema)
         out = saved(out, f"packed{k}")
         last = k == rounds - 1 or (k > 0 and groups == 1)
         closed = out if last else out.filter(~F.col("open"))
