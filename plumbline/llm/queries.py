@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, quality, tokens
-from .common import table
+from . import chat, embeddup, langid, licenses, materialize, mixing, neardup, packing, quality, sharding, tokens
+from .common import scratch_dir, table
+
+#: Byte limit of a shard.
+SHARD_BYTES = 1 << 20
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -23,10 +27,22 @@ def pieces_of(docs: DataFrame) -> DataFrame:
     return cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    labelled = langid.label_documents(docs.select("doc_id", "text"), langid.fit(docs))
+    return labelled.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces_of(table(spark, sf_dir, "documents")), capacity=2048)
 
 
+def op3_materialize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = f"{scratch_dir(spark)}/training-{uuid.uuid4().hex}"
+    return materialize.materialize(docs, tokenizer_path=tokenizer_path(), key=20_24, folder=folder)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), total_share=1.5, max_epochs=2.0)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -54,9 +70,39 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return neardup.ngram_jaccard_classes(docs, shingle_words=5, similarity_percent=80).drop("node")
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, placed = sharding.extendible_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), limit_bytes=SHARD_BYTES)
+    return placed
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    # the table has no paths: a document's directory is its source and its id's hundreds, and each directory's first is its license file
+    name = F.when(F.col("doc_id") % 100 == 0, F.lit("LICENSE")).otherwise(F.concat(F.lit("doc-"), F.col("doc_id")))
+    path = F.concat_ws("/", F.lit(""), F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 1000), F.floor(F.col("doc_id") / 100), name)
+    scanned = licenses.own_licenses(docs.withColumn("path", path)).select("doc_id", "path", "own_license", "own_score", "own_line")
+    return licenses.inherited_licenses(scanned)
+
+
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return embeddup.embedding_duplicates(vectors, similarity=0.95)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
     "op2_packing": op2_packing,
+    "op3_materialize": op3_materialize,
     "op4_mixing": op4_mixing,
     "op5_chat": op5_chat,
     "op6_quality": op6_quality,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_sharding": op8_sharding,
+    "op9_licenses": op9_licenses,
+    "op10_embeddings": op10_embeddings,
 }

@@ -8,6 +8,7 @@ tokenizers of which this isn't true.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,7 @@ class WordEncoder:
     """Encodes texts by their words; one for each Python worker and tokenizer file."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use all cores
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kept = Tokenizer.from_file(path), {}
@@ -60,14 +62,14 @@ class WordEncoder:
         coded = lists.flatten().dictionary_encode()
         ids = self._ids(coded.dictionary.to_pylist())
         flat = np.frombuffer(b"".join(ids), np.uint32)
-        lengths = np.array([len(x) // 4 for x in ids], np.int64)
-        starts = np.concatenate([[0], np.cumsum(lengths)])[:-1] if len(ids) else np.zeros(0, np.int64)
+        lengths = np.fromiter(map(len, ids), np.int32, len(ids)) // 4  # 32 bits do: a portion has BATCH_BYTES or one text
+        starts = np.cumsum(lengths, dtype=np.int32) - lengths
         index = coded.indices.to_numpy(zero_copy_only=False)
         n = lengths[index]
-        ends = np.cumsum(n)
-        out = flat[np.repeat(starts[index] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        ends = np.cumsum(n, dtype=np.int32)
+        out = flat[np.repeat(starts[index] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
         offsets = lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()
-        stops = np.concatenate([[0], ends])[offsets]
+        stops = np.concatenate([[0], ends])[offsets].astype(np.int64)
         if end_id is None:
             return out, stops
         return np.insert(out, stops, np.uint32(end_id)), stops + np.arange(1, len(stops) + 1)
@@ -84,10 +86,10 @@ def _portions(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
 
 def token_pieces(
     docs: DataFrame, *, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = 2048,
-    end_id: int | None = 0, whole_texts: bool = False,
+    end_id: int | None = 0, whole_texts: bool = False, id_bytes: int = 4,
 ) -> DataFrame:
     """Pieces of at most ``max_tokens`` ids: id_col, piece (from 0), start (ids of the document before
-    it), length and ids (binary: unsigned 32-bit, little endian). Null text is empty; a document
+    it), length and ids (binary: unsigned, little endian, of ``id_bytes`` bytes, 2 or 4). Null text is empty; a document
     without any id (empty, and no ``end_id``) has no piece; repeated rows have pieces each."""
     spark = docs.sparkSession
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
@@ -105,8 +107,10 @@ def token_pieces(
                 piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
                 start = piece * max_tokens
                 length = np.minimum(sizes[row] - start, max_tokens)
-                bounds = np.concatenate([[0], np.cumsum(length)]).astype(np.int32) * 4  # pieces follow one another in ids
-                data = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(ids.astype("<u4").tobytes())])
+                bounds = np.concatenate([[0], np.cumsum(length)]).astype(np.int32) * id_bytes  # pieces follow one another in ids
+                if id_bytes == 2 and len(ids) and ids.max() > 0xFFFF:
+                    raise ValueError("an id doesn't fit in 2 bytes")
+                data = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(ids.astype(f"<u{id_bytes}").tobytes())])
                 yield pa.RecordBatch.from_arrays(
                     [part["id"].take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), data],
                     ["id", "piece", "start", "length", "ids"],
