@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -29,10 +30,21 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     survives lost executors, and lets several readers share one computation."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # what was shuffled for the table isn't needed once it is written
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``df`` (narrow, and cheap to count, such as a saved table), to be broadcast if it has few rows;
+    a join with a larger one is left to Spark, which shuffles."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -245,7 +245,8 @@ def label_documents(docs: DataFrame, model: Model, *, text_col: str = "text", sp
 
     schema = T.StructType([*keep.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     if spans:
-        schema.add("spans", "array<struct<lang:string,first_word:bigint,n_words:bigint>>")
+        run = [T.StructField("lang", T.StringType()), T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType())]
+        schema.add("spans", T.ArrayType(T.StructType(run)))
     return keep.mapInArrow(label, schema)
 
 

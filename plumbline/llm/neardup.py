@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import free_name, saved, small
 from .components import connected_components
 from .tokens import BATCH_ROWS, _portions
 
@@ -88,14 +88,14 @@ def _sketched(docs: DataFrame, size: int, percent: int) -> DataFrame:
                         least = [_stir(tokens.view(np.uint64) * s).min() for s in _SALTS] if len(tokens) else [np.uint64(0)] * 2 * KEYS
                         keys.append([int((least[2 * k] * _MIX + least[2 * k + 1] + np.uint64(k)).view(np.int64)) for k in range(KEYS)])
                     prefixes.append(tokens[: prefix_length(len(tokens), percent)] if len(tokens) else tokens)
-                columns = [part["id"], pa.array(n, pa.int64()), pa.array(nodes, pa.binary())]
+                columns = [part["id"], part["hash"], pa.array(n, pa.int64()), pa.array(nodes, pa.binary())]
                 columns += [pa.array([x[k] for x in keys], pa.int64()) for k in range(KEYS)]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype(np.int32)
                 columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes))))
-                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "node", *[f"key{k}" for k in range(KEYS)], "prefix"])
+                yield pa.RecordBatch.from_arrays(columns, ["id", "hash", "n", "node", *[f"key{k}" for k in range(KEYS)], "prefix"])
 
-    schema = "id bigint, n bigint, node binary, " + ", ".join(f"key{k} bigint" for k in range(KEYS)) + ", prefix array<bigint>"
-    return docs.mapInArrow(sketch, schema)
+    schema = "id bigint, hash bigint, n bigint, node binary, " + ", ".join(f"key{k} bigint" for k in range(KEYS)) + ", prefix array<bigint>"
+    return docs.mapInArrow(sketch, schema).withColumn("row", F.monotonically_increasing_id())
 
 
 class _Join:
@@ -103,16 +103,20 @@ class _Join:
 
     def __init__(self, texts: DataFrame, size: int, percent: int, group_size: int, frequent: int):
         self.texts, self.size, self.percent, self.group_size, self.frequent = texts, size, percent, group_size, frequent
-        self.rows = saved(_sketched(texts, size, percent), "sketches")
-        filled = self.rows.filter("n > 0").withColumn("pick", F.coalesce("id", F.lit(-(2**63))))
-        classes = filled.groupBy("node").agg(F.min("pick").alias("pick"), F.min("id").alias("least_id"), F.first("n").alias("n"), *[F.first(f"key{k}").alias(f"key{k}") for k in range(KEYS)])
-        self.nodes = saved(classes.withColumn("uid", F.monotonically_increasing_id()), "nodes")
-        held = filled.select("node", "pick", "prefix").join(self.nodes.select("node", "pick", "uid", "n"), ["node", "pick"])
-        self.prefixes = saved(held.groupBy("uid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")), "prefixes")
+        self.rows = saved(_sketched(texts.withColumn("hash", F.xxhash64("text")), size, percent), "sketches")
+        # the row that stands for a node: its id and text tell it in the table of texts
+        head = F.struct(F.coalesce("id", F.lit(-(2**63))).alias("pick"), "hash", "row").alias("head")
+        classes = self.rows.filter("n > 0").select("*", head).groupBy("node").agg(F.min("head").alias("head"), F.min("id").alias("least_id"), F.first("n").alias("n"), *[F.first(f"key{k}").alias(f"key{k}") for k in range(KEYS)])
+        self.nodes = saved(classes.select("node", "head.pick", "head.hash", F.col("head.row").alias("uid"), "least_id", "n", *[f"key{k}" for k in range(KEYS)]), "nodes")
+
+    def texts_of(self, uids: DataFrame) -> DataFrame:
+        """uid and text of the given nodes, each once."""
+        wanted = saved(self.nodes.join(uids.distinct(), "uid", "left_semi").select("uid", "pick", "hash"), "wanted")
+        keyed = self.texts.select(F.coalesce("id", F.lit(-(2**63))).alias("pick"), F.xxhash64("text").alias("hash"), "text")
+        return keyed.join(small(wanted), ["pick", "hash"]).select("uid", "text").dropDuplicates(["uid"])
 
     def sets(self, uids: DataFrame) -> DataFrame:
         """uid and whole set (array) of the given nodes, made again from their texts."""
-        wanted = self.nodes.join(uids.distinct(), "uid", "left_semi").select("uid", "pick", "node")
         size = self.size
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,20 +125,28 @@ class _Join:
                     made = list(shingle_sets(part["text"], size))
                     offsets = np.concatenate([[0], np.cumsum([len(x) for x in made])]).astype(np.int32)
                     values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(made)))
-                    yield pa.RecordBatch.from_arrays([part["uid"], part["node"], pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in made], pa.binary()), values], ["uid", "node", "made", "tokens"])
+                    yield pa.RecordBatch.from_arrays([part["uid"], values], ["uid", "tokens"])
 
-        picked = self.texts.withColumn("pick", F.coalesce("id", F.lit(-(2**63)))).join(wanted, "pick").select("uid", "node", "text")
-        out = picked.mapInArrow(whole, "uid bigint, node binary, made binary, tokens array<bigint>").filter("node = made")  # an id may stand at other texts too
-        return out.groupBy("uid").agg(F.first("tokens").alias("tokens"))
+        return self.texts_of(uids).mapInArrow(whole, "uid bigint, tokens array<bigint>")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sets are similar enough."""
+        """The pairs (a, b) whose whole sets are similar enough. Texts travel, as they are smaller than sets."""
         pairs = saved(pairs, "pairs")
-        sets = saved(self.sets(pairs.select(F.col("a").alias("uid")).union(pairs.select("b"))), "sets")
-        one, two = (sets.select(F.col("uid").alias(x), F.col("tokens").alias(f"{x}_tokens")) for x in ("a", "b"))
-        both = pairs.join(two, "b").join(one, "a")
-        shared = both.select("a", "b", (F.size("a_tokens") + F.size("b_tokens")).alias("sum"), F.size(F.array_intersect("a_tokens", "b_tokens")).alias("shared"))
-        return saved(shared.filter(100 * F.col("shared") >= self.percent * (F.col("sum") - F.col("shared"))).select("a", "b"), "links")
+        texts = self.texts_of(pairs.select(F.col("a").alias("uid")).union(pairs.select("b")))
+        one, two = (texts.select(F.col("uid").alias(x), F.col("text").alias(f"{x}_text")) for x in ("a", "b"))
+        size, percent = self.size, self.percent
+
+        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in _portions(batch, "a_text"):
+                    keep = []
+                    for x, y in zip(shingle_sets(part["a_text"], size), shingle_sets(part["b_text"], size), strict=True):
+                        shared = len(np.intersect1d(x, y, assume_unique=True))
+                        keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
+                    yield part.select(["a", "b"]).filter(pa.array(keep))
+
+        both = pairs.join(two, "b").join(one, "a").select("a", "b", "a_text", "b_text")
+        return saved(both.mapInArrow(check, "a bigint, b bigint"), "links")
 
     def first_links(self) -> DataFrame:
         """Links between a node and the one that stands for its MinHash key."""
@@ -144,35 +156,49 @@ class _Join:
         close = 100 * F.least("n", "m") >= self.percent * F.greatest("n", "m")
         return self.verified(pairs.filter(close).select("a", "b").distinct())
 
-    def reordered(self, rows: DataFrame) -> DataFrame:
-        """Prefix rows (uid, n, component, chunk, token) under the order that puts frequent tokens last."""
-        spread = lambda r: r.groupBy("token", "component", "chunk").agg(F.lit(1).alias("one")).groupBy("token").agg(F.count("*").alias("groups")).filter(F.col("groups") > self.frequent).select("token")
-        often = saved(spread(rows), "often")
+    def prefix_rows(self, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The nodes with their group (uid, n, component, chunk), and those of their prefixes' rows that may
+        meet another component's, under the order that puts frequent tokens last."""
+        sizes = labels.groupBy("component").agg(F.ceil(F.count("*") / F.lit(self.group_size)).alias("chunks"))
+        grouped = labels.join(sizes, "component").select(F.col("node").alias("uid"), "component", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"))
+        members = saved(
+            self.nodes.select("uid", "n").join(grouped, "uid", "left")
+            .select("uid", "n", F.coalesce("component", "uid").alias("component"), F.coalesce("chunk", F.lit(0)).alias("chunk")), "members",
+        )
+        held = self.rows.select(F.col("row").alias("uid"), "prefix").join(small(members), "uid")
+        rows = held.select("uid", "n", "component", "chunk", F.explode("prefix").alias("token"))
+        met = saved(rows.join(small(self._met(rows)), "token", "left_semi"), "met")
+
+        def spread(r: DataFrame) -> DataFrame:
+            groups = r.groupBy("token", "component", "chunk").agg(F.lit(1).alias("one")).groupBy("token").agg(F.count("*").alias("groups"))
+            return groups.filter(F.col("groups") > self.frequent).select("token")
+
+        often = saved(spread(met), "often")
         if often.isEmpty():
-            return rows
-        members = rows.drop("token").distinct()
-        touched = rows.join(often, "token", "left_semi").select("uid").distinct()
-        seen = saved(self.sets(touched), "touched").join(members, "uid").select("uid", "component", "chunk", F.explode("tokens").alias("token"))
-        often = saved(often.union(spread(seen)).distinct(), "often")
-        touched = saved(rows.join(often, "token", "left_semi").select("uid").distinct(), "touched")
+            return members, met
+        touched = met.join(small(often), "token", "left_semi").select("uid")
+        whole = self.sets(touched).join(small(members), "uid").select("uid", "component", "chunk", F.explode("tokens").alias("token"))
+        often = saved(often.union(spread(whole)).distinct(), "often")
+        # one order for all: every node with a frequent token in its prefix gets a new one, with the next tokens in their place
+        touched = saved(rows.join(small(often), "token", "left_semi").select("uid").distinct(), "touched")
         sets = saved(self.sets(touched), "sets")
-        late = sets.select("uid", F.explode("tokens").alias("token")).join(often, "token", "left_semi").groupBy("uid").agg(F.sort_array(F.collect_list("token")).alias("late"))
+        late = sets.select("uid", F.explode("tokens").alias("token")).join(small(often), "token", "left_semi").groupBy("uid").agg(F.sort_array(F.collect_list("token")).alias("late"))
         late = sets.join(late, "uid").withColumn("ordered", F.concat(F.sort_array(F.array_except("tokens", "late")), F.col("late")))
         n = F.size("tokens")
         length = n - F.ceil(n * self.percent / F.lit(100)).cast("int") + 1
-        anew = late.select("uid", F.explode(F.slice("ordered", 1, length)).alias("token")).join(members, "uid").select(*rows.columns)
-        return rows.join(touched, "uid", "left_anti").unionByName(anew)
+        anew = saved(late.select("uid", F.explode(F.slice("ordered", 1, length)).alias("token")).join(small(members), "uid").select(*rows.columns), "anew")
+        partners = rows.join(small(saved(anew.select("token").distinct(), "tokens")), "token", "left_semi").select(*rows.columns)
+        old = met.select(*rows.columns).unionByName(partners).join(small(touched), "uid", "left_anti").distinct()
+        rows = saved(old.unionByName(anew), "rows")
+        return members, rows.join(small(self._met(rows)), "token", "left_semi")
+
+    def _met(self, rows: DataFrame) -> DataFrame:
+        """Tokens that more than one component holds; most stand in one only and make no candidate."""
+        return saved(rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token"), "shared")
 
     def matrix_links(self, labels: DataFrame) -> DataFrame:
         """Links between different components of ``labels``, by the token-group matrix."""
-        sizes = labels.groupBy("component").agg(F.ceil(F.count("*") / F.lit(self.group_size)).alias("chunks"))
-        grouped = labels.join(sizes, "component").select(F.col("node").alias("uid"), "component", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"))
-        members = saved(
-            self.prefixes.join(grouped, "uid", "left")
-            .select("uid", "n", F.coalesce("component", "uid").alias("component"), F.coalesce("chunk", F.lit(0)).alias("chunk"), "prefix"), "members",
-        )
-        rows = members.select("uid", "n", "component", "chunk", F.explode("prefix").alias("token"))
-        rows = saved(self._met(self.reordered(rows)), "rows")
+        members, rows = self.prefix_rows(labels)
         matrix = rows.groupBy("token", "component", "chunk").agg(F.min("n").alias("least"), F.max("n").alias("most"))
         matrix = matrix.select("token", F.col("component").alias("g"), F.col("chunk").alias("c"), "least", "most")
         t = self.percent / 100
@@ -191,11 +217,6 @@ class _Join:
         pairs = opened.join(inside, ["g", "c"]).filter(100 * F.least("n", "m") >= self.percent * F.greatest("n", "m"))
         return self.verified(pairs.select("a", "b").distinct())
 
-    def _met(self, rows: DataFrame) -> DataFrame:
-        """Rows of the tokens that more than one component holds; most stand in one only and make no candidate."""
-        shared = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
-        return rows.join(saved(shared, "shared"), "token", "left_semi")
-
 
 def ngram_jaccard_classes(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity_percent: int = 80,
@@ -217,3 +238,14 @@ def ngram_jaccard_classes(
     ids = saved(placed.join(smallest, "component").select("node", "component_id"), "classes")
     out = join.rows.select("id", "n", "node").join(ids, "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), "node")
+
+
+def one_of_each_class(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` with one row of each class: that of the smallest id (null last), of equal ones the first
+    in the table. Rows whose texts have no word are classes of their own and all stay."""
+    number = free_name(docs, "row_number")
+    rows = saved(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    classes = ngram_jaccard_classes(rows, id_col=number, text_col=text_col, **how).select(F.col(number).alias("at"), "component_id")
+    placed = rows.select(F.col(number).alias("at"), F.col(id_col).alias("id")).join(classes, "at")
+    first = placed.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at")).alias("first")).select(F.col("first.at").alias(number))
+    return rows.join(saved(first, "kept"), number, "left_semi").drop(number)

@@ -7,8 +7,8 @@ with those of its language, gathered over all documents, by the Jensen-Shannon d
 Defined results: null or empty text has no words and fails the base rules; a null language
 counts as a language of its own; a language whose documents have fewer than
 ``min_reference_words`` words together gives no verdict, as do texts below the minimum
-lengths; repeated rows are judged one by one and alike; extra columns are ignored by
-``quality_verdicts``, whatever their names.
+lengths; repeated rows are judged one by one and alike; an empty table gives no rows; columns
+that aren't carried are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -57,7 +57,10 @@ def repeated_window_words(words: Column, size: int = 3) -> Column:
             near = lambda x, j: (F.get(s, j - 1)["h"] == x["h"]) | (F.get(s, j + 1)["h"] == x["h"])
             return F.transform(F.filter(s, lambda x, j: F.coalesce(near(x, j), F.get(s, j + 1)["h"] == x["h"], F.get(s, j - 1)["h"] == x["h"], F.lit(False))), lambda x: x["i"])
 
-        shifted = lambda r: F.flatten(F.array(*[F.transform(r, lambda x, k=k: x + k) for k in range(size)]))
+        def shift(r: Column, by: int) -> Column:
+            return F.transform(r, lambda x: x + by)
+
+        shifted = lambda r: F.flatten(F.array(*[shift(r, k) for k in range(size)]))
         return F.size(F.array_distinct(bound(bound(pairs, starts), shifted)))
 
     return bound(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h)))
@@ -71,18 +74,18 @@ def _common_words(docs: DataFrame, top: int) -> DataFrame:
 
 
 def _features(docs: DataFrame, is_known) -> DataFrame:
-    """Counts of each document (columns doc_id, lang, text, words, common). ``is_known`` tells the
+    """Counts of each document (columns row, lang, text, words, common). ``is_known`` tells the
     words that some list of common words holds."""
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     once = docs.select(
-        "doc_id", "lang", "words", "common", text.alias("text"),
+        "row", "lang", "words", "common", text.alias("text"),
         F.regexp_replace(text, r"\p{Ll}+", "").alias("rest"), lines.alias("lines"),
         F.filter("words", is_known).alias("known"),
     )
     count = lambda what: F.regexp_count("rest", F.lit(what)).cast("long")
     counted = once.select(
-        "doc_id", "lang", "common",
+        "row", "lang", "common",
         F.size("words").cast("long").alias("n_words"),
         count(SYMBOLS).alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -96,7 +99,7 @@ def _features(docs: DataFrame, is_known) -> DataFrame:
     other = F.col("n_chars") - sum((F.col(c) for c in named[1:]), F.col(named[0]))
     hit = F.aggregate("hits", F.lit(0.0), lambda a, v: a + v)
     return counted.select(
-        "doc_id", "lang", "n_words", (F.col("n_chars") - F.col("space")).alias("word_chars"), "n_symbols", "n_dup_lines", "n_repeat_words",
+        "row", "lang", "n_words", (F.col("n_chars") - F.col("space")).alias("word_chars"), "n_symbols", "n_dup_lines", "n_repeat_words",
         F.array(*[F.col(c).cast("double") for c in named], other.cast("double")).alias("chars_hist"),
         F.concat("hits", F.array(F.col("n_words") - hit)).alias("words_hist"), "n_chars",
     )
@@ -107,19 +110,19 @@ def _summed(hist: str, width: int) -> Column:
 
 
 def quality_verdicts(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", top_words: int = 40,
+    docs: DataFrame, *, carry: list[str] | None = None, text_col: str = "text", lang_col: str = "lang", top_words: int = 40,
     max_char_distance: float = 0.30, max_word_distance: float = 0.36, min_chars: int = 200, min_words: int = 100,
     min_reference_words: int = 2000, base_min_words: int = 50, max_repeat_percent: int = 50,
 ) -> DataFrame:
-    """One row per document: its counts, both distances (null where a guard forbids a verdict),
-    ``base_failed`` and ``kept``.
+    """One row per document: the columns in ``carry`` (doc_id if not given; none may have a result's
+    name), its counts, both distances (null where a guard forbids a verdict), ``base_failed`` and ``kept``.
 
     The common words are counted over all words of all documents by one aggregation whose
     partial sums are made before the shuffle; a document's counts are made in one pass and
     written, so that references and verdicts read small rows."""
     text = F.col(text_col)
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(lang_col, F.lit(NO_LANG)).alias("lang"), text.alias("text"))
-    worded = base.select("doc_id", "lang", "text", words_of(F.col("text")).alias("words"))
+    base = docs.select(F.struct(*(carry or ["doc_id"])).alias("row"), F.coalesce(lang_col, F.lit(NO_LANG)).alias("lang"), text.alias("text"))
+    worded = base.select("row", "lang", "text", words_of(F.col("text")).alias("words"))
     common = saved(_common_words(base.select("lang", words_of(F.col("text")).alias("words")), top_words), "common")
     listed = worded.join(common, "lang", "left").withColumn("common", F.coalesce("common", F.array().cast("array<string>")))
     lists = common.select(F.explode("common").alias("word")).distinct().limit(MOST_LITERALS + 1).collect()
@@ -141,6 +144,6 @@ def quality_verdicts(
     failed = (F.col("n_words") < base_min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     even = (F.coalesce("char_distance", F.lit(0.0)) <= max_char_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= max_word_distance)
     return out.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "row.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & even).alias("kept"), "char_distance", "word_distance",
     )
