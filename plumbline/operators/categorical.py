@@ -15,11 +15,13 @@ from plumbline.functions.text import strip, to_number
 
 from .frequency import distinct_counts, frequencies, top_values
 from .rules import (
-    CATEGORY_PATTERN, CONSISTENCY_RULES, COUNTRIES, COUNTRY_ALIASES, COUNTRY_NAME_PARTS, EMAIL, EMAIL_NAME_PARTS, GENDER_NAME_PARTS,
+    CONSISTENCY_RULES, COUNTRIES, COUNTRY_ALIASES, COUNTRY_NAME_PARTS, EMAIL, EMAIL_NAME_PARTS, GENDER_NAME_PARTS,
     GENDERS, NOT_COUNTRIES, PHONE_NAME_PARTS, RATING_NAME_PARTS, STANDARD_SETS,
 )
 
-FILLED = F.col("value").isNotNull
+
+def _filled() -> Column:
+    return F.col("value").isNotNull()
 
 
 def categorical_columns(df: DataFrame, ids: list[str] = ()) -> DataFrame:
@@ -44,7 +46,7 @@ def value_rows(freq: DataFrame, invalid: DataFrame, listed: int = 30) -> DataFra
 
 def case_groups(freq: DataFrame) -> DataFrame:
     """Values that differ in case alone: column, base_value (lower case), variations, total_occurrences."""
-    groups = freq.filter(FILLED()).groupBy("column", F.lower("value").alias("base_value"))
+    groups = freq.filter(_filled()).groupBy("column", F.lower("value").alias("base_value"))
     return groups.agg(F.sort_array(F.collect_list("value")).alias("variations"), F.sum("cnt").alias("total_occurrences")).filter(F.size("variations") > 1)
 
 
@@ -54,7 +56,7 @@ def standard_groups(freq: DataFrame, match: str = "substring") -> DataFrame:
     low = F.lower("value")
     hit = lambda words: low.isin(words) if match == "exact" else F.exists(F.array(*[F.lit(w) for w in words]), lambda w: low.contains(w))
     sets = F.array(*[F.when(hit(s), F.lit(k)) for k, s in enumerate(STANDARD_SETS)])
-    rows = freq.filter(FILLED()).select("column", "value", "cnt", F.explode(F.filter(sets, lambda k: k.isNotNull())).alias("set_no"))
+    rows = freq.filter(_filled()).select("column", "value", "cnt", F.explode(F.filter(sets, lambda k: k.isNotNull())).alias("set_no"))
     options = F.array(*[F.array_sort(F.array(*[F.lit(w) for w in s])) for s in STANDARD_SETS])
     grouped = rows.groupBy("column", "set_no").agg(F.sort_array(F.collect_list("value")).alias("found_variations"), F.sum("cnt").alias("total_occurrences"))
     return grouped.filter(F.size("found_variations") > 1).select("column", F.get(options, F.col("set_no")).alias("standard_options"), "found_variations", "total_occurrences")
@@ -84,7 +86,7 @@ def invalid_values(freq: DataFrame) -> DataFrame:
         F.when(_named(COUNTRY_NAME_PARTS), "country").when(_named(EMAIL_NAME_PARTS), "email").when(_named(PHONE_NAME_PARTS), "phone")
         .when(_named(GENDER_NAME_PARTS), "gender").when(_named(RATING_NAME_PARTS), "rating")
     )
-    rows = freq.filter(FILLED()).withColumn("domain", domain).filter("domain IS NOT NULL")
+    rows = freq.filter(_filled()).withColumn("domain", domain).filter("domain IS NOT NULL")
     reason = (
         F.when(F.col("domain") == "country", F.when(country != "ok", country))
         .when((F.col("domain") == "email") & ~v.rlike(EMAIL), "pattern")
@@ -99,7 +101,7 @@ def invalid_values(freq: DataFrame) -> DataFrame:
 def consistency(freq: DataFrame) -> DataFrame:
     """Cells that aren't lower case, cells with white space at an end, and rare values (under
     max(1, 1 % of filled cells)) of columns that have any: column, case_count, space_count, rare_count, rare_values (10)."""
-    filled = freq.filter(FILLED())
+    filled = freq.filter(_filled())
     totals = filled.groupBy("column").agg(F.sum("cnt").alias("total"))
     rows = filled.join(totals, "column").withColumn("rare", F.col("cnt") < F.greatest(F.lit(1.0), 0.01 * F.col("total")))
     return _summary(rows)
@@ -120,14 +122,14 @@ def variation_examples(freq: DataFrame, kind: str = "case", listed: int = 5) ->
     ends) with the spellings that share them: column, base_value, variations."""
     v = F.col("value")
     base = F.lower(v) if kind == "case" else strip(v)
-    grouped = freq.filter(FILLED() & (v != base)).groupBy("column", base.alias("base_value")).agg(F.slice(F.sort_array(F.collect_list("value")), 1, listed).alias("variations"))
+    grouped = freq.filter(_filled() & (v != base)).groupBy("column", base.alias("base_value")).agg(F.slice(F.sort_array(F.collect_list("value")), 1, listed).alias("variations"))
     return grouped.withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy("base_value"))).filter(F.col("rank") <= listed).drop("rank")
 
 
 def upload_consistency(freq: DataFrame) -> DataFrame:
     """column, inconsistent_format (values that aren't stripped lower case), rare_values (once only, 10)."""
     v = F.col("value")
-    ranked = freq.filter(FILLED()).withColumn("rank", F.row_number().over(Window.partitionBy("column", F.col("cnt") == 1).orderBy("value")))
+    ranked = freq.filter(_filled()).withColumn("rank", F.row_number().over(Window.partitionBy("column", F.col("cnt") == 1).orderBy("value")))
     lists = ranked.groupBy("column").agg(
         F.sort_array(F.collect_list(F.when(v != F.lower(strip(v)), v))).alias("inconsistent_format"),
         F.sort_array(F.collect_list(F.when((F.col("cnt") == 1) & (F.col("rank") <= 10), v))).alias("rare_values"),
@@ -139,7 +141,7 @@ def rule_violations(freq: DataFrame) -> DataFrame:
     """column, value, cnt, rule, reason by the report's rules (a rule holds for columns whose name has its word)."""
     v, low, out = F.col("value"), F.lower("value"), None
     for rule, spec in CONSISTENCY_RULES.items():
-        rows = freq.filter(FILLED() & F.lower("column").contains(rule))
+        rows = freq.filter(_filled() & F.lower("column").contains(rule))
         tests = {}
         if "valid_values" in spec:
             tests["value"] = ~low.isin([x.lower() for x in spec["valid_values"]])
@@ -157,7 +159,7 @@ def rule_violations(freq: DataFrame) -> DataFrame:
 
 def report_consistency(freq: DataFrame) -> DataFrame:
     """The report's variant: rare is under 1 % of all rows, NULL counted as a value; with invalid_values (10)."""
-    totals = freq.groupBy("column").agg(F.sum("cnt").alias("total"), F.sum(F.when(FILLED(), F.col("cnt"))).alias("filled"))
+    totals = freq.groupBy("column").agg(F.sum("cnt").alias("total"), F.sum(F.when(_filled(), F.col("cnt"))).alias("filled"))
     rows = freq.join(totals.filter("filled > 0"), "column").withColumn("rare", F.col("cnt") < 0.01 * F.col("total"))
     bad = rule_violations(freq).select("column", "value").distinct()
     bad = bad.withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy("value"))).filter("rank <= 10")
@@ -178,7 +180,7 @@ def issue_table(freq: DataFrame) -> DataFrame:
     names = standard_groups(freq).select("column", F.lit("standardization").alias("issue_type"), F.concat_ws(" / ", "standard_options").alias("base_value"), F.explode("found_variations").alias("value"))
     bad = invalid_values(freq).select("column", F.lit("invalid").alias("issue_type"), F.lit("").alias("base_value"), "value")
     advice = F.when(F.col("issue_type") == "case", F.concat(F.lit("use "), F.col("base_value"))).when(F.col("issue_type") == "invalid", "check or remove").otherwise("use one spelling")
-    rows = case.unionByName(names).unionByName(bad).join(freq.filter(FILLED()), ["column", "value"])
+    rows = case.unionByName(names).unionByName(bad).join(freq.filter(_filled()), ["column", "value"])
     return rows.select("column", "issue_type", "base_value", F.col("value").alias("variation"), "cnt", advice.alias("recommendation"))
 
 

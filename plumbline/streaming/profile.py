@@ -15,6 +15,8 @@ from plumbline.operators.missing import missing_full
 def windowed_missing(stream: DataFrame, time_col: str, *, window: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
     """Rows and missing cells of each column by window of event time; rows later than ``late`` are dropped."""
     counts = [F.count_if(is_missing(quoted(f.name), f.dataType)).alias(f"missing_{f.name}") for f in stream.schema.fields if f.name != time_col]
+    if dict(stream.dtypes)[time_col] == "timestamp_ntz":  # watermarks ask for an instant; the session's zone makes it one
+        stream = stream.withColumn(time_col, F.col(time_col).cast("timestamp"))
     return stream.withWatermark(time_col, late).groupBy(F.window(time_col, window).alias("window")).agg(F.count("*").alias("rows"), *counts)
 
 
