@@ -63,7 +63,7 @@ def numbered(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
 
 def materialize(
     docs: DataFrame, *, tokenizer_path: str, key: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text",
-    sequence_tokens: int = 512, shard_records: int = 16_384, pad_id: int = 0, id_bytes: int = 2,
+    sequence_tokens: int = 256, shard_records: int = 32_768, pad_id: int = 0, id_bytes: int = 2,
 ) -> DataFrame:
     """Writes the shards to ``folder`` (a URI that all executors reach) and returns the index: slot,
     doc_id, piece, n_tokens, shard, offset (bytes), ids_crc32 (of the record)."""
@@ -120,7 +120,7 @@ def materialize(
     return saved(ranged.select("slot", "doc_id", "piece", "n_tokens", "shard", "ids").mapInArrow(write, schema), "index")
 
 
-def read_slots(folder: str, first: int, count: int, *, sequence_tokens: int = 512, shard_records: int = 16_384, id_bytes: int = 2) -> Iterator[np.ndarray]:
+def read_slots(folder: str, first: int, count: int, *, sequence_tokens: int = 256, shard_records: int = 32_768, id_bytes: int = 2) -> Iterator[np.ndarray]:
     """Records of ``count`` slots from ``first``, in order: what a training job resumes from."""
     from pyarrow import fs as pafs
 
