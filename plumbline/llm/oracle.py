@@ -6,7 +6,7 @@ from .queries import SHARD_BYTES
 
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Ten rounds of sharing settle any number of sources here: a round caps all that are above.
+#: Sources in order of the level at which they stop: the first that the level of the rest doesn't reach settles it.
 OP4 = rf"""
 WITH sized AS (
   SELECT doc_id, text, CASE WHEN source IS NULL THEN 'b' ELSE 'a' || source END AS key,
@@ -26,7 +26,7 @@ ranked AS (
          sum(weight) OVER (ORDER BY 2.0 * source_size / weight, key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest,
          1.5 * sum(source_size) OVER () AS total
   FROM sources),
-level AS (SELECT min((total - capped) / rest) FILTER (WHERE breaks >= (total - capped) / rest) AS level FROM ranked),
+level AS (SELECT (total - capped) / rest AS level FROM ranked WHERE breaks >= (total - capped) / rest ORDER BY breaks, key LIMIT 1),
 targets AS (
   SELECT key, source_size, least(2.0 * source_size, level * weight) AS target,
          CASE WHEN source_size > 0 THEN floor(least(2.0 * source_size, level * weight) / source_size) ELSE 0 END::BIGINT AS epochs
@@ -39,7 +39,7 @@ cuts AS (
   WHERE upto <= target - epochs * source_size
      OR (upto - s < target - epochs * source_size AND abs(upto - (target - epochs * source_size)) <= abs(upto - s - (target - epochs * source_size)))
   GROUP BY t.key)
-SELECT doc_id, size, source_size, target,
+SELECT doc_id, size, source_size, round(target, 6) AS target,
        ((epochs + CASE WHEN target - epochs * source_size > 0 AND draw <= last_draw THEN 1 ELSE 0 END) * size)::BIGINT AS taken
 FROM drawn JOIN targets USING (key) LEFT JOIN cuts USING (key)
 """
@@ -66,23 +66,23 @@ FROM placed GROUP BY conv_id
 
 def _js(p: str, q: str) -> str:
     """Jensen-Shannon distance of two lists of counts."""
-    share = lambda x: f"list_transform({x}, v -> v / nullif(list_sum({x}), 0))"
+    share = lambda x: f"list_transform({x}, lambda v: v / nullif(list_sum({x}), 0))"
     term = "CASE WHEN x[1] > 0 THEN x[1] * log2(2 * x[1] / (x[1] + x[2])) ELSE 0 END + CASE WHEN x[2] > 0 THEN x[2] * log2(2 * x[2] / (x[1] + x[2])) ELSE 0 END"
-    return f"sqrt(greatest(list_sum(list_transform(list_zip({share(p)}, {share(q)}), x -> {term})) / 2, 0))"
+    return f"sqrt(greatest(list_sum(list_transform(list_zip({share(p)}, {share(q)}), lambda x: {term})) / 2, 0))"
 
 
 OP6 = rf"""
 WITH base AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, chr(0)) AS lang, coalesce(text, '') AS text FROM documents),
 worded AS (SELECT *, regexp_extract_all(text, '{WORD}') AS words FROM base),
-each AS (SELECT rid, lang, unnest(words) AS word, unnest(range(len(words))) AS at FROM worded),
+each AS (SELECT rid, lang, unnest(words) AS word, unnest(range(len(words))) AS pos FROM worded),
 common AS (
   SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY word) AS place FROM (
     SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS rank FROM each GROUP BY lang, word) WHERE rank <= 40),
 sizes AS (SELECT lang, max(place) AS width FROM common GROUP BY lang),
 hits AS (SELECT rid, place, count(*) AS n FROM each JOIN common USING (lang, word) GROUP BY rid, place),
-windows AS (SELECT a.rid, a.at, a.word || ' ' || b.word || ' ' || c.word AS w FROM each a JOIN each b ON b.rid = a.rid AND b.at = a.at + 1 JOIN each c ON c.rid = a.rid AND c.at = a.at + 2),
+windows AS (SELECT a.rid, a.pos, a.word || ' ' || b.word || ' ' || c.word AS w FROM each a JOIN each b ON b.rid = a.rid AND b.pos = a.pos + 1 JOIN each c ON c.rid = a.rid AND c.pos = a.pos + 2),
 twice AS (SELECT rid, w FROM windows GROUP BY rid, w HAVING count(*) > 1),
-covered AS (SELECT rid, count(DISTINCT at + d) AS n FROM windows JOIN twice USING (rid, w), (SELECT unnest([0, 1, 2]) AS d) GROUP BY rid),
+covered AS (SELECT rid, count(DISTINCT pos + d) AS n FROM windows JOIN twice USING (rid, w), (SELECT unnest([0, 1, 2]) AS d) GROUP BY rid),
 lines AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM base) WHERE regexp_matches(line, '{WORD}') GROUP BY rid),
 word_hist AS (
   SELECT w.rid, w.lang, list(coalesce(h.n, 0)::DOUBLE ORDER BY p.place) AS known
