@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+import json
 import time
 from itertools import product
 
@@ -110,6 +110,8 @@ def outlier_pipeline(df: DataFrame, *, id_col: str, features: list[str] | None =
     return out, record
 
 
-def noise_share(labels: DataFrame) -> float:
-    row = labels.agg(F.count("*").alias("n"), F.count_if(F.col("label") == -1).alias("noise")).first()
-    return row.noise / row.n if row.n else math.nan
+def save_run(rows: DataFrame, record: dict, folder: str) -> None:
+    """A run's artifacts under ``folder``: the labelled rows as Parquet, the record as one JSON line."""
+    rows.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/cluster_labels.parquet")
+    one = rows.sparkSession.createDataFrame([(json.dumps(record, sort_keys=True),)], "value string")
+    one.coalesce(1).write.mode("overwrite").text(f"{folder.rstrip('/')}/run_summary")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.schema import quoted, with_row_index
 from plumbline.functions.text import NULL_TOKENS
-from plumbline.operators import categorical, clustering, duplicates, frequency, inference, missing, numeric, outliers
+from plumbline.operators import categorical, clustering, duplicates, frequency, inference, missing, numeric, outliers, sampling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -210,17 +210,17 @@ def _(spark, sf):
     return rounded(duplicates.duplicate_split(duplicates.exact_duplicates(read(spark, sf, "part").select("p_brand"))))
 
 
-@query("near_dup_lev", """WITH t AS (SELECT min(p_partkey) AS id, p_type AS s FROM part GROUP BY p_type)
-SELECT a.id AS a, b.id AS b, round(1 - levenshtein(a.s, b.s)::DOUBLE / greatest(length(a.s), length(b.s)), 6) AS similarity FROM t a JOIN t b ON a.id < b.id WHERE 1 - levenshtein(a.s, b.s)::DOUBLE / greatest(length(a.s), length(b.s)) >= 0.4 - 1e-12""")
+@query("near_dup_lev", """WITH t AS (SELECT min(p_partkey) AS id, p_name AS s FROM part GROUP BY p_name)
+SELECT a.id AS a, b.id AS b, round(1 - levenshtein(a.s, b.s)::DOUBLE / greatest(length(a.s), length(b.s)), 6) AS similarity FROM t a JOIN t b ON a.id < b.id WHERE 1 - levenshtein(a.s, b.s)::DOUBLE / greatest(length(a.s), length(b.s)) >= 0.6 - 1e-12""")
 def _(spark, sf):
-    types = read(spark, sf, "part").groupBy("p_type").agg(F.min("p_partkey").alias("row_index")).withColumnRenamed("p_type", "record")
-    return rounded(duplicates.near_duplicates(types, 0.4, metric="levenshtein"))
+    types = read(spark, sf, "part").groupBy("p_name").agg(F.min("p_partkey").alias("row_index")).withColumnRenamed("p_name", "record")
+    return rounded(duplicates.near_duplicates(types, 0.6, metric="levenshtein"))
 
 
 @query("near_dup_indel")
 def _(spark, sf):
-    types = read(spark, sf, "part").groupBy("p_type").agg(F.min("p_partkey").alias("row_index")).withColumnRenamed("p_type", "record")
-    return rounded(duplicates.near_duplicates(types, 0.5))
+    types = read(spark, sf, "part").groupBy("p_name").agg(F.min("p_partkey").alias("row_index")).withColumnRenamed("p_name", "record")
+    return rounded(duplicates.near_duplicates(types, 0.6))
 
 
 # ---- types and ids
@@ -553,7 +553,12 @@ def _(spark, sf):
     return rounded(found)
 
 
-# ---- catalog and derived
+# ---- sampling, catalog and derived
+
+
+@query("sample_rows", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5('42|' || o_orderkey), o_orderkey LIMIT 100")
+def _(spark, sf):
+    return sampling.sample_rows(read(spark, sf, "orders").select("o_orderkey", "o_totalprice"), 100, "o_orderkey")
 
 
 @query("catalog_lookup", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey = 7 AND o_orderstatus = 'F'")

@@ -89,6 +89,15 @@ def diagnose(df: DataFrame, kind: str) -> Report:
     return REPORTS[kind](df)
 
 
+def as_json(report: Report) -> DataFrame:
+    """part, row: all frames of a report as one, each row as JSON."""
+    out = None
+    for part, frame in report.items():
+        rows = frame.select(F.lit(part).alias("part"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in frame.columns]), {"ignoreNullFields": "false"}).alias("row"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def full_analysis(df: DataFrame, *order: str) -> Report:
     """Missing values with examples, duplicates, types and consistency over all rows. ``order`` is a stable key
     for the row numbers of examples."""
