@@ -1,9 +1,10 @@
 """Token ids of whole texts, in pieces.
 
-A tokenizer that drops white space gives a text the ids of its words, one after the other. So
-each task encodes every different word once, keeps the ids of a bounded number of words, and
-puts texts together by index arithmetic. ``whole_texts=True`` encodes texts as they are, for
-tokenizers of which this isn't true.
+A tokenizer that drops white space, lowers case, and parts letters and figures from marks gives a
+text the ids of its words, one after the other, whatever the case of ASCII letters and with
+closing marks as words of their own. So each task encodes every different word once, keeps
+the ids of a bounded number of words, and puts texts together by index arithmetic.
+``whole_texts=True`` encodes texts as they are, for tokenizers of which this isn't true.
 """
 
 from __future__ import annotations
@@ -29,6 +30,9 @@ BATCH_BYTES = 8 << 20
 #: Rows that Spark hands over at once, so that long texts don't add up in a worker.
 BATCH_ROWS = 1000
 
+#: Marks after a letter or figure, up to white space.
+CLOSING = r"([\p{L}\p{N}])([.,;:!?#$%&*|]+)(\s|$)"
+
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -77,7 +81,12 @@ class WordEncoder:
     def encode(self, texts: pa.Array, end_id: int | None, whole_texts: bool) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and where each text ends in it."""
         texts = pc.fill_null(texts, "")
-        lists = pa.array([[t] for t in texts.to_pylist()], pa.list_(pa.string())) if whole_texts else pc.ascii_split_whitespace(texts)
+        if whole_texts:
+            lists = pa.array([[t] for t in texts.to_pylist()], pa.list_(pa.string()))
+        else:
+            spaced = pc.replace_substring_regex(texts, CLOSING, r"\1 \2\3")
+            special = pc.any(pc.match_substring(texts, "<|")).as_py()  # special tokens are found before case is lowered
+            lists = pc.ascii_split_whitespace(spaced if special else pc.ascii_lower(spaced))
         coded = lists.flatten().dictionary_encode()
         ids = self._ids(coded.dictionary.to_pylist())
         flat = np.frombuffer(b"".join(ids), np.uint32)

@@ -22,9 +22,13 @@ def _tokenizer():
 
 
 def test_ids_by_words_are_the_ids_of_the_text():
-    texts = ["Hello, wOrld's  42nd café\n\n<|endoftext|>x", "", None, "a b \x1f ΑΣ ΑΣ, don't 'S", "   "]
-    ids, stops = tokens.WordEncoder(tokenizer_path()).encode(pa.array(texts), 0, False)
-    t = _tokenizer()
+    texts = ["<|ENDOFTEXT|>, Hello, wOrld's  42nd café\n\n<|endoftext|>x", "", None, "a b \x1f ΑΣ ΑΣ, don't 'S", "   "]
+    t, encoder = _tokenizer(), tokens.WordEncoder(tokenizer_path())
+    plain = ["The END... of it.\nA,b,, C## x|> 'tis it's, é, e\u0301, 9. 10%% «x», q.\tZ!\x0bv?", "İstanbul. ŒUF, ǅ; ", "###", "a|", "N.B."]
+    got, ends = encoder.encode(pa.array(plain), None, False)
+    for lo, hi, text in zip([0, *ends], ends, plain, strict=False):
+        assert got[lo:hi].tolist() == t.encode(text, add_special_tokens=False).ids
+    ids, stops = encoder.encode(pa.array(texts), 0, False)
     for lo, hi, text in zip([0, *stops], stops, texts, strict=False):
         assert ids[lo:hi].tolist() == [*t.encode(text or "", add_special_tokens=False).ids, 0]
 
