@@ -18,13 +18,13 @@ from plumbline.llm.common import saved, table
 from plumbline.llm.queries import pieces_of
 
 #: Documents of which the words' mean posterior stays below this are of no language.
-LEAST_LANGUAGE_SCORE = 0.4
+LEAST_LANGUAGE_SCORE = 0.3
 
 
-def _aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str], list[str]]:
-    """``docs`` under column names that nothing clashes with, the new name of each, and the old names."""
+def _aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` under column names that nothing clashes with, and the new name of each."""
     names = {c: f"in_{k}" for k, c in enumerate(docs.columns)}
-    return docs.toDF(*names.values()), names, docs.columns
+    return docs.toDF(*names.values()), names
 
 
 def _back(rows: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -33,7 +33,7 @@ def _back(rows: DataFrame, names: dict[str, str]) -> DataFrame:
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the labeller knows: und and scores under LEAST_LANGUAGE_SCORE go."""
-    rows, names, _ = _aside(docs)
+    rows, names = _aside(docs)
     model = langid.fit(docs)
     labelled = langid.label_documents(rows, model, text_col=names["text"])
     return _back(labelled.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)), names)
@@ -41,7 +41,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and don't diverge from their language."""
-    rows, names, _ = _aside(docs)
+    rows, names = _aside(docs)
     judged = quality.quality_verdicts(rows, carry=list(names.values()), text_col=names["text"], lang_col=names["lang"])
     return _back(judged.filter("kept"), names)
 
@@ -53,7 +53,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    rows, names, _ = _aside(docs)
+    rows, names = _aside(docs)
     mixed = mixing.mix(rows, id_col=names["doc_id"], text_col=names["text"], source_col=names["source"])
     return _back(mixing.repeated(mixed), names)
 

@@ -7,16 +7,17 @@ Two documents link when the Jaccard similarity of their sets of word shingles is
    128-bit digest, a few MinHash keys, and the prefix: the tokens that come first in a fixed
    global order, so many that two linked sets share one of them. Texts with the same digest
    are one node from then on.
-2. Nodes with a MinHash key in common are compared with one of them; what links becomes a
+2. Nodes with a MinHash key in common are compared with a few of them; what links becomes a
    group (cut into groups of at most about ``group_size``); every other node is a group of one.
 3. The matrix holds each group's token union over its members' prefixes, as rows (token,
    group). A query's overlap with a group is counted by a join on the tokens that several
    components hold. No member can share more tokens with the query than that overlap plus
    what lies beyond the longer prefix; only groups for which this reaches the overlap that
    the similarity demands are opened, and their members are verified on whole sets.
-4. Tokens in the prefixes of more than ``frequent`` groups, and all other tokens as frequent
-   among their texts, go to the end of the global order, so that passages common to many
-   texts make no candidates unless a text consists of little else.
+4. Tokens in the prefixes of more than ``frequent`` groups go to the end of the global order. A
+   sketch keeps some tokens beyond the prefix to take their place; of texts with more of them
+   than that (a passage common to many), the whole sets are counted too and ordered anew. So
+   common passages make no candidates unless a text consists of little else.
 
 Defined results: null or blank text has an empty set and links with nothing; a text with
 fewer words than a shingle is one token; copies and repeated rows fall into one class; a
@@ -39,6 +40,8 @@ from .components import connected_components
 from .tokens import BATCH_ROWS, _portions
 
 KEYS = 4
+#: Nodes that stand for a key: each is compared with all that have the key.
+HEADS = 4
 _SALTS = np.array([xxhash.xxh3_64_intdigest(f"key{k}") | 1 for k in range(2 * KEYS)], np.uint64)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -76,6 +79,12 @@ def prefix_length(n, percent: int):
     return n - -(-n * percent // 100) + 1
 
 
+def kept_length(n, percent: int):
+    """Tokens that a sketch keeps: the prefix and a quarter more, to take the place of frequent ones."""
+    p = prefix_length(n, percent)
+    return p + p // 4 + 4
+
+
 def _sketched(docs: DataFrame, size: int, percent: int) -> DataFrame:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,7 +96,7 @@ def _sketched(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     with np.errstate(over="ignore"):
                         least = [_stir(tokens.view(np.uint64) * s).min() for s in _SALTS] if len(tokens) else [np.uint64(0)] * 2 * KEYS
                         keys.append([int((least[2 * k] * _MIX + least[2 * k + 1] + np.uint64(k)).view(np.int64)) for k in range(KEYS)])
-                    prefixes.append(tokens[: prefix_length(len(tokens), percent)] if len(tokens) else tokens)
+                    prefixes.append(tokens[: kept_length(len(tokens), percent)])
                 columns = [part["id"], part["hash"], pa.array(n, pa.int64()), pa.array(nodes, pa.binary())]
                 columns += [pa.array([x[k] for x in keys], pa.int64()) for k in range(KEYS)]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype(np.int32)
@@ -149,12 +158,14 @@ class _Join:
         return saved(both.mapInArrow(check, "a bigint, b bigint"), "links")
 
     def first_links(self) -> DataFrame:
-        """Links between a node and the one that stands for its MinHash key."""
+        """Links between a node and the few that stand for each of its MinHash keys."""
         keyed = self.nodes.select("uid", "n", F.explode(F.array(*[f"key{k}" for k in range(KEYS)])).alias("key"))
-        heads = keyed.groupBy("key").agg(F.min(F.struct("uid", "n")).alias("head"), F.count("*").alias("held")).filter("held > 1").select("key", "head")
-        pairs = keyed.join(heads, "key").select(F.col("uid").alias("a"), F.col("head.uid").alias("b"), "n", F.col("head.n").alias("m")).filter("a <> b")
-        close = 100 * F.least("n", "m") >= self.percent * F.greatest("n", "m")
-        return self.verified(pairs.filter(close).select("a", "b").distinct())
+        first = [F.min_by(F.struct("uid", "n"), F.xxhash64("uid", F.lit(k))).alias(f"h{k}") for k in range(HEADS)]
+        heads = keyed.groupBy("key").agg(F.count("*").alias("held"), *first).filter("held > 1")
+        heads = heads.select("key", F.explode(F.array_distinct(F.array(*[f"h{k}" for k in range(HEADS)]))).alias("head"))
+        pairs = keyed.join(heads, "key").filter(F.col("uid") != F.col("head.uid"))
+        close = 100 * F.least("n", "head.n") >= self.percent * F.greatest("n", "head.n")
+        return self.verified(pairs.filter(close).select(F.least("uid", "head.uid").alias("a"), F.greatest("uid", "head.uid").alias("b")).distinct())
 
     def prefix_rows(self, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The nodes with their group (uid, n, component, chunk), and those of their prefixes' rows that may
@@ -165,32 +176,43 @@ class _Join:
             self.nodes.select("uid", "n").join(grouped, "uid", "left")
             .select("uid", "n", F.coalesce("component", "uid").alias("component"), F.coalesce("chunk", F.lit(0)).alias("chunk")), "members",
         )
-        held = self.rows.select(F.col("row").alias("uid"), "prefix").join(small(members), "uid")
-        rows = held.select("uid", "n", "component", "chunk", F.explode("prefix").alias("token"))
-        met = saved(rows.join(small(self._met(rows)), "token", "left_semi"), "met")
-
-        def spread(r: DataFrame) -> DataFrame:
-            groups = r.groupBy("token", "component", "chunk").agg(F.lit(1).alias("one")).groupBy("token").agg(F.count("*").alias("groups"))
-            return groups.filter(F.col("groups") > self.frequent).select("token")
-
-        often = saved(spread(met), "often")
+        held = self.rows.select(F.col("row").alias("uid"), F.col("prefix").alias("kept")).join(small(members), "uid")
+        length = (F.col("n") - F.ceil(F.col("n") * self.percent / F.lit(100)) + 1).cast("int")
+        columns = ["uid", "n", "component", "chunk", "token"]
+        exploded = lambda df, tokens: df.select("uid", "n", "component", "chunk", F.explode(tokens).alias("token"))
+        rows = exploded(held, F.slice("kept", 1, length))
+        met = saved(rows.join(small(self._met(rows)), "token", "left_semi").select(*columns), "met")
+        often = saved(self._frequent(met), "often")
         if often.isEmpty():
             return members, met
-        touched = met.join(small(often), "token", "left_semi").select("uid")
-        whole = self.sets(touched).join(small(members), "uid").select("uid", "component", "chunk", F.explode("tokens").alias("token"))
-        often = saved(often.union(spread(whole)).distinct(), "often")
-        # one order for all: every node with a frequent token in its prefix gets a new one, with the next tokens in their place
-        touched = saved(rows.join(small(often), "token", "left_semi").select("uid").distinct(), "touched")
-        sets = saved(self.sets(touched), "sets")
-        late = sets.select("uid", F.explode("tokens").alias("token")).join(small(often), "token", "left_semi").groupBy("uid").agg(F.sort_array(F.collect_list("token")).alias("late"))
-        late = sets.join(late, "uid").withColumn("ordered", F.concat(F.sort_array(F.array_except("tokens", "late")), F.col("late")))
-        n = F.size("tokens")
-        length = n - F.ceil(n * self.percent / F.lit(100)).cast("int") + 1
-        anew = saved(late.select("uid", F.explode(F.slice("ordered", 1, length)).alias("token")).join(small(members), "uid").select(*rows.columns), "anew")
-        partners = rows.join(small(saved(anew.select("token").distinct(), "tokens")), "token", "left_semi").select(*rows.columns)
-        old = met.select(*rows.columns).unionByName(partners).join(small(touched), "uid", "left_anti").distinct()
-        rows = saved(old.unionByName(anew), "rows")
-        return members, rows.join(small(self._met(rows)), "token", "left_semi")
+        late = self._late(exploded(held, F.col("kept")), often)
+        # where a sketch can't replace its frequent tokens, the whole set is counted and ordered anew
+        short = (F.size("kept") < F.col("n")) & (F.size("kept") - F.size("late") < length)
+        far = saved(held.join(small(late), "uid").filter(short).select("uid"), "far")
+        if not far.isEmpty():
+            whole = self.sets(far).join(small(members), "uid")
+            often = saved(often.union(self._frequent(exploded(whole, F.col("tokens")))).distinct(), "often")
+            late = self._late(exploded(held, F.col("kept")), often)
+        ordered = held.join(small(late), "uid", "left")
+        moved = F.concat(F.array_except("kept", "late"), F.sort_array("late"))
+        near = ordered.filter(~F.coalesce(short, F.lit(False)))
+        out = exploded(near, F.slice(F.when(F.col("late").isNull(), F.col("kept")).otherwise(moved), 1, length))
+        far = saved(ordered.filter(short).select("uid"), "far")
+        if not far.isEmpty():
+            sets = saved(self.sets(far), "sets").join(small(members), "uid")
+            late = self._late(exploded(sets, F.col("tokens")), often)
+            anew = sets.join(small(late), "uid").withColumn("tokens", F.concat(F.sort_array(F.array_except("tokens", "late")), F.sort_array("late")))
+            out = out.unionByName(exploded(anew, F.slice("tokens", 1, length)))
+        return members, out.join(small(self._met(out)), "token", "left_semi").select(*columns)
+
+    def _frequent(self, rows: DataFrame) -> DataFrame:
+        """Tokens that more than ``frequent`` groups hold."""
+        held = rows.groupBy("token", "component", "chunk").agg(F.lit(1).alias("one"))
+        return held.groupBy("token").agg(F.count("*").alias("groups")).filter(F.col("groups") > self.frequent).select("token")
+
+    def _late(self, rows: DataFrame, often: DataFrame) -> DataFrame:
+        """The frequent tokens of each node that has some."""
+        return saved(rows.join(small(often), "token", "left_semi").groupBy("uid").agg(F.collect_list("token").alias("late")), "late")
 
     def _met(self, rows: DataFrame) -> DataFrame:
         """Tokens that more than one component holds; most stand in one only and make no candidate."""
@@ -207,20 +229,49 @@ class _Join:
         counted = met.groupBy("uid", "n", "g", "c").agg(F.count("*").alias("overlap"), F.min("least").alias("least"), F.max("most").alias("most"))
 
         def demanded(m):
-            """Tokens that sets of n and m share at least, less what may lie beyond the prefixes."""
-            return t / (1 + t) * (F.col("n") + m) - F.ceil(F.greatest(F.col("n"), m) * t - 1e-6) + 1
+            """Tokens of the prefixes that linked sets of n and m share at least: all that they must share, less what
+            may lie beyond the longer prefix."""
+            return F.ceil(t / (1 + t) * (F.col("n") + m) - 1e-6) - F.ceil(F.greatest(F.col("n"), m) * t - 1e-6) + 1
 
         least = F.greatest(F.col("least"), F.ceil(F.col("n") * t - 1e-6))
         most = F.least(F.col("most"), F.floor(F.col("n") / t + 1e-6))
-        opened = counted.filter(F.col("overlap") >= F.least(demanded(least), demanded(most)) - 1e-6).select(F.col("uid").alias("a"), "n", "g", "c")
+        # over a group's sizes it is least at one end, but for rounding
+        opened = counted.filter(F.col("overlap") >= F.least(demanded(least), demanded(most)) - F.when(least < most, 1).otherwise(0)).select(F.col("uid").alias("a"), "n", "g", "c", "overlap")
         inside = members.select(F.col("uid").alias("b"), F.col("n").alias("m"), F.col("component").alias("g"), F.col("chunk").alias("c"))
-        pairs = opened.join(inside, ["g", "c"]).filter(100 * F.least("n", "m") >= self.percent * F.greatest("n", "m"))
-        return self.verified(pairs.select("a", "b").distinct())
+        return self.verified_groups(saved(opened, "opened"), inside)
+
+    def verified_groups(self, opened: DataFrame, inside: DataFrame) -> DataFrame:
+        """Links (a, b) between queries a and the members of the groups (g, c) opened for them; a group's texts
+        stand in one row, as it has few members."""
+        inside = saved(inside.join(opened.select("g", "c").distinct(), ["g", "c"], "left_semi"), "inside")
+        texts = self.texts_of(opened.select(F.col("a").alias("uid")).union(inside.select("b")))
+        held = inside.join(texts.withColumnRenamed("uid", "b"), "b").groupBy("g", "c").agg(F.collect_list(F.struct("b", "m", "text")).alias("held"))
+        both = opened.join(held, ["g", "c"]).join(texts.withColumnRenamed("uid", "a"), "a").select("a", "n", "g", "c", "text", "held")
+        size, percent = self.size, self.percent
+
+        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                groups: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
+                a, b = [], []
+                own = shingle_sets(batch["text"], size)
+                for k, (x, uid, n, key) in enumerate(zip(own, batch["a"].to_pylist(), batch["n"].to_pylist(), zip(batch["g"].to_pylist(), batch["c"].to_pylist(), strict=True), strict=True)):
+                    if key not in groups:
+                        members = batch["held"][k].as_py()
+                        groups[key] = list(zip([y["b"] for y in members], shingle_sets(pa.array([y["text"] for y in members]), size), strict=True))
+                    for other, y in groups[key]:
+                        if 100 * min(n, len(y)) >= percent * max(n, len(y)):
+                            shared = len(np.intersect1d(x, y, assume_unique=True))
+                            if 100 * shared >= percent * (n + len(y) - shared):
+                                a.append(uid)
+                                b.append(other)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        return saved(both.mapInArrow(check, "a bigint, b bigint"), "links")
 
 
 def ngram_jaccard_classes(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity_percent: int = 80,
-    group_size: int = 16, frequent: int = 32,
+    group_size: int = 16, frequent: int = 64,
 ) -> DataFrame:
     """One row per row of ``docs``: id_col (bigint), n_shingles, component_id (the smallest id that links
     reach, its own included), and node (the digest that copies share)."""
@@ -248,4 +299,4 @@ def one_of_each_class(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     classes = ngram_jaccard_classes(rows, id_col=number, text_col=text_col, **how).select(F.col(number).alias("at"), "component_id")
     placed = rows.select(F.col(number).alias("at"), F.col(id_col).alias("id")).join(classes, "at")
     first = placed.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at")).alias("first")).select(F.col("first.at").alias(number))
-    return rows.join(saved(first, "kept"), number, "left_semi").drop(number)
+    return rows.join(small(saved(first, "kept")), number, "left_semi").drop(number)
