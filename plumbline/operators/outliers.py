@@ -92,16 +92,28 @@ def isolation_steps(sample: np.ndarray, trees: int = 100, tree_size: int = 256,
     return points, 2 ** (-path / mean_path(min(tree_size, len(sample))))
 
 
+def drawn_rows(values: DataFrame, n: int, sample_rows: int, seed: int) -> np.ndarray:
+    """``sample_rows`` of the ``n`` rows that ``values`` (value, cnt) stands for, or all if there are fewer. Each row is drawn
+    with the same chance: the first drawn copy of a value is geometric by the value's hash, and values without one aren't
+    collected; the driver draws among the copies after it. The sample depends on the counts and the seed only."""
+    share = min(1.0, 1.05 * sample_rows / n)  # a little more than asked for, so that cutting leaves sample_rows
+    uniform = F.pmod(F.xxhash64("value", F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
+    first = F.floor(F.log1p(-uniform) / F.lit(math.log1p(-share))) if share < 1 else F.lit(0)
+    got = values.withColumn("first", first.cast("long")).filter("first < cnt").orderBy("value").collect()
+    rng = np.random.default_rng(seed)
+    copies = 1 + rng.binomial(np.array([r.cnt - r.first - 1 for r in got], np.int64), share)
+    return rng.permutation(np.repeat(np.array([r.value for r in got], float), copies))[:sample_rows]
+
+
 def isolation_outliers(df: DataFrame, column: str, *, sample_rows: int = 25_600, seed: int = 42) -> DataFrame:
     """value, score, is_outlier of the column's different values: the share min(0.1, max(0.01, 10 / n)) with
-    the highest scores. The forest is grown on a seeded sample of at most ``sample_rows`` values and
+    the highest scores. The forest is grown on a seeded sample of at most ``sample_rows`` rows and
     is a step function in one dimension, so scoring is a look-up; all values are scored."""
     values = df.select(number(df, column).alias("value")).filter("value IS NOT NULL").groupBy("value").agg(F.count("*").alias("cnt"))
     n = values.agg(F.sum("cnt")).first()[0] or 0
     if n < LEAST_VALUES:
         return values.select("value", F.lit(None).cast("double").alias("score"), F.lit(False).alias("is_outlier"), "cnt")
-    drawn = df.select(number(df, column).alias("value")).filter("value IS NOT NULL").orderBy(F.xxhash64("value", F.lit(seed)), "value").limit(sample_rows)
-    points, scores = isolation_steps(np.array([r.value for r in drawn.collect()]), seed=seed)
+    points, scores = isolation_steps(drawn_rows(values, n, sample_rows, seed), seed=seed)
 
     @F.pandas_udf("double")
     def score(v: pd.Series) -> pd.Series:

@@ -50,6 +50,20 @@ def test_forest_is_deterministic_and_flags_extremes(spark):
     assert {50.0, -40.0} <= flagged and len(flagged) <= 0.05 * len(values)
 
 
+@pytest.mark.parametrize("rows", [20_000, 200_000])
+def test_forest_draws_rows_of_repeated_values(spark, rows):
+    # ten values hold most rows, the first a third of them; 5 rows in 1,000 lie far away
+    k = F.col("id") % 1000
+    df = spark.range(rows).select(F.when(k < 5, 1000.0).when(k < 340, 0.0).otherwise((k % 10).cast("double")).alias("v"))
+    values = df.groupBy(F.col("v").alias("value")).agg(F.count("*").alias("cnt"))
+    drawn = outliers.drawn_rows(values, rows, 2000, 42)
+    assert len(drawn) == 2000 and np.array_equal(drawn, outliers.drawn_rows(values.repartition(3), rows, 2000, 42))
+    for r in values.collect():
+        share = r.cnt / rows
+        assert abs(np.count_nonzero(drawn == r.value) - 2000 * share) <= 5 * np.sqrt(2000 * share) + 1
+    assert {r.value for r in outliers.isolation_outliers(df, "v", sample_rows=2000).collect() if r.is_outlier} == {1000.0}
+
+
 def _dbscan(x, eps, least):
     near = [np.flatnonzero(((x - p) ** 2).sum(1) <= eps * eps) for p in x]
     core = [len(n) >= least for n in near]
