@@ -32,11 +32,13 @@ def _back(rows: DataFrame, names: dict[str, str]) -> DataFrame:
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the labeller knows: und and scores under LEAST_LANGUAGE_SCORE go."""
+    """Documents whose language the labeller knows: und and scores under LEAST_LANGUAGE_SCORE go. A null
+    lang becomes the predicted one, so that the next stage judges the document by it."""
     rows, names = _aside(docs)
     model = langid.fit(docs)
     labelled = langid.label_documents(rows, model, text_col=names["text"])
-    return _back(labelled.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)), names)
+    known = labelled.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    return _back(known.withColumn(names["lang"], F.coalesce(names["lang"], "lang_pred")), names)
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

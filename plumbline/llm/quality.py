@@ -4,8 +4,9 @@ A document's character-class histogram and its histogram of common words are com
 with those of its language, gathered over all documents, by the Jensen-Shannon distance
 (base 2, so between 0 and 1). Counts that basic rules need come from the same pass.
 
-Defined results: null or empty text has no words and fails the base rules; a null language
-counts as a language of its own; a language whose documents have fewer than
+Defined results: null or empty text has no words and fails the base rules; a document of null
+language adds to no reference and is compared with the nearest one (least word distance; for
+texts too short for it, least distance of character classes; ties by language); a language whose documents have fewer than
 ``min_reference_words`` words together gives no verdict, as do texts below the minimum
 lengths; repeated rows are judged one by one and alike; an empty table gives no rows; columns
 that aren't carried are ignored, whatever their names.
@@ -73,9 +74,14 @@ def _common_words(docs: DataFrame, top: int) -> DataFrame:
     return ranked.filter(F.col("rank") <= top).groupBy("lang").agg(F.sort_array(F.collect_list("word")).alias("common"))
 
 
+def _hits(common: Column, known: str) -> Column:
+    """How often each of the common words stands in the column ``known``."""
+    return F.transform(common, lambda c: (F.size(known) - F.size(F.array_remove(known, c))).cast("double"))
+
+
 def _features(docs: DataFrame, is_known) -> DataFrame:
     """Counts of each document (columns row, lang, text, words, common). ``is_known`` tells the
-    words that some list of common words holds."""
+    words that some list of common words holds; a document without language keeps these."""
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     once = docs.select(
@@ -85,7 +91,7 @@ def _features(docs: DataFrame, is_known) -> DataFrame:
     )
     count = lambda what: F.regexp_count("rest", F.lit(what)).cast("long")
     counted = once.select(
-        "row", "lang", "common",
+        "row", "lang", "common", F.when(F.col("lang") == NO_LANG, F.col("known")).alias("listed"),
         F.size("words").cast("long").alias("n_words"),
         count(SYMBOLS).alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -93,7 +99,7 @@ def _features(docs: DataFrame, is_known) -> DataFrame:
         F.length("text").cast("long").alias("n_chars"),
         (F.length("text") - F.length("rest")).cast("long").alias("lower"),
         count(r"\p{Lu}").alias("upper"), count(r"\p{Nd}").alias("digit"), count(SPACES[:-1]).alias("space"), count(MARKS).alias("mark"),
-        F.transform("common", lambda c: (F.size("known") - F.size(F.array_remove("known", c))).cast("double")).alias("hits"),
+        _hits(F.col("common"), "known").alias("hits"),
     )
     named = ("lower", "upper", "digit", "space", "mark", "n_symbols")
     other = F.col("n_chars") - sum((F.col(c) for c in named[1:]), F.col(named[0]))
@@ -101,7 +107,7 @@ def _features(docs: DataFrame, is_known) -> DataFrame:
     return counted.select(
         "row", "lang", "n_words", (F.col("n_chars") - F.col("space")).alias("word_chars"), "n_symbols", "n_dup_lines", "n_repeat_words",
         F.array(*[F.col(c).cast("double") for c in named], other.cast("double")).alias("chars_hist"),
-        F.concat("hits", F.array(F.col("n_words") - hit)).alias("words_hist"), "n_chars",
+        F.concat("hits", F.array(F.col("n_words") - hit)).alias("words_hist"), "n_chars", "listed",
     )
 
 
@@ -123,24 +129,38 @@ def quality_verdicts(
     text = F.col(text_col)
     base = docs.select(F.struct(*(carry or ["doc_id"])).alias("row"), F.coalesce(lang_col, F.lit(NO_LANG)).alias("lang"), text.alias("text"))
     worded = base.select("row", "lang", "text", words_of(F.col("text")).alias("words"))
-    common = saved(_common_words(base.select("lang", words_of(F.col("text")).alias("words")), top_words), "common")
+    common = saved(_common_words(base.filter(F.col("lang") != NO_LANG).select("lang", words_of(F.col("text")).alias("words")), top_words), "common")
     listed = worded.join(common, "lang", "left").withColumn("common", F.coalesce("common", F.array().cast("array<string>")))
     lists = common.select(F.explode("common").alias("word")).distinct().limit(MOST_LITERALS + 1).collect()
     literals = [r.word for r in lists]  # a few words for each language; beyond the bound each row's own list is searched
-    known = (lambda w: w.isin(literals)) if 0 < len(literals) <= MOST_LITERALS else (lambda w: F.array_contains(F.col("common"), w))
+    known = (lambda w: w.isin(literals)) if 0 < len(literals) <= MOST_LITERALS else (lambda w: (F.col("lang") == NO_LANG) | F.array_contains(F.col("common"), w))
     rows = saved(_features(listed, known), "features")
-    refs = rows.groupBy("lang").agg(
+    refs = rows.filter(F.col("lang") != NO_LANG).groupBy("lang").agg(
         F.sum("n_words").alias("ref_words"), _summed("chars_hist", len(CLASSES)).alias("ref_chars_hist"),
         _summed("words_hist", top_words + 1).alias("ref_words_hist"),
     )
     refs = saved(refs, "references")
     enough = F.col("ref_words") >= min_reference_words
     ref_words = F.slice("ref_words_hist", 1, F.size("words_hist"))
-    out = rows.join(refs, "lang").select(
+    char_distance = lambda ref: F.when(F.col("n_chars") >= min_chars, js_distance(F.col("chars_hist"), ref))
+    word_distance = lambda hist, ref: F.when(F.col("n_words") >= min_words, js_distance(hist, ref))
+    own = rows.filter(F.col("lang") != NO_LANG).join(refs, "lang").select(
         rows["*"],
-        F.when(enough & (F.col("n_chars") >= min_chars), js_distance(F.col("chars_hist"), F.col("ref_chars_hist"))).alias("char_distance"),
-        F.when(enough & (F.col("n_words") >= min_words), js_distance(F.col("words_hist"), ref_words)).alias("word_distance"),
-    )
+        F.when(enough, char_distance(F.col("ref_chars_hist"))).alias("char_distance"),
+        F.when(enough, word_distance(F.col("words_hist"), ref_words)).alias("word_distance"),
+    )
+
+    def distances(ref: Column) -> Column:
+        """A struct that is the least for the nearest reference."""
+        hist = bound(_hits(ref["common"], "listed"), lambda hits: F.concat(hits, F.array(F.col("n_words") - F.aggregate(hits, F.lit(0.0), lambda a, v: a + v))))
+        words = bound(hist, lambda h: word_distance(h, F.slice(ref["words"], 1, F.size(h))))
+        near = F.struct(words.alias("w"), char_distance(ref["chars"]).alias("c"))
+        return bound(near, lambda d: F.struct(F.coalesce(d["w"], F.lit(2.0)), F.coalesce(d["c"], F.lit(2.0)), ref["lang"], d.alias("d")))
+
+    every = refs.filter(enough).join(common, "lang").agg(F.collect_list(F.struct("lang", "common", F.col("ref_chars_hist").alias("chars"), F.col("ref_words_hist").alias("words"))).alias("every"))
+    unnamed = rows.filter(F.col("lang") == NO_LANG).crossJoin(F.broadcast(every))  # one row
+    unnamed = unnamed.withColumn("nearest", F.array_min(F.transform("every", distances))["d"])
+    out = own.unionByName(unnamed.select(rows["*"], F.col("nearest.c").alias("char_distance"), F.col("nearest.w").alias("word_distance")))
     failed = (F.col("n_words") < base_min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     even = (F.coalesce("char_distance", F.lit(0.0)) <= max_char_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= max_word_distance)
     return out.select(

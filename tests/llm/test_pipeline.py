@@ -2,6 +2,8 @@ from __future__ import annotations
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from plumbline.llm import mixing, neardup
 from plumbline.llm.common import saved
@@ -42,3 +44,12 @@ def test_edge_rows_pass_every_stage(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "piece", "start", "length", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
+
+
+def test_predicted_languages_reach_the_quality_stage(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    hidden = docs.withColumn("lang", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2, F.col("lang")))
+    out = saved(corpus_pipeline.keep_known_languages(spark, hidden, SF), "known").collect()
+    own, hidden_ids = {r.doc_id: r.lang for r in docs.collect()}, {r.doc_id for r in hidden.filter("lang IS NULL").collect()}
+    assert hidden_ids & {r.doc_id for r in out} and all(r.lang is not None for r in out)
+    assert sum(r.lang != own[r.doc_id] for r in out) <= 0.02 * len(hidden_ids)

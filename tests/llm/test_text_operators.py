@@ -161,3 +161,34 @@ def test_quality_edge_cases(spark):
     even = docs.select(F.array(F.lit(1.0), F.lit(0.0)).alias("p"), F.array(F.lit(0.0), F.lit(3.0)).alias("q")).limit(1)
     assert even.select(quality.js_distance(F.col("p"), F.col("q"))).first()[0] == pytest.approx(1.0)
     assert even.select(quality.js_distance(F.col("p"), F.col("p"))).first()[0] == 0.0
+
+
+def test_documents_without_language_are_judged_by_the_nearest(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    hidden = docs.withColumn("lang", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0, F.col("lang")))
+    own = {r.doc_id: r for r in quality.quality_verdicts(docs).collect()}
+    got = {r.doc_id: r for r in quality.quality_verdicts(hidden).collect()}
+    lang = {r.doc_id: r.lang for r in docs.collect()}
+    unnamed = [r.doc_id for r in hidden.filter("lang IS NULL").collect()]
+    passed = [d for d in unnamed if own[d].kept and own[d].n_words >= 100]
+    assert {lang[d] for d in passed} == {"de", "en", "es", "fr"}
+    assert [d for d in passed if not got[d].kept] == []
+    # noise is as far from the nearest reference as from its own
+    failed = [d for d in unnamed if not own[d].kept and own[d].n_words >= 100]
+    assert failed and all(not got[d].kept for d in failed if not own[d].base_failed) and all(got[d].word_distance is not None for d in failed)
+    # brute force over the named documents' words
+    words = {r.doc_id: [w.decode() for w in r.text.encode().split()] for r in docs.collect()}
+    counts = {x: Counter(w for d in words if lang[d] == x and d not in set(unnamed) for w in words[d]) for x in ("de", "en", "es", "fr")}
+    common = {x: sorted(c, key=lambda w, c=c: (-c[w], w))[:40] for x, c in counts.items()}
+
+    def distance(d, x):
+        c, n = Counter(words[d]), [counts[x][w] for w in common[x]]
+        p, q = np.array([c[w] for w in common[x]], float), np.array(n, float)
+        p, q = np.append(p, len(words[d]) - p.sum()) / len(words[d]), np.append(q, counts[x].total() - q.sum()) / counts[x].total()
+        m = (p + q) / 2
+        return np.sqrt(max(0, sum(np.sum(v[v > 0] * np.log2(v[v > 0] / m[v > 0])) for v in (p, q)) / 2))
+
+    for d in [d for d in words if len(words[d]) >= 100]:
+        assert got[d].word_distance == pytest.approx(min(distance(d, x) for x in counts) if d in unnamed else distance(d, lang[d]), abs=1e-9)
+    nameless = quality.quality_verdicts(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert all(r.char_distance is None and r.word_distance is None and r.kept == (not r.base_failed) for r in nameless)
