@@ -532,6 +532,11 @@ def _(spark, sf):
     return outliers.combined_outliers(read(spark, sf, "events"), ["value"]).drop("values")
 
 
+@query("outlier_union_forest")
+def _(spark, sf):
+    return outliers.combined_outliers(read(spark, sf, "events"), ["value"], isolation=True).drop("values")
+
+
 @query("outlier_winsor5", f"WITH {_EVENTS_Q} SELECT event_id, round(greatest(a - 5 * (b - a), least(b + 5 * (b - a), value)), 6) AS value FROM events, q")
 def _(spark, sf):
     return rounded(numeric.winsorised(read(spark, sf, "events").select("event_id", "value"), ["value"], 5.0))

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import clustering, numeric, outliers
+from plumbline.plans import catalogue
 
 
 @pytest.fixture(scope="module")
@@ -64,6 +65,21 @@ def test_forest_draws_rows_of_repeated_values(spark, rows):
     assert {r.value for r in outliers.isolation_outliers(df, "v", sample_rows=2000).collect() if r.is_outlier} == {1000.0}
 
 
+def test_whole_union_against_brute_force(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    x = np.array([r.value for r in events.select("value").collect() if r.value is not None])
+    a, b = np.percentile(x, [25, 75])
+    iqr, z = (x < a - 1.5 * (b - a)) | (x > b + 1.5 * (b - a)), np.abs((x - x.mean()) / x.std()) > 3
+    forest = np.isin(x, [r.value for r in outliers.isolation_outliers(events, "value").collect() if r.is_outlier])
+    assert forest.any()
+    got = catalogue.QUERIES["outlier_union_forest"](spark, sf_dir).first()
+    assert (got.n, got.iqr_count, got.zscore_count, got.forest_count, got.outlier_count) == (len(x), iqr.sum(), z.sum(), forest.sum(), (iqr | z | forest).sum())
+    # a value between two groups, which only the forest flags
+    parts = spark.range(1001).select(F.when(F.col("id") == 1000, 5.0).otherwise((F.col("id") % 2) * 10 + F.col("id") / 1000).alias("v"))
+    only = outliers.combined_outliers(parts, ["v"], isolation=True).first()
+    assert (only.iqr_count, only.zscore_count) == (0, 0) and only.forest_count == only.outlier_count > 0 and 5.0 in only["values"]
+
+
 def _dbscan(x, eps, least):
     near = [np.flatnonzero(((x - p) ** 2).sum(1) <= eps * eps) for p in x]
     core = [len(n) >= least for n in near]
