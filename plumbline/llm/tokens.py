@@ -3,13 +3,15 @@
 A tokenizer that drops white space, lowers case, and parts letters and figures from marks gives a
 text the ids of its words, one after the other, whatever the case of ASCII letters and with
 closing marks as words of their own. So each task encodes every different word once, keeps
-the ids of a bounded number of words, and puts texts together by index arithmetic.
-``whole_texts=True`` encodes texts as they are, for tokenizers of which this isn't true.
+the ids of a bounded number of words, and puts texts together by index arithmetic. Whether this
+holds of a tokenizer is tried on made-up texts when it is loaded; if it doesn't, or with
+``whole_texts=True``, texts are encoded as they are.
 """
 
 from __future__ import annotations
 
 import os
+import random
 from array import array
 from collections.abc import Iterator
 
@@ -26,12 +28,15 @@ KEPT_WORDS = 300_000
 #: Words that one call encodes.
 JOINED_WORDS = 200
 #: Bytes of text that a task encodes at once (a longer text is encoded alone).
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 #: Rows that Spark hands over at once, so that long texts don't add up in a worker.
 BATCH_ROWS = 1000
 
-#: Marks after a letter or figure, up to white space.
-CLOSING = r"([\p{L}\p{N}])([.,;:!?#$%&*|]+)(\s|$)"
+#: Marks after a letter or figure, up to white space. Only letters that are one letter in lower case too: a capital
+#: I with a dot becomes two characters, and the dot then belongs to the marks.
+CLOSING = r"([0-9A-Za-z\x{df}-\x{f6}\x{f8}-\x{ff}])([.,;:!?#$%&*|]+)(\s|$)"
+#: What texts that try a tokenizer are made of.
+PROBES = [*"aAzZ09 sStT'.,;:!?#$%&*|<>=()-_\n\t\x0b\x1f", "İ", "ı", "é", "É", "ß", "ẞ", "e\u0301", "\u0307", "\u0338", "Σ", "ς", "ǅ", "K", "Ⅷ", "٣", "中", "か\u3099", "\u00a0", "\u2009", "🙂", "'ll", "'S", "Ab", "the", "<|", "|>", "<|endoftext|>"]
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -46,6 +51,8 @@ class WordEncoder:
         self.tokenizer, self.kept = Tokenizer.from_file(path), {}
         marks = [(str(x), k) for k, x in self.tokenizer.get_added_tokens_decoder().items() if x.special and not (x.lstrip or x.rstrip or x.single_word)]
         self.mark, self.mark_id = marks[0] if marks else (None, None)
+        self.by_words = True
+        self.by_words = self._tried()
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -53,6 +60,14 @@ class WordEncoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
+    def _tried(self, texts: int = 400) -> bool:
+        """Whether texts have the ids of their words."""
+        rng = random.Random(11)
+        made = ["".join(rng.choices(PROBES, k=rng.randint(1, 16))) for _ in range(texts)]
+        ids, ends = self.encode(pa.array(made), None, False)
+        whole = self.tokenizer.encode_batch(made, add_special_tokens=False)
+        return all(ids[lo:hi].tolist() == w.ids for lo, hi, w in zip([0, *ends], ends, whole, strict=False))
+
     def _new_ids(self, words: list[str]) -> list[bytes]:
         """Ids of words, many in a call: with a special token between them, at which their ids are parted."""
         one = [k for k, w in enumerate(words) if self.mark is None or self.mark in w]
@@ -81,7 +96,7 @@ class WordEncoder:
     def encode(self, texts: pa.Array, end_id: int | None, whole_texts: bool) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and where each text ends in it."""
         texts = pc.fill_null(texts, "")
-        if whole_texts:
+        if whole_texts or not self.by_words:
             lists = pa.array([[t] for t in texts.to_pylist()], pa.list_(pa.string()))
         else:
             spaced = pc.replace_substring_regex(texts, CLOSING, r"\1 \2\3")
