@@ -9,17 +9,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.schema import feature_columns
+from plumbline.functions.schema import feature_columns, stored
 from plumbline.functions.text import percent
 
-from .numeric import DESCRIBE, _by_column, number
+from .numeric import _by_column
+from .quantiles import number
 
 LEAST_VALUES = 5
 
 
 def fences(df: DataFrame, columns: list[str] | None = None, factor: float = 1.5) -> DataFrame:
     """column, n, lower, upper: the quartiles less and plus ``factor`` times their distance."""
-    wide = _by_column(df, columns or feature_columns(df), {"n": F.count, "q25": DESCRIBE["q25"], "q75": DESCRIBE["q75"]})
+    wide = _by_column(df, columns or feature_columns(df), {"n": F.count}, {"q25": 0.25, "q75": 0.75})
     width = factor * (F.col("q75") - F.col("q25"))
     return wide.select("column", "n", (F.col("q25") - width).alias("lower"), (F.col("q75") + width).alias("upper"))
 
@@ -30,6 +31,12 @@ def cells(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.inline(parts)).filter("value IS NOT NULL")
 
 
+def least_values(rows: DataFrame, listed: int) -> DataFrame:
+    """The ``listed`` smallest values of each column; the rank is bounded, so tasks hand on no more than that."""
+    rank = F.row_number().over(Window.partitionBy("column").orderBy("value"))
+    return rows.select("column", "value").withColumn("rank", rank).filter(F.col("rank") <= listed).drop("rank")
+
+
 def iqr_outliers(df: DataFrame, columns: list[str] | None = None, factor: float = 1.5, listed: int = 5, *, of_all_rows: bool = False) -> DataFrame:
     """column, lower, upper, outlier_count, outlier_pct (of the filled cells, or of all rows), least, most, examples.
     Columns of fewer than 5 values are left out."""
@@ -38,8 +45,10 @@ def iqr_outliers(df: DataFrame, columns: list[str] | None = None, factor: float
     total = df.count() if of_all_rows else None
     out = cells(df, columns).join(F.broadcast(bounds), "column").filter((F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper")))  # a row for each column
     out = out.groupBy("column", "value").agg(F.count("*").alias("cnt"))
-    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy("value")))
-    sums = ranked.groupBy("column").agg(F.sum("cnt").alias("outlier_count"), F.min("value").alias("least"), F.max("value").alias("most"), F.sort_array(F.collect_list(F.when(F.col("rank") <= listed, F.col("value")))).alias("examples"))
+    out = stored(out)
+    sums = out.groupBy("column").agg(F.sum("cnt").alias("outlier_count"), F.min("value").alias("least"), F.max("value").alias("most"))
+    first = least_values(out, listed).groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("examples"))
+    sums = sums.join(F.broadcast(first), "column", "left")  # a row for each column
     rows = bounds.join(sums, "column", "left")
     count = F.coalesce("outlier_count", F.lit(0))
     base = F.lit(total) if of_all_rows else F.col("n")
@@ -121,7 +130,8 @@ def isolation_outliers(df: DataFrame, column: str, *, sample_rows: int = 25_600,
 
     scored = values.withColumn("score", score("value"))
     contamination = min(0.1, max(0.01, 10 / n))
-    cut = scored.agg(F.percentile("score", F.lit(1 - contamination), F.col("cnt"))).first()[0]
+    steps = scored.groupBy("score").agg(F.sum("cnt").alias("cnt"))  # scores are a step function's, a bounded number
+    cut = steps.agg(F.percentile("score", F.lit(1 - contamination), F.col("cnt"))).first()[0]
     return scored.select("value", "score", (F.col("score") > cut).alias("is_outlier"), "cnt")
 
 
@@ -142,10 +152,9 @@ def combined_outliers(df: DataFrame, columns: list[str] | None = None, *, factor
     v = F.col("value")
     flagged = counted.select("column", "n", "value", "cnt", ((v < F.col("lower")) | (v > F.col("upper"))).alias("by_iqr"), beyond(v, F.col("mean"), F.col("std"), F.col("threshold")).alias("by_z"), F.coalesce("by_forest", F.lit(False)).alias("by_forest"))
     flagged = flagged.withColumn("any", F.col("by_iqr") | F.col("by_z") | F.col("by_forest"))
-    ranked = flagged.withColumn("rank", F.row_number().over(Window.partitionBy("column", "any").orderBy("value")))
+    flagged = stored(flagged)
     count = lambda c: F.sum(F.when(F.col(c), F.col("cnt")).otherwise(0))
-    sums = ranked.groupBy("column", "n").agg(
-        count("by_iqr").alias("iqr_count"), count("by_z").alias("zscore_count"), count("by_forest").alias("forest_count"), count("any").alias("outlier_count"),
-        F.sort_array(F.collect_list(F.when(F.col("any") & (F.col("rank") <= listed), v))).alias("values"),
-    )
+    sums = flagged.groupBy("column", "n").agg(count("by_iqr").alias("iqr_count"), count("by_z").alias("zscore_count"), count("by_forest").alias("forest_count"), count("any").alias("outlier_count"))
+    first = least_values(flagged.filter("any"), listed).groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("values"))
+    sums = sums.join(F.broadcast(first), "column", "left").withColumn("values", F.coalesce("values", F.array().cast("array<double>")))  # a row for each column
     return sums.withColumn("outlier_pct", percent(F.col("outlier_count"), F.col("n")))
