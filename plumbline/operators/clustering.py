@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+import math
 import time
 from itertools import product
 
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, PCAModel, StandardScaler, StandardScalerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.schema import feature_columns, quoted, stored
@@ -31,58 +32,137 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def dbscan(points: DataFrame, features: list[str], *, id_col: str, eps: float, min_samples: int, grid_dims: int = 3) -> DataFrame:
+def _boxes(points: DataFrame, key: list[str], dims: int, *aggs: Column) -> DataFrame:
+    """The box (lo, hi: arrays) around the points ``x`` of each key, with further aggregates."""
+    at = lambda f: F.array(*[f(F.get("x", F.lit(k))) for k in range(dims)])
+    return points.groupBy(*key).agg(at(F.min).alias("lo"), at(F.max).alias("hi"), *aggs)
+
+
+def _between(lo: str, hi: str, other_lo: str, other_hi: str, dims: int) -> tuple[Column, Column]:
+    """Squares of the least and the greatest distance between points of two boxes."""
+    of = lambda c, k: F.get(c, F.lit(k))
+    gap = [F.greatest(F.lit(0.0), of(lo, k) - of(other_hi, k), of(other_lo, k) - of(hi, k)) for k in range(dims)]
+    reach = [F.greatest(of(hi, k) - of(other_lo, k), of(other_hi, k) - of(lo, k)) for k in range(dims)]
+    return sum((g * g for g in gap), F.lit(0.0)), sum((r * r for r in reach), F.lit(0.0))
+
+
+def _renamed(df: DataFrame, prefix: str = "other_") -> DataFrame:
+    return df.toDF(*[prefix + c for c in df.columns])
+
+
+def dbscan(points: DataFrame, features: list[str], *, id_col: str, eps: float, min_samples: int, grid_dims: int = 3, box_split: int = 8) -> DataFrame:
     """id_col, label: density clusters by euclidean distance, numbered from 0 by their smallest core id; -1 is noise.
 
-    Exact. Points meet in cells of size eps over the ``grid_dims`` features that vary most, each with the
-    cells around it, so only neighbours in these dimensions are compared. Points that are equal
-    in all features are one weighted point. A border point joins the cluster of its nearest core
-    point (ties: the smaller cluster)."""
+    Exact. Points that are equal in all features are one weighted site. Sites lie in cells with a side of
+    eps / sqrt(dimensions), so a cell's sites are all neighbours: one that weighs ``min_samples`` or more is
+    core without a look at any pair, and core sites of a cell are one cluster. Cells meet by a coarser grid over the
+    ``grid_dims`` features that vary most; boxes around their sites tell most pairs of cells
+    that are wholly inside or beyond eps. Distances are computed for the few sites of
+    sparse cells, whose neighbours are counted, and for what boxes of an ``box_split``-th of a cell leave open.
+    No table of neighbours is stored. A border site joins the cluster of its nearest core site (ties: the smaller cluster)."""
+    dims, far = len(features), eps * eps
     cols = [quoted(f).cast("double").alias(f"f{k}") for k, f in enumerate(features)]
-    names = [f"f{k}" for k in range(len(features))]
+    names = [f"f{k}" for k in range(dims)]
     rows = stored(points.select(F.col(id_col).alias("id"), *cols))
-    whole = rows.dropna(subset=names)
-    sites = stored(whole.groupBy(*names).agg(F.count("*").alias("w"), F.min("id").alias("site")))
+    side = eps / math.sqrt(dims)
+    placed = lambda width: F.transform("x", lambda v: F.floor(v / width).cast("long"))
+    finite = F.lit(True)
+    for n in names:
+        finite = finite & (F.abs(n) < float("inf"))  # neither NULL nor NaN
+    sites = rows.filter(finite).groupBy(*names).agg(F.count("*").alias("w"), F.min("id").alias("site")).withColumn("x", F.array(*names))
+    sites = stored(sites.withColumns({"cell": placed(side), "box": placed(side / box_split)}))
+    squares = F.aggregate(F.zip_with("x", "other_x", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+
+    # pairs of cells that may hold neighbours, itself included
+    cells = stored(_boxes(sites, ["cell"], dims, F.sum("w").alias("weight")))
     spread = sites.agg(*[(F.max(n) - F.min(n)).alias(n) for n in names]).first()
-    axes = sorted(names, key=lambda n: -((spread[n] if spread else 0) or 0))[:grid_dims]
-    cell = [F.floor(F.col(a) / eps).cast("long").alias(f"c{k}") for k, a in enumerate(axes)]
-    homes = sites.select("site", "w", F.array(*names).alias("x"), *cell)
-    around = F.array(*[F.struct(*[(F.col(f"c{k}") + d).alias(f"c{k}") for k, d in enumerate(step)]) for step in product((-1, 0, 1), repeat=len(axes))])
-    offered = homes.select(F.col("site").alias("other"), F.col("w").alias("other_w"), F.col("x").alias("y"), F.explode(around).alias("at")).select("other", "other_w", "y", "at.*")
-    squares = F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    near = homes.join(offered, [f"c{k}" for k in range(len(axes))]).withColumn("d2", squares).filter(F.col("d2") <= eps * eps)
-    near = stored(near.select("site", "other", "other_w", "d2"))
-    core = stored(near.groupBy("site").agg(F.sum("other_w").alias("n")).filter(F.col("n") >= min_samples).select("site"))
-    pairs = near.join(core, "site").join(core.withColumnRenamed("site", "other"), "other")
-    labels = components(pairs.select(F.col("site").alias("a"), F.col("other").alias("b")))
-    clusters = stored(core.join(labels, core["site"] == labels["node"], "left").select("site", F.coalesce("component", "site").alias("root")))
-    border = near.join(core, "site", "left_anti").join(clusters.withColumnRenamed("site", "other"), "other")
-    border = border.groupBy("site").agg(F.min_by("root", F.struct("d2", "root")).alias("root"))
-    placed = stored(clusters.unionByName(border))
-    roots = placed.select("root").distinct()
+    axes = sorted(range(dims), key=lambda k: -((spread[f"f{k}"] if spread else 0) or 0))[:grid_dims]
+    reach = math.ceil(math.sqrt(dims) - 1e-9)
+    coarse = [F.floor(F.get("cell", F.lit(k)) / F.lit(reach)).alias(f"c{j}") for j, k in enumerate(axes)]
+    around = F.array(*[F.struct(*[(F.col(f"c{j}") + d).alias(f"c{j}") for j, d in enumerate(step)]) for step in product((-1, 0, 1), repeat=len(axes))])
+    offered = _renamed(cells).join(cells.select(F.col("cell").alias("other_cell"), *coarse), "other_cell")
+    offered = offered.select("other_cell", "other_lo", "other_hi", "other_weight", F.explode(around).alias("at")).select("other_cell", "other_lo", "other_hi", "other_weight", "at.*")
+    least, most = _between("lo", "hi", "other_lo", "other_hi", dims)
+    same = F.col("cell") == F.col("other_cell")
+    near = cells.select("*", *coarse).join(offered, [f"c{j}" for j in range(len(axes))]).filter(same | (least <= far))
+    near = stored(near.select("cell", "other_cell", "weight", "other_weight", (same | (most <= far)).alias("whole")))
+
+    # core sites: all of a cell that is full, and by their neighbours those of the others, which hold few each
+    sparse = F.col("weight") < min_samples
+    sure = near.filter(sparse & F.col("whole")).groupBy("cell").agg(F.sum("other_weight").alias("sure"))
+    few = stored(sites.join(sure, "cell").select("site", "cell", "x", "box", "sure"))
+    open_pairs = few.join(near.filter(sparse & ~F.col("whole")).select("cell", "other_cell"), "cell")
+    met = open_pairs.join(_renamed(sites.select("cell", "x", "w")), "other_cell").filter(squares <= far).groupBy("site").agg(F.sum("other_w").alias("met"))
+    counted = stored(few.join(met, "site", "left").withColumn("core", F.col("sure") + F.coalesce("met", F.lit(0)) >= min_samples))
+    full = sites.join(cells.filter(~sparse).select("cell"), "cell", "left_semi").select("site", "cell", "x", "box")
+    core = stored(full.unionByName(counted.filter("core").select("site", "cell", "x", "box")))
+
+    # cells whose core sites reach each other: by the boxes of cells, of their parts, and at last by sites
+    hubs = stored(_boxes(core, ["cell"], dims, F.min("site").alias("hub")))
+    bounds = hubs.select("cell", "lo", "hi", "hub")
+    pairs = near.filter(F.col("cell") < F.col("other_cell")).select("cell", "other_cell").join(bounds, "cell").join(_renamed(bounds), "other_cell")
+    pairs = stored(pairs.filter(least <= far).select("cell", "other_cell", "hub", "other_hub", (most <= far).alias("linked")))
+    undecided = pairs.filter("NOT linked").select("cell", "other_cell", "hub", "other_hub")
+    parts = stored(_boxes(core, ["cell", "box"], dims))
+    part_pairs = undecided.join(parts, "cell").join(_renamed(parts), "other_cell").filter(least <= far)
+    part_pairs = stored(part_pairs.select("cell", "other_cell", "box", "other_box", "hub", "other_hub", (most <= far).alias("linked")))
+    by_parts = stored(part_pairs.filter("linked").select("cell", "other_cell", "hub", "other_hub").distinct())
+    rest = part_pairs.join(by_parts.select("cell", "other_cell"), ["cell", "other_cell"], "left_anti")
+    inner = core.select("cell", "box", "x")
+    by_sites = rest.join(inner, ["cell", "box"]).join(_renamed(inner), ["other_cell", "other_box"]).filter(squares <= far).select("hub", "other_hub").distinct()
+    edges = pairs.filter("linked").select("hub", "other_hub").unionByName(by_parts.select("hub", "other_hub")).unionByName(by_sites)
+    labels = components(edges.toDF("a", "b"))
+    clusters = stored(hubs.select("cell", "hub").join(labels, F.col("hub") == labels["node"], "left").select("cell", F.coalesce("component", "hub").alias("root")))
+
+    by_core = core.select("site", "cell").join(clusters, "cell").select("site", "root")
+    lone = counted.filter("NOT core").select("site", "cell", "x").join(near.select("cell", "other_cell"), "cell")
+    border = lone.join(_renamed(core.select("cell", "x")), "other_cell").withColumn("d2", squares).filter(F.col("d2") <= far)
+    border = border.join(_renamed(clusters), "other_cell").groupBy("site").agg(F.min_by("other_root", F.struct("d2", "other_root")).alias("root"))
+    of_site = stored(by_core.unionByName(border))
     # clusters are few against the points, and each is one row here
-    numbered = roots.select("root", (F.expr("row_number() over (order by root)") - 1).cast("int").alias("label"))
-    by_site = sites.join(placed, "site", "left").join(numbered, "root", "left").select(*names, F.coalesce("label", F.lit(-1)).alias("label"))
-    same = [rows[n] == by_site[n] for n in names]
-    condition = same[0]
-    for c in same[1:]:
-        condition = condition & c
+    numbered = of_site.select("root").distinct().select("root", (F.expr("row_number() over (order by root)") - 1).cast("int").alias("label"))
+    by_site = sites.join(of_site, "site", "left").join(numbered, "root", "left").select(*names, F.coalesce("label", F.lit(-1)).alias("label"))
+    condition = rows[names[0]] == by_site[names[0]]
+    for n in names[1:]:
+        condition = condition & (rows[n] == by_site[n])
     return rows.join(by_site, condition, "left").select(F.col("id").alias(id_col), F.coalesce("label", F.lit(-1)).alias("label"))
 
 
-def reconstruction(df: DataFrame, features: list[str], *, id_col: str, kept: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(id_col, reconstruction_error, latent features) by principal components of the scaled features, and the
-    scaled table. The mean squared difference to the point rebuilt from ``kept`` components."""
-    kept = kept or max(1, min(10, len(features) - 1))
-    wide = VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="skip").transform(df.select(F.col(id_col), *[quoted(f).cast("double").alias(f) for f in features]))
-    scaled = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True).fit(wide).transform(wide)
-    model = PCA(k=kept, inputCol="scaled", outputCol="latent").fit(scaled)
-    ways = model.pc.toArray()  # features by components
-    out = model.transform(scaled).select(id_col, vector_to_array("scaled").alias("x"), vector_to_array("latent").alias("z"))
-    rebuilt = F.array(*[sum((F.get("z", F.lit(j)) * float(ways[i, j]) for j in range(kept)), F.lit(0.0)) for i in range(len(features))])
-    error = F.aggregate(F.zip_with("x", rebuilt, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v) / len(features)
-    latent = [F.get("z", F.lit(j)).alias(f"latent{j}") for j in range(kept)]
-    return out.select(id_col, error.alias("reconstruction_error"), *latent), out
+class Reconstruction:
+    """A fitted scaler and principal components; what a run saves to score other rows by."""
+
+    def __init__(self, scaler: StandardScalerModel, model: PCAModel, features: list[str]):
+        self.scaler, self.model, self.features = scaler, model, features
+
+    @staticmethod
+    def _wide(df: DataFrame, features: list[str], id_col: str | None) -> DataFrame:
+        kept = [] if id_col is None else [F.col(id_col)]
+        return VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="skip").transform(df.select(*kept, *[quoted(f).cast("double").alias(f) for f in features]))
+
+    @classmethod
+    def fit(cls, df: DataFrame, features: list[str], kept: int | None = None) -> Reconstruction:
+        wide = cls._wide(df, features, None)
+        scaler = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True).fit(wide)
+        kept = kept or max(1, min(10, len(features) - 1))
+        return cls(scaler, PCA(k=kept, inputCol="scaled", outputCol="latent").fit(scaler.transform(wide)), features)
+
+    def errors(self, df: DataFrame, id_col: str) -> DataFrame:
+        """id_col, reconstruction_error (mean squared difference of the scaled features to the point rebuilt from the
+        components), and the latent features, for rows that have all features."""
+        ways = self.model.pc.toArray()  # features by components
+        kept = range(ways.shape[1])
+        out = self.model.transform(self.scaler.transform(self._wide(df, self.features, id_col))).select(id_col, vector_to_array("scaled").alias("x"), vector_to_array("latent").alias("z"))
+        rebuilt = F.array(*[sum((F.get("z", F.lit(j)) * float(ways[i, j]) for j in kept), F.lit(0.0)) for i in range(len(self.features))])
+        error = F.aggregate(F.zip_with("x", rebuilt, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v) / len(self.features)
+        return out.select(id_col, error.alias("reconstruction_error"), *[F.get("z", F.lit(j)).alias(f"latent{j}") for j in kept])
+
+    def save(self, folder: str) -> None:
+        self.scaler.write().overwrite().save(f"{folder}/scaler")
+        self.model.write().overwrite().save(f"{folder}/components")
+
+    @classmethod
+    def load(cls, folder: str, features: list[str]) -> Reconstruction:
+        return cls(StandardScalerModel.load(f"{folder}/scaler"), PCAModel.load(f"{folder}/components"), features)
 
 
 def is_outlier(label: Column, score: Column) -> Column:
@@ -90,18 +170,19 @@ def is_outlier(label: Column, score: Column) -> Column:
     return (label == -1) | F.coalesce(score < 0, F.lit(False))
 
 
-def outlier_pipeline(df: DataFrame, *, id_col: str, features: list[str] | None = None, eps: float = 0.5, min_samples: int = 5) -> tuple[DataFrame, dict]:
+def outlier_pipeline(df: DataFrame, *, id_col: str, features: list[str] | None = None, eps: float = 0.5, min_samples: int = 5, fitted: Reconstruction | None = None) -> tuple[DataFrame, dict]:
     """original_index, is_outlier, if_score, final_cluster_label, reconstruction_error for each row with all
     features, and the run's record. The score is how far a row's error stands inside its cluster's
-    99 % bound (negative beyond it); noise has -1."""
+    99 % bound (negative beyond it; its rank is right to a ten-thousandth of the cluster); noise has -1.
+    ``fitted``: scaler and components of another run instead of this table's own."""
     began = time.time()
     features = features or feature_columns(df)
-    errors, _ = reconstruction(df, features, id_col=id_col)
-    errors = stored(errors)
+    fitted = fitted or Reconstruction.fit(df, features)
+    errors = stored(fitted.errors(df, id_col))
     latent = [c for c in errors.columns if c.startswith("latent")]
     labels = dbscan(errors, latent, id_col=id_col, eps=eps, min_samples=min_samples)
     joined = errors.join(labels, id_col)
-    bounds = joined.groupBy("label").agg(F.percentile("reconstruction_error", F.lit(0.99)).alias("bound"))
+    bounds = joined.groupBy("label").agg(F.percentile_approx("reconstruction_error", F.lit(0.99), 10_000).alias("bound"))
     score = F.when(F.col("label") == -1, -1.0).otherwise(F.coalesce(F.try_divide(F.col("bound") - F.col("reconstruction_error"), F.col("bound")), F.lit(0.0)))
     out = joined.join(bounds, "label").withColumn("if_score", score)
     out = stored(out.select(F.col(id_col).alias("original_index"), is_outlier(F.col("label"), F.col("if_score")).alias("is_outlier"), "if_score", F.col("label").alias("final_cluster_label"), "reconstruction_error"))
@@ -110,8 +191,20 @@ def outlier_pipeline(df: DataFrame, *, id_col: str, features: list[str] | None =
     return out, record
 
 
-def save_run(rows: DataFrame, record: dict, folder: str) -> None:
-    """A run's artifacts under ``folder``: the labelled rows as Parquet, the record as one JSON line."""
-    rows.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/cluster_labels.parquet")
+def save_run(rows: DataFrame, record: dict, folder: str, fitted: Reconstruction | None = None) -> None:
+    """A run's artifacts under ``folder``: the labelled rows as Parquet, the record as one JSON line, and the scaler and
+    components, which ``load_run`` reads back."""
+    folder = folder.rstrip("/")
+    rows.write.mode("overwrite").parquet(f"{folder}/cluster_labels.parquet")
+    if fitted is not None:
+        fitted.save(folder)
+        record = {**record, "features": fitted.features}
     one = rows.sparkSession.createDataFrame([(json.dumps(record, sort_keys=True),)], "value string")
-    one.coalesce(1).write.mode("overwrite").text(f"{folder.rstrip('/')}/run_summary")
+    one.coalesce(1).write.mode("overwrite").text(f"{folder}/run_summary")
+
+
+def load_run(spark: SparkSession, folder: str) -> tuple[dict, Reconstruction | None]:
+    """The record of a saved run, and its scaler and components if they were saved."""
+    folder = folder.rstrip("/")
+    record = json.loads(spark.read.text(f"{folder}/run_summary").first().value)
+    return record, Reconstruction.load(folder, record["features"]) if "features" in record else None
