@@ -10,21 +10,30 @@ from pyspark.sql import types as T
 from plumbline.functions.schema import quoted, stored
 from plumbline.functions.text import normalised, percent
 
-from .frequency import frequencies
 from .inference import id_columns
 
 #: Parts of a name that keep a column out of duplicate search.
 ID_NAME_PARTS = ["id", "key", "uuid", "guid", "index", "code", "num", "no", "number"]
 
 
-def duplicate_search_columns(df: DataFrame) -> list[str]:
+def duplicate_search_columns(df: DataFrame, order: str | None = None) -> list[str]:
     """All columns but those that identify rows: by name, by content, or because over 95 % of their
-    values differ (asked of tables of more than 10 rows)."""
-    found = {r.column for r in id_columns(df).collect()}
-    counts = frequencies(df, df.columns).groupBy("column").agg(F.count_if(F.col("value").isNotNull()).alias("different"), F.sum("cnt").alias("total"))
-    unique = {r.column for r in counts.filter((F.col("total") > 10) & (F.col("different") > 0.95 * F.col("total"))).collect()}  # one row for each column at most
+    values differ (asked of tables of more than 10 rows). A sketch counts the different values; only columns
+    near the bound are counted exactly."""
+    found = {r.column for r in id_columns(df, order=order).collect()}
     named = {c for c in df.columns if any(p in c.lower() for p in ID_NAME_PARTS)}
-    return [c for c in df.columns if c not in found | unique | named]
+    asked = [c for c in df.columns if c not in found | named]
+    if not asked:
+        return []
+    row = df.agg(F.count("*").alias("n"), *[F.approx_count_distinct(quoted(c).cast("string"), 0.016).alias(f"u{k}") for k, c in enumerate(asked)]).first()
+    if row.n <= 10:
+        return asked
+    near = [c for k, c in enumerate(asked) if row[f"u{k}"] > 0.8 * row.n]  # ten standard errors below the bound
+    unique = set()
+    for c in near:
+        if df.select(quoted(c).cast("string").alias("v")).filter("v IS NOT NULL").distinct().count() > 0.95 * row.n:
+            unique.add(c)
+    return [c for c in asked if c not in unique]
 
 
 def normalised_row(df: DataFrame, columns: list[str] | None = None, *, case_sensitive: bool = False, ignore_whitespace: bool = True) -> list[Column]:
@@ -63,9 +72,14 @@ def duplicate_groups(df: DataFrame, columns: list[str], order: str) -> DataFrame
 def duplicate_examples(indexed: DataFrame, flags: DataFrame, row_index: str = "row_index", n: int = 5) -> DataFrame:
     """The first ``n`` duplicates with both rows as JSON."""
     first = flags.filter("is_duplicate").orderBy("row_index").limit(n).select(F.col("original_index"), F.col("row_index").alias("duplicate_index"))
+    return _with_rows(indexed, first, row_index).withColumns({"type": F.lit("exact"), "similarity": F.lit(1.0)})
+
+
+def _with_rows(indexed: DataFrame, pairs: DataFrame, row_index: str) -> DataFrame:
+    """A few pairs (original_index, duplicate_index) with original_row and duplicate_row as JSON."""
     rows = indexed.select(F.col(row_index).alias("at"), F.to_json(F.struct(*[quoted(c) for c in indexed.columns if c != row_index])).alias("row"))
-    one = first.join(rows, first["original_index"] == rows["at"]).drop("at").withColumnRenamed("row", "original_row")
-    return one.join(rows, one["duplicate_index"] == rows["at"]).drop("at").withColumnRenamed("row", "duplicate_row").withColumns({"type": F.lit("exact"), "similarity": F.lit(1.0)})
+    one = pairs.join(rows, pairs["original_index"] == rows["at"]).drop("at").withColumnRenamed("row", "original_row")
+    return one.join(rows, one["duplicate_index"] == rows["at"]).drop("at").withColumnRenamed("row", "duplicate_row")
 
 
 def indel_similarity(a: str, b: str) -> float:
@@ -84,9 +98,33 @@ def indel_similarity(a: str, b: str) -> float:
 
 
 def record_text(df: DataFrame, columns: list[str], style: str = "values") -> Column:
-    """A row as one text: its values, or as ``dict`` with the column names as well."""
-    cells = [F.coalesce(quoted(c).cast("string"), F.lit("NULL")) for c in columns]
-    return F.concat_ws(" ", *(cells if style == "values" else [F.concat(F.lit(f"'{c}': "), x) for c, x in zip(columns, cells, strict=True)]))
+    """A row as one text: its values, or as ``dict`` with the column names and texts in quotes as well."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    if style == "values":
+        return F.concat_ws(" ", *[F.coalesce(quoted(c).cast("string"), F.lit("NULL")) for c in columns])
+    cells = [F.concat(F.lit("'"), quoted(c), F.lit("'")) if isinstance(kinds[c], T.StringType) else quoted(c).cast("string") for c in columns]
+    return F.concat(F.lit("{"), F.concat_ws(", ", *[F.concat(F.lit(f"'{c}': "), F.coalesce(x, F.lit("nan"))) for c, x in zip(columns, cells, strict=True)]), F.lit("}"))
+
+
+def near_rows(indexed: DataFrame, columns: list[str], threshold: float = 0.9, *, row_index: str = "row_index", up_to: int | None = None) -> DataFrame:
+    """Pairs (a, b, similarity) of rows that aren't equal but nearly so once normalised; of equal rows the first stands
+    for all. Rows are compared as texts with the column names. ``up_to``: beyond so many different rows none is sought."""
+    kinds = {f.name: f.dataType for f in indexed.schema.fields}
+    cells = normalised_row(indexed, columns)
+    rows = indexed.select(F.col(row_index).alias("row_index"), *[c.alias(f"c{k}") for k, c in enumerate(cells)])
+    rows = rows.groupBy(*[f"c{k}" for k in range(len(columns))]).agg(F.min("row_index").alias("row_index"))
+    rows = stored(rows.select("row_index", *[F.col(f"c{k}").alias(c) for k, c in enumerate(columns)]))
+    assert all(rows.schema[c].dataType == kinds[c] for c in columns)
+    records = rows.select("row_index", record_text(rows, columns, "dict").alias("record"))
+    if up_to is not None and rows.count() > up_to:
+        records = records.limit(0)
+    return near_duplicates(records, threshold)
+
+
+def near_examples(indexed: DataFrame, pairs: DataFrame, row_index: str = "row_index", n: int = 5) -> DataFrame:
+    """The first ``n`` near pairs with both rows as JSON, as in ``duplicate_examples``."""
+    first = pairs.orderBy("a", "b").limit(n).select(F.col("a").alias("original_index"), F.col("b").alias("duplicate_index"), "similarity")
+    return _with_rows(indexed, first, row_index).withColumn("type", F.lit("near"))
 
 
 def near_duplicates(records: DataFrame, threshold: float = 0.9, *, id_col: str = "row_index", text_col: str = "record", metric: str = "indel") -> DataFrame:
@@ -144,20 +182,23 @@ def near_duplicates(records: DataFrame, threshold: float = 0.9, *, id_col: str =
     return out.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
 
 
-def duplicate_totals(exact: int, near_pairs: int, rows: int) -> dict:
-    """Count and percentage of a report: exact duplicates and near pairs together."""
-    count = exact + near_pairs
-    return {"duplicate_count": count, "duplicate_percentage": round(count / rows * 100, 2) if rows else 0.0, "near_duplicate_count": near_pairs}
+def duplicate_totals(exact: DataFrame, near_count: int | Column) -> DataFrame:
+    """A profile's row with its near pairs added to the count: total_rows, duplicate_count, duplicate_pct, near_duplicate_count."""
+    near = near_count if isinstance(near_count, Column) else F.lit(near_count)
+    count = F.col("duplicate_count") + near
+    return exact.select("total_rows", count.alias("duplicate_count"), percent(count, F.col("total_rows")).alias("duplicate_pct"), near.cast("long").alias("near_duplicate_count"))
 
 
-def duplicate_profiles(df: DataFrame) -> DataFrame:
+def duplicate_profiles(df: DataFrame, *, near_threshold: float = 0.9, near_up_to: int | None = None, order: str | None = None) -> DataFrame:
     """Three profiles of the table as rows: raw rows, normalised rows, and normalised rows without the
-    columns that identify them; ``additional`` is what the last finds beyond the first."""
-    smart = duplicate_search_columns(df)
-    parts = [("standard", exact_duplicates(df)), ("normalized", normalised_duplicates(df)), ("smart", normalised_duplicates(df, smart) if smart else exact_duplicates(df))]
+    columns that identify them, to which each pair of nearly equal rows adds one."""
+    smart = duplicate_search_columns(df, order) or df.columns
+    numbered = df.select(*[quoted(c) for c in smart]).withColumn("__row", F.monotonically_increasing_id())
+    near = near_rows(numbered, smart, near_threshold, row_index="__row", up_to=near_up_to).count() if near_threshold < 1 else 0
+    parts = [("standard", exact_duplicates(df), 0), ("normalized", normalised_duplicates(df), 0), ("smart", normalised_duplicates(df, smart), near)]
     out = None
-    for name, part in parts:
-        part = part.select(F.lit(name).alias("profile"), "*")
+    for name, part, pairs in parts:
+        part = duplicate_totals(part, pairs).select(F.lit(name).alias("profile"), "*")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -34,9 +34,10 @@ def id_columns(df: DataFrame, *, content_check: bool = True, order: str | None =
     others = [c for c in df.columns if c not in named]
     if not (content_check and others):
         return out
+    at = quoted(order) if order else F.monotonically_increasing_id()  # the order of the table's files, not of whichever task ends first
     for c in others:
-        some = df.filter(quoted(c).isNotNull())
-        some = (some.orderBy(order) if order else some).select(quoted(c).cast("string").alias("value")).limit(first)
+        some = df.select(quoted(c).cast("string").alias("value"), at.alias("at")).filter("value IS NOT NULL")
+        some = some.orderBy("at", "value").select("value").limit(first)
         verdict = some.agg(F.count("*").alias("n"), F.count_distinct("value").alias("u"), F.coalesce(F.bool_or(F.col("value").rlike(UUID)), F.lit(False)).alias("uuid"))
         out = out.unionByName(verdict.filter("n > 0 AND (u > 0.9 * n OR uuid)").select(F.lit(c).alias("column"), F.lit("content").alias("reason")))
     return out
@@ -80,8 +81,10 @@ def invalid_dates(freq: DataFrame, types: DataFrame, listed: int = 10) -> DataFr
     ok = F.when(F.col("date_format").isNull(), F.try_to_timestamp("value").isNotNull())
     for f in DATE_FORMATS:
         ok = ok.when(F.col("date_format") == f, F.try_to_timestamp("value", F.lit(f)).isNotNull())
-    bad = dated.filter(~ok).withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy("value")))
-    return bad.groupBy("column").agg(F.sum("cnt").alias("cells"), F.sort_array(F.collect_list(F.when(F.col("rank") <= listed, F.col("value")))).alias("values"))
+    bad = dated.filter(~ok)
+    first = bad.withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy("value"))).filter(F.col("rank") <= listed)
+    lists = first.groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("values"))
+    return bad.groupBy("column").agg(F.sum("cnt").alias("cells")).join(lists, "column")
 
 
 def integer_like_floats(df: DataFrame) -> DataFrame:
