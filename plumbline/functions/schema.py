@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -47,7 +48,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; in a local session without one, a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):  # local-cluster has executors with folders of their own
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.gettempdir() + "/plumbline-shared"
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"

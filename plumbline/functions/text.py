@@ -6,15 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Texts that stand for a missing value, compared without regard to case.
-NULL_TOKENS = [
-    "nan", "na", "n/a", "null", "none", "", " ", "-", "--", "?", "unknown", "unk", "undefined", "missing", "miss",
-    "#n/a", "#n/a n/a", "#na", "-1.#ind", "-1.#qnan", "-nan", "1.#ind", "1.#qnan", "<na>", "nil",
-    "(null)", "[null]", "{null}", "<null>", "(empty)", "[empty]", "{empty}", "<empty>",
-    "not available", "not applicable", "to be determined", "tbd", "not specified", "not provided",
-    "\\n", "\n", "\r", "\t", "void", "blank", "empty", "0", "0.0", "0.00", "false", "no value", "no data",
-]
-#: The same tokens as they are written where case counts.
+#: Texts that stand for a missing value, as they are written where case counts.
 EXACT_NULL_TOKENS = [
     "nan", "NaN", "NA", "N/A", "n/a", "na", "null", "NULL", "Null", "none", "NONE", "None", "", " ", "-", "--", "?",
     "unknown", "UNKNOWN", "Unknown", "UNK", "undefined", "UNDEFINED", "Undefined", "missing", "MISSING", "Missing", "MISS",
@@ -26,12 +18,15 @@ EXACT_NULL_TOKENS = [
     "empty", "EMPTY", "Empty", "0", "0.0", "0.00", "false", "FALSE", "False", "no value", "NO VALUE", "No Value",
     "no data", "NO DATA", "No Data",
 ]
+#: The same tokens compared without regard to case.
+NULL_TOKENS = list(dict.fromkeys(t.lower() for t in EXACT_NULL_TOKENS))
 #: The tokens of the short report, case counts.
 REPORT_TOKENS = ["nan", "NaN", "NA", ""]
 #: Whole cells that duplicate detection takes for a missing value, case doesn't count.
 DUPLICATE_NULLS = ["nan", "null", "none", "na", "n/a", ""]
-#: Punctuation that duplicate detection ignores.
+#: Fixed value: punctuation that duplicate detection ignores.
 IGNORED_MARKS = r"""[,.'"\-_()\[\]{}]"""
+#: What a text that is a number looks like.
 NUMBER = r"^[ \t\n\r\f\v]*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[ \t\n\r\f\v]*$"
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.schema import numeric_columns, string_columns
+from plumbline.functions.schema import numeric_columns, quoted, string_columns
 from plumbline.functions.text import strip, to_number
 
 from .frequency import distinct_counts, frequencies, top_values
@@ -20,6 +20,11 @@ from .rules import (
 )
 
 
+#: Different values that a category of texts has at most, and values that a list of examples holds.
+MOST_VALUES = 50
+LISTED = 100
+
+
 def _filled() -> Column:
     return F.col("value").isNotNull()
 
@@ -30,9 +35,14 @@ def categorical_columns(df: DataFrame, ids: list[str] = ()) -> DataFrame:
     booleans = [f.name for f in df.schema.fields if isinstance(f.dataType, T.BooleanType)]
     texts = [c for c in string_columns(df) if c not in ids]
     numbers = [c for c in numeric_columns(df) + booleans if c not in ids]
-    counts = distinct_counts(frequencies(df, texts + numbers))
+    if not texts + numbers:
+        return df.sparkSession.createDataFrame([], "column string, n_unique bigint, total bigint")
+    # a sketch keeps columns of many values, which can't be categories, out of the shuffle
+    about = df.agg(*[F.approx_count_distinct(quoted(c).cast("string")).alias(f"u{k}") for k, c in enumerate(texts + numbers)]).first()
+    few = [c for k, c in enumerate(texts + numbers) if about[f"u{k}"] <= 2 * MOST_VALUES]
+    counts = distinct_counts(frequencies(df, few))
     is_text = F.col("column").isin(texts) if texts else F.lit(False)
-    bound = F.when(is_text, F.least(F.lit(50.0), 0.2 * F.col("total"))).otherwise(F.least(F.lit(15.0), 0.1 * F.col("total")))
+    bound = F.when(is_text, F.least(F.lit(float(MOST_VALUES)), 0.2 * F.col("total"))).otherwise(F.least(F.lit(15.0), 0.1 * F.col("total")))
     return counts.filter((F.col("n_unique") > 0) & (F.col("n_unique") <= bound)).select("column", "n_unique", "total")
 
 
@@ -50,16 +60,30 @@ def case_groups(freq: DataFrame) -> DataFrame:
     return groups.agg(F.sort_array(F.collect_list("value")).alias("variations"), F.sum("cnt").alias("total_occurrences")).filter(F.size("variations") > 1)
 
 
-def standard_groups(freq: DataFrame, match: str = "substring") -> DataFrame:
-    """Values that one set of spellings covers, where it covers more than one: column, standard_options,
-    found_variations, total_occurrences. ``substring``: a value that contains any spelling counts."""
+def first_values(rows: DataFrame, keys: list[str], name: str, listed: int) -> DataFrame:
+    """keys and ``name``, the first ``listed`` values of each in order; the rank is bounded, so no task holds more of a key."""
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("value"))).filter(F.col("rank") <= listed)
+    return ranked.groupBy(*keys).agg(F.sort_array(F.collect_list("value")).alias(name))
+
+
+def _standard_rows(freq: DataFrame, match: str) -> DataFrame:
     low = F.lower("value")
     hit = lambda words: low.isin(words) if match == "exact" else F.exists(F.array(*[F.lit(w) for w in words]), lambda w: low.contains(w))
     sets = F.array(*[F.when(hit(s), F.lit(k)) for k, s in enumerate(STANDARD_SETS)])
-    rows = freq.filter(_filled()).select("column", "value", "cnt", F.explode(F.filter(sets, lambda k: k.isNotNull())).alias("set_no"))
-    options = F.array(*[F.array_sort(F.array(*[F.lit(w) for w in s])) for s in STANDARD_SETS])
-    grouped = rows.groupBy("column", "set_no").agg(F.sort_array(F.collect_list("value")).alias("found_variations"), F.sum("cnt").alias("total_occurrences"))
-    return grouped.filter(F.size("found_variations") > 1).select("column", F.get(options, F.col("set_no")).alias("standard_options"), "found_variations", "total_occurrences")
+    return freq.filter(_filled()).select("column", "value", "cnt", F.explode(F.filter(sets, lambda k: k.isNotNull())).alias("set_no"))
+
+
+def _options() -> Column:
+    return F.array(*[F.array_sort(F.array(*[F.lit(w) for w in s])) for s in STANDARD_SETS])
+
+
+def standard_groups(freq: DataFrame, match: str = "substring", listed: int = LISTED) -> DataFrame:
+    """Values that one set of spellings covers, where it covers more than one: column, standard_options,
+    found_variations (the first ``listed``), n_variations, total_occurrences. ``substring``: a value that contains any spelling counts."""
+    rows = _standard_rows(freq, match)
+    sums = rows.groupBy("column", "set_no").agg(F.count("*").alias("n_variations"), F.sum("cnt").alias("total_occurrences")).filter("n_variations > 1")
+    grouped = sums.join(first_values(rows, ["column", "set_no"], "found_variations", listed), ["column", "set_no"])
+    return grouped.select("column", F.get(_options(), F.col("set_no")).alias("standard_options"), "found_variations", "n_variations", "total_occurrences")
 
 
 def _named(parts: list[str]) -> Column:
@@ -109,11 +133,13 @@ def consistency(freq: DataFrame) -> DataFrame:
 
 def _summary(rows: DataFrame) -> DataFrame:
     v, cnt = F.col("value"), F.col("cnt")
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("column", "rare").orderBy("cnt", F.asc_nulls_last("value"))))
-    sums = ranked.groupBy("column").agg(
+    sums = rows.groupBy("column").agg(
         F.coalesce(F.sum(F.when(v != F.lower(v), cnt)), F.lit(0)).alias("case_count"), F.coalesce(F.sum(F.when(v != strip(v), cnt)), F.lit(0)).alias("space_count"),
-        F.count_if("rare").alias("rare_count"), F.sort_array(F.collect_list(F.when(F.col("rare") & (F.col("rank") <= 10), F.coalesce(v, F.lit("Missing"))))).alias("rare_values"),
+        F.count_if("rare").alias("rare_count"),
     )
+    rarest = rows.filter("rare").withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy("cnt", F.asc_nulls_last("value")))).filter("rank <= 10")
+    rarest = rarest.groupBy("column").agg(F.sort_array(F.collect_list(F.coalesce(v, F.lit("Missing")))).alias("rare_values"))
+    sums = sums.join(rarest, "column", "left").withColumn("rare_values", F.coalesce("rare_values", F.array().cast("array<string>")))
     return sums.filter("case_count > 0 OR space_count > 0 OR rare_count > 0")
 
 
@@ -122,19 +148,20 @@ def variation_examples(freq: DataFrame, kind: str = "case", listed: int = 5) ->
     ends) with the spellings that share them: column, base_value, variations."""
     v = F.col("value")
     base = F.lower(v) if kind == "case" else strip(v)
-    grouped = freq.filter(_filled() & (v != base)).groupBy("column", base.alias("base_value")).agg(F.slice(F.sort_array(F.collect_list("value")), 1, listed).alias("variations"))
-    return grouped.withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy("base_value"))).filter(F.col("rank") <= listed).drop("rank")
+    rows = freq.filter(_filled() & (v != base)).select("column", base.alias("base_value"), "value")
+    bases = rows.select("column", "base_value").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy("base_value"))).filter(F.col("rank") <= listed)
+    return first_values(rows.join(bases.drop("rank"), ["column", "base_value"], "left_semi"), ["column", "base_value"], "variations", listed)
 
 
-def upload_consistency(freq: DataFrame) -> DataFrame:
-    """column, inconsistent_format (values that aren't stripped lower case), rare_values (once only, 10)."""
+def upload_consistency(freq: DataFrame, listed: int = LISTED) -> DataFrame:
+    """column, inconsistent_format (the first ``listed`` values that aren't stripped lower case), inconsistent_count (how many
+    there are), rare_values (once only, 10)."""
     v = F.col("value")
-    ranked = freq.filter(_filled()).withColumn("rank", F.row_number().over(Window.partitionBy("column", F.col("cnt") == 1).orderBy("value")))
-    lists = ranked.groupBy("column").agg(
-        F.sort_array(F.collect_list(F.when(v != F.lower(strip(v)), v))).alias("inconsistent_format"),
-        F.sort_array(F.collect_list(F.when((F.col("cnt") == 1) & (F.col("rank") <= 10), v))).alias("rare_values"),
-    )
-    return lists.filter((F.size("inconsistent_format") > 0) | (F.size("rare_values") > 0))
+    odd, rare = freq.filter(_filled() & (v != F.lower(strip(v)))), freq.filter(_filled() & (F.col("cnt") == 1))
+    sums = odd.groupBy("column").agg(F.count("*").alias("inconsistent_count")).join(first_values(odd, ["column"], "inconsistent_format", listed), "column")
+    out = sums.join(first_values(rare, ["column"], "rare_values", 10), "column", "full")
+    none = F.array().cast("array<string>")
+    return out.select("column", F.coalesce("inconsistent_format", none).alias("inconsistent_format"), F.coalesce("inconsistent_count", F.lit(0)).alias("inconsistent_count"), F.coalesce("rare_values", none).alias("rare_values"))
 
 
 def rule_violations(freq: DataFrame) -> DataFrame:
@@ -177,7 +204,9 @@ def consistency_summary(report: DataFrame) -> DataFrame:
 def issue_table(freq: DataFrame) -> DataFrame:
     """column, issue_type, base_value, variation, cnt, recommendation of all issues."""
     case = case_groups(freq).select("column", F.lit("case").alias("issue_type"), "base_value", F.explode("variations").alias("value"))
-    names = standard_groups(freq).select("column", F.lit("standardization").alias("issue_type"), F.concat_ws(" / ", "standard_options").alias("base_value"), F.explode("found_variations").alias("value"))
+    found = _standard_rows(freq, "substring")
+    several = found.groupBy("column", "set_no").agg(F.count("*").alias("n")).filter("n > 1")
+    names = found.join(several, ["column", "set_no"]).select("column", F.lit("standardization").alias("issue_type"), F.concat_ws(" / ", F.get(_options(), F.col("set_no"))).alias("base_value"), "value")
     bad = invalid_values(freq).select("column", F.lit("invalid").alias("issue_type"), F.lit("").alias("base_value"), "value")
     advice = F.when(F.col("issue_type") == "case", F.concat(F.lit("use "), F.col("base_value"))).when(F.col("issue_type") == "invalid", "check or remove").otherwise("use one spelling")
     rows = case.unionByName(names).unionByName(bad).join(freq.filter(_filled()), ["column", "value"])
