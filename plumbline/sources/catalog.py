@@ -6,7 +6,6 @@ import json
 import uuid
 from datetime import datetime, timezone
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,24 +30,35 @@ USERS = (
 
 
 class Catalog:
-    """Tables under one folder (a URI that all executors reach). A rewrite goes to a new folder that replaces
-    the old table's name in one step, so readers never see half of it."""
+    """Tables under one folder (a URI that all executors reach). A table is the newest of its numbered version folders
+    that was written to the end; a rewrite makes the next version and leaves the one before it,
+    so readers see a whole table and a rewrite that fails changes nothing."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _path(self, name: str) -> str:
-        return f"{self.root}/{name}"
+    def _folder(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _versions(self, name: str) -> tuple[list[int], int]:
+        """The whole versions, and the number that the next one gets."""
+        folder, fs = self._folder(name)
+        numbers = sorted(int(s.getPath().getName()[1:]) for s in fs.listStatus(folder)) if fs.exists(folder) else []
+        done = [n for n in numbers if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(self._path(name, n) + "/_SUCCESS"))]
+        return done, (numbers[-1] if numbers else 0) + 1
+
+    def _path(self, name: str, version: int) -> str:
+        return f"{self.root}/{name}/v{version:08d}"
 
     def table(self, name: str) -> DataFrame:
         schema = {"datasets": DATASETS, "users": USERS}[name]
-        try:
-            return self.spark.read.schema(schema).parquet(self._path(name))
-        except AnalysisException:
-            return self.spark.createDataFrame([], schema)
+        done, _ = self._versions(name)
+        return self.spark.read.schema(schema).parquet(self._path(name, done[-1])) if done else self.spark.createDataFrame([], schema)
 
     def append(self, name: str, rows: DataFrame) -> None:
-        rows.select(*self.table(name).columns).write.mode("append").parquet(self._path(name))
+        done, following = self._versions(name)
+        rows.select(*self.table(name).columns).write.mode("append").parquet(self._path(name, done[-1] if done else following))
 
     def insert_unique(self, name: str, rows: DataFrame, key: str) -> int:
         """Appends the rows whose key the table doesn't have yet; how many these are."""
@@ -57,7 +67,11 @@ class Catalog:
         return new.count()
 
     def _rewrite(self, name: str, rows: DataFrame) -> None:
-        stored(rows).write.mode("overwrite").parquet(self._path(name))
+        done, following = self._versions(name)
+        rows.write.parquet(self._path(name, following))
+        _, fs = self._folder(name)
+        for old in done[:-1]:  # the version just replaced stays for those who read it
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self._path(name, old)), True)
 
     def delete(self, name: str, where: Column) -> int:
         """Drops the rows that ``where`` holds for; a dataset's file stays."""
@@ -109,7 +123,7 @@ def upload_profile(df: DataFrame) -> dict:
         "missing_values": {"total_missing": totals.total_missing, "missing_percentage": totals.missing_pct, "per_column": {r.column: {"count": r.missing_count, "percentage": r.missing_pct} for r in missing_basic(df).collect()}},
         "duplicates": exact_duplicates(df).first().duplicate_count,
         "data_types": {r.column: r.type for r in data_types(df).collect()},
-        "categorical_issues": {r.column: {"inconsistent_format": r.inconsistent_format, "rare_values": r.rare_values} for r in issues},
+        "categorical_issues": {r.column: {"inconsistent_format": r.inconsistent_format, "inconsistent_count": r.inconsistent_count, "rare_values": r.rare_values} for r in issues},
         "summary_stats": stats,
     }
 

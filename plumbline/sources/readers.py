@@ -42,15 +42,35 @@ def typed(raw: DataFrame) -> DataFrame:
     return raw.select(*[cast(k, c) for k, c in enumerate(columns)])
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str = ",", schema: T.StructType | str | None = None, **options: str) -> DataFrame:
+def spans_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a delimited file has records of several lines: some line then has an odd number of quotes. One pass over the lines,
+    in splits, that ends with the first such line."""
+    lines = spark.read.text(path)
+    return not lines.filter((F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2 == 1).isEmpty()
+
+
+def read_delimited(spark: SparkSession, path: str, sep: str = ",", schema: T.StructType | str | None = None, *, multi_line: bool | None = None, **options: str) -> DataFrame:
     """A headed file. Without ``schema`` cells are read as text, tokens of no value are taken out, and only
-    then types are inferred, so that a token doesn't turn a column of numbers into text."""
-    reader = spark.read.option("header", True).option("sep", sep).option("multiLine", True).option("escape", '"').options(**options)
+    then types are inferred, so that a token doesn't turn a column of numbers into text. A file is read in splits unless
+    its records span lines (``multi_line``; looked up if not given), for which Spark needs a task a file."""
+    whole = spans_lines(spark, path) if multi_line is None else multi_line
+    reader = spark.read.option("header", True).option("sep", sep).option("multiLine", whole).option("escape", '"').options(**options)
     if schema is not None:
         return without_na(reader.schema(schema).csv(path))
     return typed(without_na(reader.csv(path)))
 
 
+def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None, *, multi_line: bool | None = None) -> DataFrame:
+    """JSON lines, read in splits, or one document (an array of objects) a file. Which of these is told by the first line if not given:
+    lines begin with an object that is whole."""
+    if multi_line is None:
+        first = spark.read.text(path).filter(F.trim("value") != "").limit(1)
+        row = first.select(F.trim("value").startswith("{") & F.try_parse_json("value").isNotNull()).first()
+        multi_line = not (row and row[0])
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    return reader.option("multiLine", multi_line).json(path)
+
+
 def read_dataset(spark: SparkSession, path: str, kind: str | None = None, *, schema: T.StructType | str | None = None) -> DataFrame:
     """The table in ``path``; ``kind`` is the extension if not given. An unknown kind is a ValueError."""
     kind = (kind or file_type(path)).lower()
@@ -58,9 +78,9 @@ def read_dataset(spark: SparkSession, path: str, kind: str | None = None, *, sch
         return read_delimited(spark, path, ",", schema)
     if kind == "tsv":
         return read_delimited(spark, path, "\t", schema)
-    reader = spark.read.schema(schema) if schema is not None else spark.read
     if kind == "json":
-        return reader.option("multiLine", True).json(path)
+        return read_json(spark, path, schema)
+    reader = spark.read.schema(schema) if schema is not None else spark.read
     if kind == "parquet":
         return nan_to_null(reader.parquet(path))
     if kind == "feather":
