@@ -6,14 +6,17 @@ Doubles are rounded to 6 places on both sides, lists are joined to texts.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.schema import quoted, with_row_index
+from plumbline.functions.schema import quoted, shared_folder, with_row_index
 from plumbline.functions.text import NULL_TOKENS
 from plumbline.operators import categorical, clustering, duplicates, frequency, inference, missing, numeric, outliers, sampling
+from plumbline.sources.catalog import Catalog
+from plumbline.sources.readers import read_dataset
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -191,13 +194,55 @@ def _(spark, sf):
     return found.select("original_index", "duplicate_index", "type", "similarity", F.get_json_object("duplicate_row", "$.p_brand").alias("brand"))
 
 
-_PROFILE = "SELECT '{0}' AS profile, sum(n)::BIGINT AS total_rows, (sum(n) - count(*))::BIGINT AS duplicate_count, round((sum(n) - count(*))::DOUBLE / sum(n) * 100, 2) AS duplicate_pct FROM (SELECT {1}, count(*) AS n FROM t GROUP BY ALL)"
-_PROFILES_SQL = f"WITH {DIRTY_SQL}, t AS (SELECT row_no, kind, country FROM dirty), p AS (" + _PROFILE.format("standard", "row_no, kind, country") + " UNION ALL " + _PROFILE.format("normalized", f"row_no, {_norm_sql('kind')} AS a, {_norm_sql('country')} AS b") + " UNION ALL " + _PROFILE.format("smart", f"{_norm_sql('kind')} AS a") + ")"
+def _lcs_sql(x: str, y: str) -> str:
+    """Length of the longest common subsequence of two texts of at most 120 characters, by the bits of a number."""
+    ones = f"((1::HUGEINT << length({x})) - 1)"
+    masks = f"list_transform(string_split({y}, ''), lambda c: list_sum(list_transform(range(length({x})), lambda i: CASE WHEN substr({x}, (i + 1)::INT, 1) = c THEN 1::HUGEINT << i::INT ELSE 0::HUGEINT END))::HUGEINT)"
+    last = f"list_reduce(list_prepend({ones}, {masks}), lambda v, m: ((v + (v & m)) | (v - (v & m))) & {ones})"
+    return f"(length({x}) - bit_count({last}))"
+
+
+def _near_sql(texts: str, threshold: float) -> str:
+    """Pairs of the rows (id, s) of the table ``texts`` by indel similarity; the edit distance is never over the indel distance."""
+    far = f"({1 - threshold} * (length(a.s) + length(b.s)) + 1e-9)"
+    return f"""SELECT a, b, 2 * lcs::DOUBLE / (length(x) + length(y)) AS similarity FROM (SELECT *, {_lcs_sql("x", "y")} AS lcs FROM (
+SELECT a.id AS a, b.id AS b, a.s AS x, b.s AS y FROM {texts} a JOIN {texts} b ON a.id < b.id AND a.s <> b.s AND levenshtein(a.s, b.s) <= {far})) WHERE 2 * lcs::DOUBLE / (length(x) + length(y)) >= {threshold} - 1e-12"""
+
+
+_PROFILE = "SELECT '{0}' AS profile, sum(n)::BIGINT AS total_rows, (sum(n) - count(*) + {2})::BIGINT AS duplicate_count, round((sum(n) - count(*) + {2})::DOUBLE / sum(n) * 100, 2) AS duplicate_pct, ({2})::BIGINT AS near_duplicate_count FROM (SELECT {1}, count(*) AS n FROM t GROUP BY ALL)"
+_LABELS = "SELECT p_partkey AS row_no, p_name AS label, upper(p_type) || ' ' AS grade, p_brand AS code FROM {part}"
+_RECORD = "'{''label'': ''' || a || ''', ''grade'': ''' || b || '''}'"
+_LABELS_SQL = f"""t AS ({_LABELS.replace("{part}", "part")}), records AS (SELECT min(row_no) AS id, {_RECORD} AS s FROM (SELECT row_no, {_norm_sql("label")} AS a, {_norm_sql("grade")} AS b FROM t) GROUP BY a, b), near AS ({_near_sql("records", 0.9)})"""
+_PROFILES_SQL = f"WITH {_LABELS_SQL}, p AS (" + " UNION ALL ".join([
+    _PROFILE.format("standard", "row_no, label, grade, code", "0"), _PROFILE.format("normalized", f"row_no, {_norm_sql('label')} AS a, {_norm_sql('grade')} AS b, {_norm_sql('code')} AS c", "0"),
+    _PROFILE.format("smart", f"{_norm_sql('label')} AS a, {_norm_sql('grade')} AS b", "(SELECT count(*) FROM near)"),
+]) + ")"
+
+
+def _labels(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.sql(_LABELS, part=read(spark, sf, "part"))
 
 
 @query("dup_profiles", _PROFILES_SQL + " SELECT * FROM p")
 def _(spark, sf):
-    return duplicates.duplicate_profiles(dirty(spark, sf).select("row_no", "kind", F.col("country").alias("code")))
+    return duplicates.duplicate_profiles(_labels(spark, sf))
+
+
+def _label_pairs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    rows = with_row_index(_labels(spark, sf), "row_no")
+    return rows, duplicates.near_rows(rows, ["label", "grade"])
+
+
+@query("dup_near_pairs", f"WITH {_LABELS_SQL} SELECT a, b, round(similarity, 6) AS similarity FROM near")
+def _(spark, sf):
+    return rounded(_label_pairs(spark, sf)[1])
+
+
+@query("dup_near_examples", f"WITH {_LABELS_SQL} SELECT a AS original_index, b AS duplicate_index, 'near' AS type, round(similarity, 6) AS similarity, (SELECT label FROM t WHERE row_no = a) AS original_label, (SELECT label FROM t WHERE row_no = b) AS duplicate_label FROM near ORDER BY a, b LIMIT 5")
+def _(spark, sf):
+    found = duplicates.near_examples(*_label_pairs(spark, sf))
+    label = lambda c: F.get_json_object(c, "$.label")
+    return rounded(found.select("original_index", "duplicate_index", "type", "similarity", label("original_row").alias("original_label"), label("duplicate_row").alias("duplicate_label")))
 
 
 @query("dup_additional", _PROFILES_SQL + " SELECT (max(duplicate_count) FILTER (WHERE profile = 'smart') - max(duplicate_count) FILTER (WHERE profile = 'standard'))::BIGINT AS additional_duplicates_found FROM p")
@@ -217,7 +262,7 @@ def _(spark, sf):
     return rounded(duplicates.near_duplicates(types, 0.6, metric="levenshtein"))
 
 
-@query("near_dup_indel")
+@query("near_dup_indel", f"WITH t AS (SELECT min(p_partkey) AS id, p_name AS s FROM part GROUP BY p_name) SELECT a, b, round(similarity, 6) AS similarity FROM ({_near_sql('t', 0.6)})")
 def _(spark, sf):
     types = read(spark, sf, "part").groupBy("p_name").agg(F.min("p_partkey").alias("row_index")).withColumnRenamed("p_name", "record")
     return rounded(duplicates.near_duplicates(types, 0.6))
@@ -240,10 +285,11 @@ def _(spark, sf):
 _NUMBER_SQL = r"regexp_matches(value, '^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$')"
 
 
-@query("infer_numeric", f"""WITH {FREQ_SQL}, c AS (SELECT "column", sum(cnt) AS non_null, coalesce(sum(cnt) FILTER (WHERE {_NUMBER_SQL}), 0) AS numbers, coalesce(bool_and(try_cast(value AS DOUBLE) = floor(try_cast(value AS DOUBLE))) FILTER (WHERE {_NUMBER_SQL}), false) AS whole FROM freq WHERE value IS NOT NULL GROUP BY 1)
-SELECT "column", non_null::BIGINT AS non_null, numbers::BIGINT AS numbers, CASE WHEN numbers > 0.8 * non_null AND whole THEN 'integer' WHEN numbers > 0.8 * non_null THEN 'numeric' ELSE 'unknown' END AS inferred_type FROM c WHERE "column" NOT IN ('ship_date', 'birth')""")
+@query("infer_numeric", f"""WITH {FREQ_SQL}, c AS (SELECT "column", sum(cnt) AS non_null, coalesce(sum(cnt) FILTER (WHERE {_NUMBER_SQL}), 0) AS numbers, coalesce(bool_and(try_cast(value AS DOUBLE) = floor(try_cast(value AS DOUBLE))) FILTER (WHERE {_NUMBER_SQL}), false) AS whole,
+coalesce(sum(cnt) FILTER (WHERE coalesce(try_strptime(value, '%Y-%m-%d'), try_strptime(value, '%d.%m.%Y')) IS NOT NULL), 0) AS dates FROM freq WHERE value IS NOT NULL GROUP BY 1)
+SELECT "column", non_null::BIGINT AS non_null, numbers::BIGINT AS numbers, CASE WHEN dates > 0.5 * non_null THEN 'datetime' WHEN numbers > 0.8 * non_null AND whole THEN 'integer' WHEN numbers > 0.8 * non_null THEN 'numeric' ELSE 'unknown' END AS inferred_type FROM c""")
 def _(spark, sf):
-    return inference.text_types(freq(spark, sf)).filter(~F.col("column").isin("ship_date", "birth")).select("column", "non_null", "numbers", "inferred_type")
+    return inference.text_types(freq(spark, sf)).select("column", "non_null", "numbers", "inferred_type")
 
 
 @query("infer_datetime", f"""WITH {FREQ_SQL} SELECT "column", sum(cnt)::BIGINT AS non_null, sum(cnt) FILTER (WHERE coalesce(try_strptime(value, '%Y-%m-%d'), try_strptime(value, '%d.%m.%Y')) IS NOT NULL)::BIGINT AS dates, CASE WHEN "column" = 'birth' THEN 'dd.MM.yyyy' END AS date_format, 'datetime' AS inferred_type FROM freq WHERE value IS NOT NULL AND "column" IN ('ship_date', 'birth') GROUP BY 1""")
@@ -299,20 +345,23 @@ def _standard_sql(match: str) -> str:
     from plumbline.operators.rules import STANDARD_SETS
 
     parts = []
-    for s in STANDARD_SETS:
+    for k, s in enumerate(STANDARD_SETS):
         test = " OR ".join(f"contains(lower(value), '{w}')" if match == "substring" else f"lower(value) = '{w}'" for w in s)
-        parts.append(f"""SELECT "column", '{"|".join(sorted(s))}' AS standard_options, string_agg(value, '|' ORDER BY value) AS found_variations, sum(cnt)::BIGINT AS total_occurrences FROM freq WHERE value IS NOT NULL AND ({test}) GROUP BY 1 HAVING count(*) > 1""")
-    return f"WITH {FREQ_SQL} " + " UNION ALL ".join(parts)
+        parts.append(f"""SELECT "column", {k} AS k, '{"|".join(sorted(s))}' AS options, '{" / ".join(sorted(s))}' AS base, value, cnt FROM freq WHERE value IS NOT NULL AND ({test})""")
+    return f"""{FREQ_SQL}, found AS ({" UNION ALL ".join(parts)}), standard AS (SELECT *, row_number() OVER (PARTITION BY "column", k ORDER BY value) AS place, count(*) OVER (PARTITION BY "column", k) AS several FROM found)"""
+
 
+_STANDARD = """ SELECT "column", options AS standard_options, string_agg(value, '|' ORDER BY value) FILTER (WHERE place <= 100) AS found_variations, count(*)::BIGINT AS n_variations, sum(cnt)::BIGINT AS total_occurrences FROM standard WHERE several > 1 GROUP BY "column", k, options"""
 
-@query("standardization", _standard_sql("substring"))
+
+@query("standardization", f"WITH {_standard_sql('substring')}{_STANDARD}")
 def _(spark, sf):
-    return categorical.standard_groups(freq(spark, sf)).select("column", joined("standard_options"), joined("found_variations"), "total_occurrences")
+    return categorical.standard_groups(freq(spark, sf)).select("column", joined("standard_options"), joined("found_variations"), "n_variations", "total_occurrences")
 
 
-@query("standardization_exact", _standard_sql("exact"))
+@query("standardization_exact", f"WITH {_standard_sql('exact')}{_STANDARD}")
 def _(spark, sf):
-    return categorical.standard_groups(freq(spark, sf), "exact").select("column", joined("standard_options"), joined("found_variations"), "total_occurrences")
+    return categorical.standard_groups(freq(spark, sf), "exact").select("column", joined("standard_options"), joined("found_variations"), "n_variations", "total_occurrences")
 
 
 _CONSISTENCY = """SELECT "column", coalesce(sum(cnt) FILTER (WHERE value <> lower(value)), 0)::BIGINT AS case_count, coalesce(sum(cnt) FILTER (WHERE value <> trim(value)), 0)::BIGINT AS space_count, count(*) FILTER (WHERE rare)::BIGINT AS rare_count,
@@ -338,11 +387,12 @@ def _(spark, sf):
     return categorical.variation_examples(freq(spark, sf), "space").select("column", "base_value", joined("variations"))
 
 
-@query("consistency_upload", f"""WITH {DIRTY_SQL}, t AS (SELECT kind AS value, count(*) AS cnt FROM dirty WHERE kind IS NOT NULL GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY cnt = 1 ORDER BY value) AS k FROM t)
-SELECT 'kind' AS "column", coalesce(string_agg(value, '|' ORDER BY value) FILTER (WHERE value <> lower(trim(value))), '') AS inconsistent_format, coalesce(string_agg(value, '|' ORDER BY value) FILTER (WHERE cnt = 1 AND k <= 10), '') AS rare_values FROM r""")
+@query("consistency_upload", f"""WITH {DIRTY_SQL}, t AS (SELECT kind AS value, count(*) AS cnt FROM dirty WHERE kind IS NOT NULL GROUP BY 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY cnt = 1 ORDER BY value) AS k, value <> lower(trim(value)) AS odd, row_number() OVER (PARTITION BY value <> lower(trim(value)) ORDER BY value) AS j FROM t)
+SELECT 'kind' AS "column", coalesce(string_agg(value, '|' ORDER BY value) FILTER (WHERE odd AND j <= 100), '') AS inconsistent_format, count(*) FILTER (WHERE odd)::BIGINT AS inconsistent_count, coalesce(string_agg(value, '|' ORDER BY value) FILTER (WHERE cnt = 1 AND k <= 10), '') AS rare_values FROM r""")
 def _(spark, sf):
     kinds = frequency.frequencies(dirty(spark, sf).select("kind"))
-    return categorical.upload_consistency(kinds).select("column", joined("inconsistent_format"), joined("rare_values"))
+    return categorical.upload_consistency(kinds).select("column", joined("inconsistent_format"), "inconsistent_count", joined("rare_values"))
 
 
 _RULES = """SELECT "column", value, cnt, 'country' AS rule, 'value' AS reason FROM freq WHERE "column" = 'country' AND lower(value) NOT IN ('usa', 'united states', 'us', 'canada', 'france', 'germany', 'uk', 'united kingdom', 'spain', 'italy', 'japan', 'china', 'india', 'brazil', 'australia', 'morocco')
@@ -372,25 +422,36 @@ def _(spark, sf):
     return categorical.value_flags(freq(spark, sf))
 
 
-def _domain(name: str, column: str, reasons: str):
-    @query(f"domain_{name}", f"""WITH {FREQ_SQL}, j AS (SELECT "column", value, cnt::BIGINT AS cnt, '{name}' AS domain, {reasons} AS reason FROM freq WHERE value IS NOT NULL AND "column" = '{column}') SELECT * FROM j WHERE reason IS NOT NULL""")
+_DOMAINS = {
+    "country": "CASE WHEN lower(value) IN ('moon', 'test') OR length(trim(value)) < 2 THEN 'obvious' WHEN value = 'Atlantis' THEN 'unknown' END",
+    "email": r"CASE WHEN NOT regexp_matches(value, '^[\w.\-]+@([\w\-]+\.)+[A-Za-z]{2,}$') THEN 'pattern' END",
+    "phone": "CASE WHEN length(regexp_replace(value, '[^0-9]', '', 'g')) < 7 OR length(regexp_replace(value, '[^0-9]', '', 'g')) < 0.7 * length(value) THEN 'digits' END",
+    "gender": "CASE WHEN lower(value) NOT IN ('male', 'female', 'm', 'f', 'other', 'non-binary', 'prefer not to say') THEN 'value' END",
+    "rating": f"CASE WHEN NOT {_NUMBER_SQL} THEN 'not a number' WHEN NOT try_cast(value AS DOUBLE) BETWEEN 0 AND 100 THEN 'range' END",
+}
+_INVALID = "invalid AS (SELECT * FROM (" + " UNION ALL ".join(f"""SELECT "column", value, cnt::BIGINT AS cnt, '{name}' AS domain, {reasons} AS reason FROM freq WHERE value IS NOT NULL AND "column" = '{name}'""" for name, reasons in _DOMAINS.items()) + ") WHERE reason IS NOT NULL)"
+
+
+def _domain(name: str):
+    @query(f"domain_{name}", f"WITH {FREQ_SQL}, {_INVALID} SELECT * FROM invalid WHERE domain = '{name}'")
     def _(spark, sf):
         return categorical.invalid_values(freq(spark, sf)).filter(F.col("domain") == name)
 
 
-_domain("country", "country", "CASE WHEN lower(value) IN ('moon', 'test') OR length(trim(value)) < 2 THEN 'obvious' WHEN value = 'Atlantis' THEN 'unknown' END")
-_domain("email", "email", r"CASE WHEN NOT regexp_matches(value, '^[\w.\-]+@([\w\-]+\.)+[A-Za-z]{2,}$') THEN 'pattern' END")
-_domain("phone", "phone", "CASE WHEN length(regexp_replace(value, '[^0-9]', '', 'g')) < 7 OR length(regexp_replace(value, '[^0-9]', '', 'g')) < 0.7 * length(value) THEN 'digits' END")
-_domain("gender", "gender", "CASE WHEN lower(value) NOT IN ('male', 'female', 'm', 'f', 'other', 'non-binary', 'prefer not to say') THEN 'value' END")
-_domain("rating", "rating", f"CASE WHEN NOT {_NUMBER_SQL} THEN 'not a number' WHEN NOT try_cast(value AS DOUBLE) BETWEEN 0 AND 100 THEN 'range' END")
+for _name in _DOMAINS:
+    _domain(_name)
 
 
-@query("issue_table")
+@query("issue_table", f"""WITH {_standard_sql("substring")}, {_INVALID}, cased AS (SELECT *, count(*) OVER (PARTITION BY "column", lower(value)) AS same FROM freq WHERE value IS NOT NULL)
+SELECT "column", 'case' AS issue_type, lower(value) AS base_value, value AS variation, cnt::BIGINT AS cnt, 'use ' || lower(value) AS recommendation FROM cased WHERE same > 1
+UNION ALL SELECT "column", 'standardization', base, value, cnt, 'use one spelling' FROM standard WHERE several > 1
+UNION ALL SELECT "column", 'invalid', '', value, cnt, 'check or remove' FROM invalid""")
 def _(spark, sf):
     return categorical.issue_table(freq(spark, sf))
 
 
-@query("value_validity")
+@query("value_validity", f"""WITH {FREQ_SQL}, {_INVALID}, t AS (SELECT *, sum(cnt) OVER (PARTITION BY "column") AS total, row_number() OVER (PARTITION BY "column" ORDER BY cnt DESC, value NULLS LAST) AS rank FROM freq)
+SELECT "column", coalesce(value, 'Missing') AS value, cnt::BIGINT AS cnt, round(cnt::DOUBLE / total * 100, 6) AS pct, NOT EXISTS (SELECT 1 FROM invalid i WHERE i."column" = t."column" AND i.value = t.value) AS is_valid FROM t WHERE rank <= 30""")
 def _(spark, sf):
     f = freq(spark, sf)
     return rounded(categorical.value_rows(f, categorical.invalid_values(f)))
@@ -506,19 +567,24 @@ def _(spark, sf):
 _EVENTS_Q = "q AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b, avg(value) AS mu, stddev_pop(value) AS sd, count(value) AS n FROM events)"
 
 
+def _examples(df: DataFrame, name: str) -> DataFrame:
+    """Numbers of the list ``name`` with four places, as one text."""
+    return rounded(df.withColumn(name, F.array_join(F.transform(name, lambda x: x.cast("decimal(20,4)").cast("string")), "|")))
+
+
 def _iqr_sql(factor: int | float) -> str:
     return f"""WITH {_EVENTS_Q}, o AS (SELECT value FROM events, q WHERE value < a - {factor} * (b - a) OR value > b + {factor} * (b - a)), x AS (SELECT DISTINCT value FROM o ORDER BY value LIMIT 5)
-SELECT 'value' AS "column", round(a - {factor} * (b - a), 6) AS lower, round(b + {factor} * (b - a), 6) AS upper, (SELECT count(*) FROM o)::BIGINT AS outlier_count, round((SELECT count(*) FROM o)::DOUBLE / n * 100, 2) AS outlier_pct, (SELECT round(min(value), 6) FROM o) AS least, (SELECT round(max(value), 6) FROM o) AS most, (SELECT count(*) FROM x)::INTEGER AS n_examples FROM q"""
+SELECT 'value' AS "column", round(a - {factor} * (b - a), 6) AS lower, round(b + {factor} * (b - a), 6) AS upper, (SELECT count(*) FROM o)::BIGINT AS outlier_count, round((SELECT count(*) FROM o)::DOUBLE / n * 100, 2) AS outlier_pct, (SELECT round(min(value), 6) FROM o) AS least, (SELECT round(max(value), 6) FROM o) AS most, (SELECT string_agg(value::DECIMAL(20, 4)::VARCHAR, '|' ORDER BY value) FROM x) AS examples FROM q"""
 
 
 @query("outlier_iqr3", _iqr_sql(3))
 def _(spark, sf):
-    return rounded(outliers.iqr_outliers(read(spark, sf, "events"), ["value"], 3.0, of_all_rows=True).withColumn("n_examples", F.size("examples")).drop("examples"))
+    return _examples(outliers.iqr_outliers(read(spark, sf, "events"), ["value"], 3.0, of_all_rows=True), "examples")
 
 
 @query("outlier_iqr15", _iqr_sql(1.5))
 def _(spark, sf):
-    return rounded(outliers.iqr_outliers(read(spark, sf, "events"), ["value"], 1.5).withColumn("n_examples", F.size("examples")).drop("examples"))
+    return _examples(outliers.iqr_outliers(read(spark, sf, "events"), ["value"], 1.5), "examples")
 
 
 @query("outlier_zscore", f"""WITH {_EVENTS_Q} SELECT 'value' AS "column", any_value(n)::BIGINT AS n, count(*) FILTER (WHERE abs((value - mu) / sd) > 3)::BIGINT AS outlier_count, round(count(*) FILTER (WHERE abs((value - mu) / sd) > 3)::DOUBLE / any_value(n) * 100, 2) AS outlier_pct FROM events, q""")
@@ -527,9 +593,10 @@ def _(spark, sf):
 
 
 @query("outlier_union", f"""WITH {_EVENTS_Q}, f AS (SELECT value, value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a) AS i, abs((value - mu) / sd) > 3 AS z FROM events, q)
-SELECT 'value' AS "column", count(*)::BIGINT AS n, count(*) FILTER (WHERE i)::BIGINT AS iqr_count, count(*) FILTER (WHERE z)::BIGINT AS zscore_count, 0::BIGINT AS forest_count, count(*) FILTER (WHERE i OR z)::BIGINT AS outlier_count, round(count(*) FILTER (WHERE i OR z)::DOUBLE / count(*) * 100, 2) AS outlier_pct FROM f""")
+SELECT 'value' AS "column", count(*)::BIGINT AS n, count(*) FILTER (WHERE i)::BIGINT AS iqr_count, count(*) FILTER (WHERE z)::BIGINT AS zscore_count, 0::BIGINT AS forest_count, count(*) FILTER (WHERE i OR z)::BIGINT AS outlier_count, round(count(*) FILTER (WHERE i OR z)::DOUBLE / count(*) * 100, 2) AS outlier_pct,
+(SELECT string_agg(value::DECIMAL(20, 4)::VARCHAR, '|' ORDER BY value) FROM (SELECT DISTINCT value FROM f WHERE i OR z ORDER BY value LIMIT 10)) AS "values" FROM f""")
 def _(spark, sf):
-    return outliers.combined_outliers(read(spark, sf, "events"), ["value"]).drop("values")
+    return _examples(outliers.combined_outliers(read(spark, sf, "events"), ["value"]), "values")
 
 
 @query("outlier_union_forest")
@@ -547,17 +614,97 @@ def _(spark, sf):
     return rounded(outliers.isolation_outliers(read(spark, sf, "events"), "value"))
 
 
-@query("dbscan")
+@query("dbscan", """WITH RECURSIVE p AS (SELECT c_custkey AS id, c_acctbal / 100 AS x, c_nationkey::DOUBLE AS y FROM customer),
+near AS (SELECT a.id AS a, b.id AS b, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 1.0),
+core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= 5), links AS (SELECT a, b FROM near JOIN core c ON c.id = a JOIN core d ON d.id = b),
+reach AS (SELECT id AS a, id AS b FROM core UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b), roots AS (SELECT a AS id, min(b) AS root FROM reach GROUP BY a),
+border AS (SELECT a AS id, root FROM (SELECT n.a, r.root, row_number() OVER (PARTITION BY n.a ORDER BY n.d2, r.root) AS k FROM near n JOIN roots r ON r.id = n.b WHERE n.a NOT IN (SELECT id FROM core)) WHERE k = 1),
+placed AS (SELECT *, (dense_rank() OVER (ORDER BY root) - 1)::INTEGER AS label FROM (SELECT * FROM roots UNION ALL SELECT * FROM border)) SELECT p.id AS c_custkey, coalesce(label, -1)::INTEGER AS label FROM p LEFT JOIN placed ON placed.id = p.id""")
 def _(spark, sf):
     return clustering.dbscan(read(spark, sf, "customer").select("c_custkey", (F.col("c_acctbal") / 100).alias("balance"), F.col("c_nationkey").cast("double").alias("nation")), ["balance", "nation"], id_col="c_custkey", eps=1.0, min_samples=5)
 
 
+@query("reconstruction_error", """WITH s AS (SELECT avg(p_size) AS m1, stddev_samp(p_size) AS s1, avg(p_retailprice) AS m2, stddev_samp(p_retailprice) AS s2, sign(corr(p_size, p_retailprice)) AS way FROM part)
+SELECT p_partkey, round(pow((p_size - m1) / s1 - way * (p_retailprice - m2) / s2, 2) / 4, 6) AS reconstruction_error, round(abs((p_size - m1) / s1 + way * (p_retailprice - m2) / s2) / sqrt(2), 6) AS latent FROM part, s""")
+def _(spark, sf):
+    part, features = read(spark, sf, "part"), ["p_size", "p_retailprice"]
+    errors = clustering.Reconstruction.fit(part, features).errors(part, "p_partkey")
+    return rounded(errors.select("p_partkey", "reconstruction_error", F.abs("latent0").alias("latent")))  # a component's sign is free
+
+
 @query("outlier_pipeline")
 def _(spark, sf):
     found, _ = clustering.outlier_pipeline(read(spark, sf, "part"), id_col="p_partkey", features=["p_size", "p_retailprice"], eps=0.5, min_samples=5)
     return rounded(found)
 
 
+# ---- sources
+
+
+def _written(spark: SparkSession, df: DataFrame, kind: str, **options: str) -> str:
+    path = f"{shared_folder(spark)}/in-{uuid.uuid4().hex}.{kind}"
+    df.write.options(**options).format({"tsv": "csv"}.get(kind, kind)).save(path)
+    return path
+
+
+_ORDERS_SQL = "SELECT o_orderkey, o_orderstatus, o_totalprice, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END AS priority, o_orderkey % 2 = 0 AS even FROM orders"
+
+
+def _orders(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "orders").selectExpr("o_orderkey", "o_orderstatus", "o_totalprice", "CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END AS priority", "o_orderkey % 2 = 0 AS even")
+
+
+@query("read_csv", _ORDERS_SQL)
+def _(spark, sf):
+    return read_dataset(spark, _written(spark, _orders(spark, sf), "csv", header="true", nullValue="N/A"))
+
+
+@query("read_tsv", _ORDERS_SQL)
+def _(spark, sf):
+    return read_dataset(spark, _written(spark, _orders(spark, sf), "tsv", header="true", sep="\t", nullValue="NULL"))
+
+
+@query("read_json", _ORDERS_SQL)
+def _(spark, sf):
+    return read_dataset(spark, _written(spark, _orders(spark, sf), "json"))
+
+
+@query("read_parquet", _ORDERS_SQL.replace("o_totalprice,", "CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS o_totalprice,"))
+def _(spark, sf):
+    rows = _orders(spark, sf).withColumn("o_totalprice", F.when(F.col("o_orderkey") % 3 == 0, float("nan")).otherwise(F.col("o_totalprice")))
+    return read_dataset(spark, _written(spark, rows, "parquet"))
+
+
+@query("ingest_profile", """WITH t AS (SELECT n_name, CASE WHEN n_nationkey % 4 <> 0 THEN n_regionkey END AS region FROM nation UNION ALL SELECT 'FRANCE', 3)
+SELECT 'csv' AS file_type, (count(*) - count(region))::BIGINT AS total_missing, (count(*) - count(DISTINCT (n_name, region)))::BIGINT AS duplicates, round(avg(region), 6) AS mean_region, count(DISTINCT n_name) FILTER (WHERE n_name <> lower(trim(n_name)))::BIGINT AS inconsistent FROM t""")
+def _(spark, sf):
+    rows = read(spark, sf, "nation").selectExpr("n_name", "CASE WHEN n_nationkey % 4 <> 0 THEN n_regionkey END AS region").union(spark.sql("SELECT 'FRANCE', 3"))
+    catalog = _catalog(spark)
+    row = catalog.ingest(_written(spark, rows, "csv", header="true"), user_id=1)
+    kept = catalog.datasets_of(1).filter(F.col("id") == row["id"])
+    number = lambda c, path, kind: F.get_json_object(c, path).cast(kind)
+    return rounded(kept.select(
+        "file_type", number("missing_values", "$.total_missing", "long").alias("total_missing"), "duplicates", number("summary_stats", "$.region.mean", "double").alias("mean_region"),
+        number("categorical_issues", "$.n_name.inconsistent_count", "long").alias("inconsistent"),
+    ))
+
+
+# ---- bundles
+
+
+@query("bundle_types", SQL["type_examples"])
+def _(spark, sf):
+    return inference.analyze_types(dirty_texts(spark, sf))["type_issues"].select("column", "inferred_type", joined("examples"))
+
+
+@query("bundle_categorical", f"""WITH {_standard_sql("substring")}, {_INVALID}, sums AS (SELECT "column", count(value) AS u, sum(cnt) AS n, sum(cnt) FILTER (WHERE value IS NULL) AS missing FROM freq GROUP BY 1),
+cased AS (SELECT "column", count(*) OVER (PARTITION BY "column", lower(value)) AS same FROM freq WHERE value IS NOT NULL)
+SELECT "column", u::BIGINT AS unique_values, coalesce(missing, 0)::BIGINT AS missing_count, "column" IN (SELECT "column" FROM cased WHERE same > 1) OR "column" IN (SELECT "column" FROM standard WHERE several > 1) OR "column" IN (SELECT "column" FROM invalid) AS has_quality_issues
+FROM sums WHERE u > 0 AND u <= least(50, 0.2 * n)""")
+def _(spark, sf):
+    return categorical.analyze_categorical(dirty_texts(spark, sf))["columns"]
+
+
 # ---- sampling, catalog and derived
 
 
@@ -566,9 +713,30 @@ def _(spark, sf):
     return sampling.sample_rows(read(spark, sf, "orders").select("o_orderkey", "o_totalprice"), 100, "o_orderkey")
 
 
-@query("catalog_lookup", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey = 7 AND o_orderstatus = 'F'")
+def _catalog(spark: SparkSession) -> Catalog:
+    return Catalog(spark, f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex}")
+
+
+@query("catalog_lookup", "SELECT o_orderkey::VARCHAR AS id, o_orderpriority AS filename, o_custkey AS user_id FROM orders WHERE o_custkey = 7")
+def _(spark, sf):
+    catalog = _catalog(spark)
+    none = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in catalog.table("datasets").schema.fields}
+    given = {"id": F.col("o_orderkey").cast("string").alias("id"), "filename": F.col("o_orderpriority").alias("filename"), "user_id": F.col("o_custkey").alias("user_id")}
+    catalog.append("datasets", read(spark, sf, "orders").select(*({**none, **given}).values()))
+    return catalog.datasets_of(7).select("id", "filename", "user_id")
+
+
+@query("catalog_users", """SELECT c_custkey AS id, c_name AS email, CASE WHEN c_custkey % 3 = 0 THEN 'moved' ELSE c_mktsegment END AS company, c_custkey % 3 = 0 AS is_active FROM customer WHERE c_custkey % 5 <> 0""")
 def _(spark, sf):
-    return read(spark, sf, "orders").filter((F.col("o_custkey") == 7) & (F.col("o_orderstatus") == "F")).select("o_orderkey", "o_custkey", "o_totalprice")
+    catalog, customers = _catalog(spark), read(spark, sf, "customer")
+    none = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in catalog.table("users").schema.fields}
+    given = {"id": F.col("c_custkey").alias("id"), "email": F.col("c_name").alias("email"), "company": F.col("c_mktsegment").alias("company"), "is_active": F.lit(False).alias("is_active")}
+    users = customers.select(*({**none, **given}).values())
+    catalog.insert_unique("users", users.filter("id % 2 = 0"), "email")
+    catalog.insert_unique("users", users, "email")
+    catalog.update("users", F.col("id") % 3 == 0, {"company": "moved", "is_active": True})
+    catalog.delete("users", F.col("id") % 5 == 0)
+    return catalog.table("users").select("id", "email", "company", "is_active")
 
 
 @query("quality_light", f"""WITH {LABELLED_SQL}, s AS (SELECT source, (count(*) - count(quality))::DOUBLE / count(*) * 100 AS missing_pct, (count(*) - count(DISTINCT n_chars))::DOUBLE / count(*) AS dup FROM labelled GROUP BY 1)
