@@ -12,7 +12,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """``node`` and ``component`` (one of its nodes, the same for all) for every node that an edge
     (columns a, b) touches. A round maps each node to the smallest of itself and its neighbours and
     carries the edges over, until none is left between different nodes; with ids that don't follow
-    the links' order that takes a number of rounds logarithmic in the longest chain."""
+    the links' order that takes a number of rounds logarithmic in the longest chain. An edge with a null end
+    and one from a node to itself are ignored; without edges there are no rows."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
     live = saved(both, "edges")
     labels = None

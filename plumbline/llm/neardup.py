@@ -13,7 +13,9 @@ Two documents link when the Jaccard similarity of their sets of word shingles is
    group). A query's overlap with a group is counted by a join on the tokens that several
    components hold. No member can share more tokens with the query than that overlap plus
    what lies beyond the longer prefix; only groups for which this reaches the overlap that
-   the similarity demands are opened, and their members are verified on whole sets.
+   the similarity demands are opened, and their members are verified on whole sets: a task
+   holds one group's sets at a time and reads its queries after them; a group with many queries is
+   dealt to several tasks.
 4. Tokens in the prefixes of more than ``frequent`` groups go to the end of the global order. A
    sketch keeps some tokens beyond the prefix to take their place; of texts with more of them
    than that (a passage common to many), the whole sets are counted too and ordered anew. So
@@ -35,11 +37,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, saved, small
+from .common import batches_of, free_name, saved, small
 from .components import connected_components
-from .tokens import BATCH_ROWS, _portions
+from .tokens import _portions
 
 KEYS = 4
+#: Queries of a group that one task verifies; a group with more is dealt to several.
+QUERIES = 256
+#: Rows that a Python worker gets at once.
+ROWS = 400
 #: Nodes that stand for a key: each is compared with all that have the key.
 HEADS = 4
 _SALTS = np.array([xxhash.xxh3_64_intdigest(f"key{k}") | 1 for k in range(2 * KEYS)], np.uint64)
@@ -138,24 +144,42 @@ class _Join:
 
         return self.texts_of(uids).mapInArrow(whole, "uid bigint, tokens array<bigint>")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose whole sets are similar enough. Texts travel, as they are smaller than sets."""
-        pairs = saved(pairs, "pairs")
-        texts = self.texts_of(pairs.select(F.col("a").alias("uid")).union(pairs.select("b")))
-        one, two = (texts.select(F.col("uid").alias(x), F.col("text").alias(f"{x}_text")) for x in ("a", "b"))
+    def verified(self, inside: DataFrame, queries: DataFrame) -> DataFrame:
+        """Links (a, b) between the queries (g, c, uid, n) and the members (same columns) of the groups (g, c) that
+        they open. A query's text travels once for each group it opens, a group's once for ``QUERIES`` queries."""
+        queries = saved(queries, "queries")
+        load = saved(queries.groupBy("g", "c").agg(F.ceil(F.count("*") / F.lit(QUERIES)).alias("parts")), "load")
+        hot = small(load.filter("parts > 1"))
+        parts = F.coalesce("parts", F.lit(1))
+        dealt = queries.join(hot, ["g", "c"], "left").select("g", "c", F.pmod(F.xxhash64("uid"), parts).alias("s"), F.lit(1).alias("kind"), "uid", "n")
+        held = inside.join(small(load.select("g", "c")), ["g", "c"], "left_semi").join(hot, ["g", "c"], "left")
+        held = held.select("g", "c", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("s"), F.lit(0).alias("kind"), "uid", "n")
+        both = saved(held.unionByName(dealt), "both")
         size, percent = self.size, self.percent
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, members = None, []
             for batch in batches:
-                for part in _portions(batch, "a_text"):
-                    keep = []
-                    for x, y in zip(shingle_sets(part["a_text"], size), shingle_sets(part["b_text"], size), strict=True):
-                        shared = len(np.intersect1d(x, y, assume_unique=True))
-                        keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
-                    yield part.select(["a", "b"]).filter(pa.array(keep))
-
-        both = pairs.join(two, "b").join(one, "a").select("a", "b", "a_text", "b_text")
-        return saved(both.mapInArrow(check, "a bigint, b bigint"), "links")
+                for part in _portions(batch, "text"):
+                    a, b = [], []
+                    rows = zip(*(part[c].to_pylist() for c in ("g", "c", "s", "kind", "uid", "n")), shingle_sets(part["text"], size), strict=True)
+                    for g, c, s, kind, uid, n, x in rows:
+                        if (g, c, s) != now:
+                            now, members = (g, c, s), []
+                        if kind == 0:
+                            members.append((uid, x))
+                            continue
+                        for other, y in members:
+                            if 100 * min(n, len(y)) >= percent * max(n, len(y)):
+                                shared = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
+                                if 100 * shared >= percent * (n + len(y) - shared):
+                                    a.append(uid)
+                                    b.append(other)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        texts = self.texts_of(both.select("uid"))
+        sorted_in = both.join(texts, "uid").repartition("g", "c", "s").sortWithinPartitions("g", "c", "s", "kind")
+        return saved(sorted_in.select("g", "c", "s", "kind", "uid", "n", "text").mapInArrow(check, "a bigint, b bigint"), "links")
 
     def first_links(self) -> DataFrame:
         """Links between a node and the few that stand for each of its MinHash keys."""
@@ -163,25 +187,28 @@ class _Join:
         first = [F.min_by(F.struct("uid", "n"), F.xxhash64("uid", F.lit(k))).alias(f"h{k}") for k in range(HEADS)]
         heads = keyed.groupBy("key").agg(F.count("*").alias("held"), *first).filter("held > 1")
         heads = heads.select("key", F.explode(F.array_distinct(F.array(*[f"h{k}" for k in range(HEADS)]))).alias("head"))
-        pairs = keyed.join(heads, "key").filter(F.col("uid") != F.col("head.uid"))
+        heads = saved(heads, "heads")
+        pairs = keyed.join(small(heads), "key").filter(F.col("uid") != F.col("head.uid"))
         close = 100 * F.least("n", "head.n") >= self.percent * F.greatest("n", "head.n")
-        return self.verified(pairs.filter(close).select(F.least("uid", "head.uid").alias("a"), F.greatest("uid", "head.uid").alias("b")).distinct())
+        queries = pairs.filter(close).select(F.col("head.uid").alias("g"), F.lit(0).cast("long").alias("c"), "uid", "n").distinct()
+        inside = heads.select(F.col("head.uid").alias("g"), F.lit(0).cast("long").alias("c"), F.col("head.uid").alias("uid"), F.col("head.n").alias("n")).distinct()
+        return self.verified(inside, queries)
 
     def prefix_rows(self, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The nodes with their group (uid, n, component, chunk), and those of their prefixes' rows that may
         meet another component's, under the order that puts frequent tokens last."""
-        sizes = labels.groupBy("component").agg(F.ceil(F.count("*") / F.lit(self.group_size)).alias("chunks"))
-        grouped = labels.join(sizes, "component").select(F.col("node").alias("uid"), "component", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"))
+        sizes = labels.groupBy("component").agg(F.ceil(F.count("*") / F.lit(self.group_size)).alias("chunks")).filter("chunks > 1")
+        grouped = labels.join(small(saved(sizes, "sizes")), "component", "left")
+        grouped = saved(grouped.select(F.col("node").alias("uid"), "component", F.pmod(F.xxhash64("node"), F.coalesce("chunks", F.lit(1))).alias("chunk")), "grouped")
         members = saved(
-            self.nodes.select("uid", "n").join(grouped, "uid", "left")
+            self.nodes.select("uid", "n").join(small(grouped), "uid", "left")
             .select("uid", "n", F.coalesce("component", "uid").alias("component"), F.coalesce("chunk", F.lit(0)).alias("chunk")), "members",
         )
-        held = self.rows.select(F.col("row").alias("uid"), F.col("prefix").alias("kept")).join(small(members), "uid")
+        held = saved(self.rows.select(F.col("row").alias("uid"), F.col("prefix").alias("kept")).join(small(members), "uid"), "held")
         length = (F.col("n") - F.ceil(F.col("n") * self.percent / F.lit(100)) + 1).cast("int")
-        columns = ["uid", "n", "component", "chunk", "token"]
         exploded = lambda df, tokens: df.select("uid", "n", "component", "chunk", F.explode(tokens).alias("token"))
         rows = exploded(held, F.slice("kept", 1, length))
-        met = saved(rows.join(small(self._met(rows)), "token", "left_semi").select(*columns), "met")
+        met = saved(self._met(rows, members), "met")
         often = saved(self._frequent(met), "often")
         if often.isEmpty():
             return members, met
@@ -203,7 +230,7 @@ class _Join:
             late = self._late(exploded(sets, F.col("tokens")), often)
             anew = sets.join(small(late), "uid").withColumn("tokens", F.concat(F.sort_array(F.array_except("tokens", "late")), F.sort_array("late")))
             out = out.unionByName(exploded(anew, F.slice("tokens", 1, length)))
-        return members, out.join(small(self._met(out)), "token", "left_semi").select(*columns)
+        return members, self._met(out, members)
 
     def _frequent(self, rows: DataFrame) -> DataFrame:
         """Tokens that more than ``frequent`` groups hold."""
@@ -214,9 +241,12 @@ class _Join:
         """The frequent tokens of each node that has some."""
         return saved(rows.join(small(often), "token", "left_semi").groupBy("uid").agg(F.collect_list("token").alias("late")), "late")
 
-    def _met(self, rows: DataFrame) -> DataFrame:
-        """Tokens that more than one component holds; most stand in one only and make no candidate."""
-        return saved(rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token"), "shared")
+    def _met(self, rows: DataFrame, members: DataFrame) -> DataFrame:
+        """The rows whose token more than one component holds; most stand in one only and make no candidate. Narrow rows go
+        to the join on tokens, and what is left gets its columns back."""
+        shared = saved(rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token"), "shared")
+        left = saved(rows.select("uid", "token").join(small(shared), "token", "left_semi"), "shared-rows")
+        return left.join(small(members), "uid").select("uid", "n", "component", "chunk", "token")
 
     def matrix_links(self, labels: DataFrame) -> DataFrame:
         """Links between different components of ``labels``, by the token-group matrix."""
@@ -236,37 +266,9 @@ class _Join:
         least = F.greatest(F.col("least"), F.ceil(F.col("n") * t - 1e-6))
         most = F.least(F.col("most"), F.floor(F.col("n") / t + 1e-6))
         # over a group's sizes it is least at one end, but for rounding
-        opened = counted.filter(F.col("overlap") >= F.least(demanded(least), demanded(most)) - F.when(least < most, 1).otherwise(0)).select(F.col("uid").alias("a"), "n", "g", "c", "overlap")
-        inside = members.select(F.col("uid").alias("b"), F.col("n").alias("m"), F.col("component").alias("g"), F.col("chunk").alias("c"))
-        return self.verified_groups(saved(opened, "opened"), inside)
-
-    def verified_groups(self, opened: DataFrame, inside: DataFrame) -> DataFrame:
-        """Links (a, b) between queries a and the members of the groups (g, c) opened for them; a group's texts
-        stand in one row, as it has few members."""
-        inside = saved(inside.join(opened.select("g", "c").distinct(), ["g", "c"], "left_semi"), "inside")
-        texts = self.texts_of(opened.select(F.col("a").alias("uid")).union(inside.select("b")))
-        held = inside.join(texts.withColumnRenamed("uid", "b"), "b").groupBy("g", "c").agg(F.collect_list(F.struct("b", "m", "text")).alias("held"))
-        both = opened.join(held, ["g", "c"]).join(texts.withColumnRenamed("uid", "a"), "a").select("a", "n", "g", "c", "text", "held")
-        size, percent = self.size, self.percent
-
-        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                groups: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
-                a, b = [], []
-                own = shingle_sets(batch["text"], size)
-                for k, (x, uid, n, key) in enumerate(zip(own, batch["a"].to_pylist(), batch["n"].to_pylist(), zip(batch["g"].to_pylist(), batch["c"].to_pylist(), strict=True), strict=True)):
-                    if key not in groups:
-                        members = batch["held"][k].as_py()
-                        groups[key] = list(zip([y["b"] for y in members], shingle_sets(pa.array([y["text"] for y in members]), size), strict=True))
-                    for other, y in groups[key]:
-                        if 100 * min(n, len(y)) >= percent * max(n, len(y)):
-                            shared = len(np.intersect1d(x, y, assume_unique=True))
-                            if 100 * shared >= percent * (n + len(y) - shared):
-                                a.append(uid)
-                                b.append(other)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        return saved(both.mapInArrow(check, "a bigint, b bigint"), "links")
+        opened = counted.filter(F.col("overlap") >= F.least(demanded(least), demanded(most)) - F.when(least < most, 1).otherwise(0)).select("g", "c", "uid", "n")
+        inside = members.select(F.col("component").alias("g"), F.col("chunk").alias("c"), "uid", "n")
+        return self.verified(inside, opened)
 
 
 def ngram_jaccard_classes(
@@ -275,18 +277,16 @@ def ngram_jaccard_classes(
 ) -> DataFrame:
     """One row per row of ``docs``: id_col (bigint), n_shingles, component_id (the smallest id that links
     reach, its own included), and node (the digest that copies share)."""
-    spark = docs.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    join = _Join(texts, shingle_words, similarity_percent, group_size, frequent)
-    links = join.first_links()
-    more = join.matrix_links(connected_components(links))
+    with batches_of(docs.sparkSession, ROWS):
+        join = _Join(texts, shingle_words, similarity_percent, group_size, frequent)
+        links = join.first_links()
+        more = join.matrix_links(connected_components(links))
     labels = connected_components(links.unionByName(more))
-    placed = join.nodes.join(labels, join.nodes["uid"] == labels["node"], "left").select(join.nodes["node"], "least_id", F.coalesce("component", "uid").alias("component"))
+    placed = join.nodes.join(small(labels), join.nodes["uid"] == labels["node"], "left").select(join.nodes["node"], "least_id", F.coalesce("component", "uid").alias("component"))
     placed = saved(placed, "placed")
-    smallest = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    ids = saved(placed.join(smallest, "component").select("node", "component_id"), "classes")
+    smallest = saved(placed.groupBy("component").agg(F.min("least_id").alias("component_id")), "smallest")
+    ids = small(saved(placed.join(small(smallest), "component").select("node", "component_id"), "classes"))
     out = join.rows.select("id", "n", "node").join(ids, "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), "node")
 
