@@ -50,7 +50,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    extra = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{said}'), (-7L, 1L, 'assistant', '{said}') AS (conv_id, turn, role, text)")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     examples = chat.prefix_examples(turns)
     by_conv = examples.withColumn("loss", chat.loss_text(examples)).groupBy("conv_id").agg(
@@ -77,14 +77,18 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, placed = sharding.extendible_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), limit_bytes=SHARD_BYTES)
-    return placed
+    written = sharding.write_shards(placed, f"{scratch_dir(spark)}/shards-{uuid.uuid4().hex}")
+    return written.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), "prefix", "depth", "part")
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    # the table has no paths: a document's directory is its source and its id's hundreds, and each directory's first is its license file
-    name = F.when(F.col("doc_id") % 100 == 0, F.lit("LICENSE")).otherwise(F.concat(F.lit("doc-"), F.col("doc_id")))
-    path = F.concat_ws("/", F.lit(""), F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 1000), F.floor(F.col("doc_id") / 100), name)
+    # the table has no paths: a document's directory is its source, its id's thousands and hundreds; each hundredth document is
+    # a license file, that of its thousands where it is the first of them. Without an id there is no path.
+    top = F.concat(F.lit("/"), F.coalesce("source", F.lit("none")), F.lit("/"), F.floor(F.col("doc_id") / 1000))
+    hundreds = F.concat(top, F.lit("/"), F.floor(F.col("doc_id") / 100))
+    path = F.when(F.col("doc_id") % 1000 == 0, F.concat(top, F.lit("/LICENSE"))).when(F.col("doc_id") % 100 == 0, F.concat(hundreds, F.lit("/LICENSE")))
+    path = path.otherwise(F.concat(hundreds, F.lit("/doc-"), F.col("doc_id")))
     scanned = licenses.own_licenses(docs.withColumn("path", path)).select("doc_id", "path", "own_license", "own_score", "own_line")
     return licenses.inherited_licenses(scanned)
 
