@@ -48,6 +48,30 @@ def test_switches_inside_a_text_are_seen():
     assert [model.labels[k] for k in post.argmax(1)] == ["en"] * 5 + ["fr"] * 5
 
 
+def test_long_texts_are_labelled_as_one_chain():
+    sample = [("en", "the house and the cat of the town in the night".split())] * 40 + [("fr", "le chat et la maison de la ville dans les nuits".split())] * 40
+    model = langid.train(sample, rounds=30)
+    rng = np.random.default_rng(2)
+    words = []
+    while len(words) < 5000:  # switches, and stretches without any letter
+        words += list(rng.choice([*sample[int(rng.integers(2)) * 40][1], "--", "12"], int(rng.integers(5, 40)))) + ["7"] * int(rng.integers(0, 20))
+    post, lettered, n, _ = langid.label_batch(pa.array(["the cat", " ".join(words), None]), model)
+    ids, first = langid.word_features(words, model.lexicon)
+    emissions = np.add.reduceat(model.weights[ids], first)
+    emissions[~np.array([any(c.isalpha() for c in w) for w in words])] = 0
+    whole = langid.forward_backward(langid.potentials(emissions), np.arange(len(words)), np.array([0]), np.array([len(words)]), model.transitions, model.start)
+    assert n.tolist() == [2, len(words), 0] and len(post) == 2 + len(words)
+    assert np.allclose(post[2:], whole, atol=1e-4)
+
+
+def test_all_labels_are_learned_and_repeats_are_bounded(spark):
+    rows = [(k, f"w{k % 80}x " * 30, f"l{k % 80}", "a") for k in range(800)] + [(7, "one text again and again", "l7", "a")] * 3000
+    docs = spark.createDataFrame(rows, DOCS)
+    sample = langid.train_sample(docs, text_col="text", lang_col="lang", learn_from=F.lit(True), draw_col="doc_id", docs_per_language=20)
+    n = Counter(lang for lang, _ in sample)
+    assert set(n) == {f"l{k}" for k in range(80)} and max(n.values()) <= 20
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(0)
     unary, trans, start = np.exp(rng.normal(size=(6, 3))).astype(np.float32), rng.normal(size=(3, 3)), rng.normal(size=3)
@@ -132,6 +156,18 @@ def _repeated(words):
     return len({i + d for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for d in range(3)})
 
 
+def test_very_long_texts_are_counted_and_formatted_whole(spark):
+    words = [f"w{i % 9973}" for i in range(60_000)]
+    long = " ".join(words) + "\n</s>[INST] \\ <|end|>"
+    docs = spark.createDataFrame([(1, long, "en", "s"), (1, long, "en", "s")], DOCS)
+    got = quality.quality_verdicts(docs).collect()
+    assert len(got) == 2 and all((r.n_words, r.n_repeat_words, r.n_symbols) == (60_003, _repeated(long.split()), 6) for r in got)
+    turns = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long)], "conv_id bigint, turn bigint, role string, text string")
+    examples = chat.prefix_examples(turns)
+    r = examples.withColumn("turns", chat.read_turns(F.col("text"))).withColumn("loss", chat.loss_text(examples)).first()
+    assert [t.text for t in r.turns] == [long, long] and r.loss == long
+
+
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.001"])
 def test_quality_counts(spark, sf):
     got = {r.doc_id: r for r in QUERIES["op6_quality"](spark, sf).collect()}
