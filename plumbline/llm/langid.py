@@ -8,10 +8,11 @@ and on windows spliced from documents of several languages, so that the chain kn
 Forward-backward gives each word a distribution over languages; a document's is the mean
 over its words that have a letter.
 
-Training takes a bounded sample (``docs_per_language`` documents of each of the
-``max_languages`` most frequent labels, ``words_per_doc`` consecutive words of each, at a
-place drawn by hash) to the driver; labelling is one pass over the whole texts of all rows,
-without a shuffle. Chains are cut after ``CHAIN`` words.
+Training takes a bounded sample (``docs_per_language`` documents of each label, ``words_per_doc``
+consecutive words of each, at a place drawn by hash) to the driver; labelling is one pass over the
+whole texts of all rows, without a shuffle. A text of more than ``CHAIN`` words is worked through in
+chains that reach ``MARGIN`` words over into their neighbours; posteriors of the margins are thrown
+away, so every word sees its neighbours and the rest of the text has no weight left there.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, as is every
 text when nothing was learned; equal scores go to the first label in order; repeated rows
@@ -28,14 +29,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import words_of
 from .tokens import BATCH_ROWS, _portions
 
-CHAIN = 256
+CHAIN = 512
+MARGIN = 64
 #: Size of the weight table; the last row stays zero.
 BUCKETS = 1 << 17
 NGRAMS = (1, 2, 3, 4)
@@ -113,34 +115,39 @@ def forward_backward(unary: np.ndarray, code: np.ndarray, starts: np.ndarray, le
     return (post, expected) if pairs else post
 
 
-def chains(n_words: np.ndarray, longest: int = CHAIN) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of the chains of texts whose words follow one another."""
+def chains(n_words: np.ndarray, longest: int = CHAIN, margin: int = MARGIN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of texts whose words follow one another as chains: the place of each chain's words in the texts,
+    the chains' starts and lengths in that, and which of its words aren't margin."""
     parts = -(-n_words // longest)
     first = np.cumsum(n_words) - n_words
     index = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-    starts = np.repeat(first, parts) + index * longest
-    return starts, np.minimum(np.repeat(first + n_words, parts) - starts, longest)
+    begin, end = np.repeat(first, parts), np.repeat(first + n_words, parts)
+    core = begin + index * longest
+    stop = np.minimum(core + longest, end)
+    lo, hi = np.maximum(core - margin, begin), np.minimum(stop + margin, end)
+    lengths = hi - lo
+    starts = np.cumsum(lengths) - lengths
+    place = np.arange(lengths.sum()) + np.repeat(lo - starts, lengths)
+    inner = (place >= np.repeat(core, lengths)) & (place < np.repeat(stop, lengths))
+    return place, starts, lengths, inner
 
 
 def train_sample(
     docs: DataFrame, *, text_col: str, lang_col: str, learn_from: Column, draw_col: str,
-    docs_per_language: int = 300, words_per_doc: int = 120, max_languages: int = 64,
+    docs_per_language: int = 300, words_per_doc: int = 120,
 ) -> list[tuple[str, list[str]]]:
-    """Labelled runs of words, at most docs_per_language * max_languages of them."""
+    """Labelled runs of words, at most docs_per_language of each label: those with the least hash of draw_col and text."""
     some = docs.filter(learn_from & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    counts = some.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    if not counts:
-        return []
-    draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(draw_col)), F.lit(1 << 30)) / float(1 << 30)
-    share = F.create_map(*[x for r in counts for x in (F.lit(r.lang), F.lit(min(1.0, 1.5 * docs_per_language / r["count"])))])
-    words = words_of(F.lower(text_col))
-    drawn = some.withColumn("draw", draw).filter(F.col("draw") < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), "draw", words.alias("words"))
+    draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(draw_col), F.col(text_col)), F.lit(1 << 30)) / float(1 << 30)
+    drawn = some.select(F.col(lang_col).alias("lang"), draw.alias("draw"), F.col(text_col).alias("text"))
+    # different draws are ranked, so that a document that is repeated takes one place; at most docs_per_language rows a language
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    picks = drawn.select("lang", "draw").distinct().withColumn("rank", rank).filter(F.col("rank") <= docs_per_language).drop("rank")
+    words = words_of(F.lower("text"))
     place = F.floor(F.pmod(F.col("draw") * 1e6, F.lit(1.0)) * F.greatest(F.size("words") - words_per_doc, F.lit(0))).cast("int") + 1
-    rows = drawn.select("lang", "draw", F.slice("words", place, words_per_doc).alias("words")).collect()
-    by_lang: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, r.draw)):
-        by_lang.setdefault(r.lang, []).append(r.words)
-    return [(lang, w) for lang, runs in by_lang.items() for w in runs[:docs_per_language] if w]
+    runs = drawn.join(F.broadcast(picks), ["lang", "draw"]).select("lang", "draw", words.alias("words")).select("lang", "draw", F.slice("words", place, words_per_doc).alias("words"))
+    rows = runs.groupBy("lang", "draw").agg(F.first("words").alias("words")).collect()
+    return [(r.lang, r.words) for r in sorted(rows, key=lambda r: (r.lang, r.draw)) if r.words]
 
 
 def train(sample: list[tuple[str, list[str]]], *, rounds: int = 50, rate: float = 0.15, decay: float = 1e-5, lexicon_docs: int = 3, spliced: float = 0.4, seed: int = 5) -> Model:
@@ -207,8 +214,9 @@ def label_batch(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray,
     ids, first = word_features(words.to_pylist(), model.lexicon)
     emissions = np.add.reduceat(model.weights[ids], first)
     emissions[~lettered] = 0  # figures and marks take the label of their neighbours
-    post = forward_backward(potentials(emissions), code, *chains(n_words), model.transitions, model.start)
-    return post, lettered[code], n_words, flat
+    place, starts, lengths, inner = chains(n_words)
+    post = forward_backward(potentials(emissions), code[place], starts, lengths, model.transitions, model.start)
+    return post[inner], lettered[code], n_words, flat
 
 
 def label_documents(docs: DataFrame, model: Model, *, text_col: str = "text", spans: bool = False) -> DataFrame:
