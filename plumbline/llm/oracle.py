@@ -137,4 +137,51 @@ SELECT doc_id, bytes, e.prefix::BIGINT AS prefix, e.depth::INTEGER AS depth, 0 A
 FROM hashed h JOIN ends e ON e.prefix = h.hash >> (60 - e.depth)
 """
 
-SQL: dict[str, str] = {"op4_mixing": OP4, "op5_chat": OP5, "op6_quality": OP6, "op7_ngram_jaccard": OP7, "op8_sharding": OP8}
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP12 = rf"""
+WITH base AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all({_LOWERED}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+each AS (SELECT rid, lang, source, unnest(terms) AS term FROM base),
+kept AS (SELECT lang, term FROM each GROUP BY lang, term HAVING count(DISTINCT rid) >= 3),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS cnt FROM each JOIN kept USING (lang, term) GROUP BY lang, source, term),
+groups AS (
+  SELECT lang, source, coalesce(sum(cnt), 0) AS n FROM (SELECT DISTINCT lang, source FROM base) LEFT JOIN counts USING (lang, source) GROUP BY lang, source),
+dense AS (
+  SELECT g.lang, g.source, k.term, coalesce(cnt, 0) AS cnt, 1 + (1000000000::HUGEINT * (coalesce(cnt, 0) + 1)) // (n + v) AS p
+  FROM groups g JOIN kept k USING (lang) JOIN sizes USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+whole AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(cnt) + 1)) // (any_value(total) + any_value(v)) AS q
+  FROM dense JOIN sizes USING (lang) JOIN (SELECT lang, sum(n) AS total FROM groups GROUP BY lang) USING (lang) GROUP BY lang, term),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM dense a JOIN dense b ON b.lang = a.lang AND b.term = a.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON b.lang = a.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT FROM dense JOIN whole USING (lang, term) WHERE cnt > 0 AND p > q)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+FROM found QUALIFY part = 'pair' OR rank <= 200
+"""
+
+OP13 = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+items AS (
+  SELECT row_number() OVER () AS iid, item_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM benchmark),
+wanted AS (SELECT DISTINCT iid, unnest(terms) AS term FROM items),
+sums AS (SELECT count(*) AS docs, sum(len(terms))::BIGINT AS total FROM docs WHERE len(terms) > 0),
+postings AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(terms) AS term FROM docs) WHERE term IN (SELECT term FROM wanted) GROUP BY rid, term),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(s.docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM postings, sums s GROUP BY term),
+lengths AS (SELECT rid, doc_id, 10 + (90 * len(terms) * s.docs) // s.total AS m FROM docs, sums s WHERE len(terms) > 0),
+scored AS (
+  SELECT iid, rid, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM wanted JOIN postings USING (term) JOIN weights USING (term) JOIN lengths USING (rid) GROUP BY iid, rid)
+SELECT item_id, (row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+FROM scored JOIN items USING (iid) JOIN lengths USING (rid) WHERE score > 0 QUALIFY rank <= 10
+"""
+
+SQL: dict[str, str] = {"op4_mixing": OP4, "op5_chat": OP5, "op6_quality": OP6, "op7_ngram_jaccard": OP7, "op8_sharding": OP8, "op12_divergence": OP12, "op13_search": OP13}

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddup, langid, licenses, materialize, mixing, neardup, packing, quality, sharding, tokens
+from . import chat, divergence, embeddup, langid, lexical, licenses, materialize, mixing, neardup, packing, quality, secrets, sharding, tokens
 from .common import scratch_dir, table
 
 #: Byte limit of a shard.
@@ -98,6 +98,20 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddup.embedding_duplicates(vectors, similarity=0.95)
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.digests(secrets.scan(docs, secrets.fit(docs)))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"), least_docs=3, listed=200)
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.build_index(table(spark, sf_dir, "documents"))
+    return lexical.search(index, table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_packing": op2_packing,
@@ -109,4 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_licenses": op9_licenses,
     "op10_embeddings": op10_embeddings,
+    "op11_secrets": op11_secrets,
+    "op12_divergence": op12_divergence,
+    "op13_search": op13_search,
 }
