@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import json
-import math
 import time
-from itertools import product
 
 from pyspark.ml.feature import PCA, PCAModel, StandardScaler, StandardScalerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -14,118 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.schema import feature_columns, quoted, stored
 
-
-def components(edges: DataFrame) -> DataFrame:
-    """node, component (the smallest node reached) of the nodes that edges (a, b) touch: labels move to the
-    smallest neighbour's label, and to that one's label, until none changes."""
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct())
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("component")))
-    while True:
-        other = labels.select(F.col("node").alias("b"), F.col("component").alias("near"))
-        lower = both.join(other, "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
-        stepped = labels.join(lower, "node").select("node", F.least("component", "near").alias("component"), F.col("component").alias("was"))
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        moved = stored(stepped.join(jump, "component", "left").select("node", F.least("component", F.coalesce("further", "component")).alias("component"), "was"))
-        changed = moved.filter("component <> was").limit(1).count()
-        labels = moved.select("node", "component")
-        if not changed:
-            return labels
-
-
-def _boxes(points: DataFrame, key: list[str], dims: int, *aggs: Column) -> DataFrame:
-    """The box (lo, hi: arrays) around the points ``x`` of each key, with further aggregates."""
-    at = lambda f: F.array(*[f(F.get("x", F.lit(k))) for k in range(dims)])
-    return points.groupBy(*key).agg(at(F.min).alias("lo"), at(F.max).alias("hi"), *aggs)
-
-
-def _between(lo: str, hi: str, other_lo: str, other_hi: str, dims: int) -> tuple[Column, Column]:
-    """Squares of the least and the greatest distance between points of two boxes."""
-    of = lambda c, k: F.get(c, F.lit(k))
-    gap = [F.greatest(F.lit(0.0), of(lo, k) - of(other_hi, k), of(other_lo, k) - of(hi, k)) for k in range(dims)]
-    reach = [F.greatest(of(hi, k) - of(other_lo, k), of(other_hi, k) - of(lo, k)) for k in range(dims)]
-    return sum((g * g for g in gap), F.lit(0.0)), sum((r * r for r in reach), F.lit(0.0))
-
-
-def _renamed(df: DataFrame, prefix: str = "other_") -> DataFrame:
-    return df.toDF(*[prefix + c for c in df.columns])
-
-
-def dbscan(points: DataFrame, features: list[str], *, id_col: str, eps: float, min_samples: int, grid_dims: int = 3, box_split: int = 8) -> DataFrame:
-    """id_col, label: density clusters by euclidean distance, numbered from 0 by their smallest core id; -1 is noise.
-
-    Exact. Points that are equal in all features are one weighted site. Sites lie in cells with a side of
-    eps / sqrt(dimensions), so a cell's sites are all neighbours: one that weighs ``min_samples`` or more is
-    core without a look at any pair, and core sites of a cell are one cluster. Cells meet by a coarser grid over the
-    ``grid_dims`` features that vary most; boxes around their sites tell most pairs of cells
-    that are wholly inside or beyond eps. Distances are computed for the few sites of
-    sparse cells, whose neighbours are counted, and for what boxes of an ``box_split``-th of a cell leave open.
-    No table of neighbours is stored. A border site joins the cluster of its nearest core site (ties: the smaller cluster)."""
-    dims, far = len(features), eps * eps
-    cols = [quoted(f).cast("double").alias(f"f{k}") for k, f in enumerate(features)]
-    names = [f"f{k}" for k in range(dims)]
-    rows = stored(points.select(F.col(id_col).alias("id"), *cols))
-    side = eps / math.sqrt(dims)
-    placed = lambda width: F.transform("x", lambda v: F.floor(v / width).cast("long"))
-    finite = F.lit(True)
-    for n in names:
-        finite = finite & (F.abs(n) < float("inf"))  # neither NULL nor NaN
-    sites = rows.filter(finite).groupBy(*names).agg(F.count("*").alias("w"), F.min("id").alias("site")).withColumn("x", F.array(*names))
-    sites = stored(sites.withColumns({"cell": placed(side), "box": placed(side / box_split)}))
-    squares = F.aggregate(F.zip_with("x", "other_x", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-
-    # pairs of cells that may hold neighbours, itself included
-    cells = stored(_boxes(sites, ["cell"], dims, F.sum("w").alias("weight")))
-    spread = sites.agg(*[(F.max(n) - F.min(n)).alias(n) for n in names]).first()
-    axes = sorted(range(dims), key=lambda k: -((spread[f"f{k}"] if spread else 0) or 0))[:grid_dims]
-    reach = math.ceil(math.sqrt(dims) - 1e-9)
-    coarse = [F.floor(F.get("cell", F.lit(k)) / F.lit(reach)).alias(f"c{j}") for j, k in enumerate(axes)]
-    around = F.array(*[F.struct(*[(F.col(f"c{j}") + d).alias(f"c{j}") for j, d in enumerate(step)]) for step in product((-1, 0, 1), repeat=len(axes))])
-    offered = _renamed(cells).join(cells.select(F.col("cell").alias("other_cell"), *coarse), "other_cell")
-    offered = offered.select("other_cell", "other_lo", "other_hi", "other_weight", F.explode(around).alias("at")).select("other_cell", "other_lo", "other_hi", "other_weight", "at.*")
-    least, most = _between("lo", "hi", "other_lo", "other_hi", dims)
-    same = F.col("cell") == F.col("other_cell")
-    near = cells.select("*", *coarse).join(offered, [f"c{j}" for j in range(len(axes))]).filter(same | (least <= far))
-    near = stored(near.select("cell", "other_cell", "weight", "other_weight", (same | (most <= far)).alias("whole")))
-
-    # core sites: all of a cell that is full, and by their neighbours those of the others, which hold few each
-    sparse = F.col("weight") < min_samples
-    sure = near.filter(sparse & F.col("whole")).groupBy("cell").agg(F.sum("other_weight").alias("sure"))
-    few = stored(sites.join(sure, "cell").select("site", "cell", "x", "box", "sure"))
-    open_pairs = few.join(near.filter(sparse & ~F.col("whole")).select("cell", "other_cell"), "cell")
-    met = open_pairs.join(_renamed(sites.select("cell", "x", "w")), "other_cell").filter(squares <= far).groupBy("site").agg(F.sum("other_w").alias("met"))
-    counted = stored(few.join(met, "site", "left").withColumn("core", F.col("sure") + F.coalesce("met", F.lit(0)) >= min_samples))
-    full = sites.join(cells.filter(~sparse).select("cell"), "cell", "left_semi").select("site", "cell", "x", "box")
-    core = stored(full.unionByName(counted.filter("core").select("site", "cell", "x", "box")))
-
-    # cells whose core sites reach each other: by the boxes of cells, of their parts, and at last by sites
-    hubs = stored(_boxes(core, ["cell"], dims, F.min("site").alias("hub")))
-    bounds = hubs.select("cell", "lo", "hi", "hub")
-    pairs = near.filter(F.col("cell") < F.col("other_cell")).select("cell", "other_cell").join(bounds, "cell").join(_renamed(bounds), "other_cell")
-    pairs = stored(pairs.filter(least <= far).select("cell", "other_cell", "hub", "other_hub", (most <= far).alias("linked")))
-    undecided = pairs.filter("NOT linked").select("cell", "other_cell", "hub", "other_hub")
-    parts = stored(_boxes(core, ["cell", "box"], dims))
-    part_pairs = undecided.join(parts, "cell").join(_renamed(parts), "other_cell").filter(least <= far)
-    part_pairs = stored(part_pairs.select("cell", "other_cell", "box", "other_box", "hub", "other_hub", (most <= far).alias("linked")))
-    by_parts = stored(part_pairs.filter("linked").select("cell", "other_cell", "hub", "other_hub").distinct())
-    rest = part_pairs.join(by_parts.select("cell", "other_cell"), ["cell", "other_cell"], "left_anti")
-    inner = core.select("cell", "box", "x")
-    by_sites = rest.join(inner, ["cell", "box"]).join(_renamed(inner), ["other_cell", "other_box"]).filter(squares <= far).select("hub", "other_hub").distinct()
-    edges = pairs.filter("linked").select("hub", "other_hub").unionByName(by_parts.select("hub", "other_hub")).unionByName(by_sites)
-    labels = components(edges.toDF("a", "b"))
-    clusters = stored(hubs.select("cell", "hub").join(labels, F.col("hub") == labels["node"], "left").select("cell", F.coalesce("component", "hub").alias("root")))
-
-    by_core = core.select("site", "cell").join(clusters, "cell").select("site", "root")
-    lone = counted.filter("NOT core").select("site", "cell", "x").join(near.select("cell", "other_cell"), "cell")
-    border = lone.join(_renamed(core.select("cell", "x")), "other_cell").withColumn("d2", squares).filter(F.col("d2") <= far)
-    border = border.join(_renamed(clusters), "other_cell").groupBy("site").agg(F.min_by("other_root", F.struct("d2", "other_root")).alias("root"))
-    of_site = stored(by_core.unionByName(border))
-    # clusters are few against the points, and each is one row here
-    numbered = of_site.select("root").distinct().select("root", (F.expr("row_number() over (order by root)") - 1).cast("int").alias("label"))
-    by_site = sites.join(of_site, "site", "left").join(numbered, "root", "left").select(*names, F.coalesce("label", F.lit(-1)).alias("label"))
-    condition = rows[names[0]] == by_site[names[0]]
-    for n in names[1:]:
-        condition = condition & (rows[n] == by_site[n])
-    return rows.join(by_site, condition, "left").select(F.col("id").alias(id_col), F.coalesce("label", F.lit(-1)).alias("label"))
+from .dbscan import dbscan
 
 
 class Reconstruction:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import clustering, numeric, outliers
+from plumbline.operators import clustering, dbscan, numeric, outliers
 from plumbline.plans import catalogue
 
 
@@ -96,23 +96,61 @@ def _dbscan(x, eps, least):
     return core, label, near
 
 
-@pytest.mark.parametrize(("dims", "eps"), [(2, 0.4), (5, 1.2)])
-def test_dbscan_against_brute_force(spark, dims, eps):
+@pytest.mark.parametrize(("dims", "eps", "leaf_sites"), [(2, 0.4, 4096), (2, 0.4, 10), (3, 0.5, 20), (5, 1.2, 20), (10, 2.0, 20)])
+def test_dbscan_against_brute_force(spark, dims, eps, leaf_sites):
     rng = np.random.default_rng(dims)
     x = np.concatenate([rng.normal(size=(60, dims)) * 0.3, rng.normal(size=(60, dims)) * 0.3 + 3, rng.uniform(-4, 7, size=(40, dims))])
-    x = np.concatenate([x, x[:5]])
+    chain = np.zeros((80, dims))  # a cluster that runs through many leaves, of points exactly as far apart as the bound in places
+    chain[:, 0], chain[:, 1] = np.arange(80) * eps / 4, 9.0
+    x = np.round(np.concatenate([x, x[:5], chain]), 2)
     names = [f"x{k}" for k in range(dims)]
-    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "id bigint, " + ", ".join(f"{n} double" for n in names))
-    got = {r.id: r.label for r in clustering.dbscan(df, names, id_col="id", eps=eps, min_samples=5).collect()}
+    rows = [(i, *map(float, p)) for i, p in enumerate(x)]
+    lost = [(1000, *[None] * dims), (1001, *[float("nan")] * dims), (1002, float("inf"), *[0.0] * (dims - 1))]
+    df = spark.createDataFrame(rows + lost, "id bigint, " + ", ".join(f"{n} double" for n in names))
+    got = {r.id: r.label for r in clustering.dbscan(df, names, id_col="id", eps=eps, min_samples=5, leaf_sites=leaf_sites).collect()}
+    assert [got.pop(k) for k in (1000, 1001, 1002)] == [-1, -1, -1] and len(got) == len(x)
     core, label, near = _dbscan(x, eps, 5)
     pairs = {(label[i], got[i]) for i in range(len(x)) if core[i]}
-    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+    assert all(a == b for a, b in pairs)  # numbered by their smallest core id
     for i in range(len(x)):
         if not core[i]:
             around = {got[j] for j in near[i] if core[j]}
             assert got[i] in around if around else got[i] == -1
 
 
+def test_leaves_by_cells_and_by_blocks_agree():
+    rng = np.random.default_rng(3)
+    x, w = np.concatenate([rng.normal(size=(1500, 2)) * 0.3, rng.uniform(-3, 3, size=(300, 2))]), rng.integers(1, 3, 1800)
+    home = x[:, 0] < 0.2
+    made = []
+    for bound in (0, 10**9):
+        before, dbscan.CELL_SITES = dbscan.CELL_SITES, bound
+        made.append(dbscan.Leaf(x, w, home, 0.2, 6))
+        dbscan.CELL_SITES = before
+    cells, blocks = made
+    assert np.array_equal(cells.core, blocks.core) and np.array_equal(cells.comp, blocks.comp)
+    pairs = lambda found: {(int(a), int(b)) for p, q in found for a, b in zip(p, q, strict=True)}
+    assert pairs(cells.near) == pairs(blocks.near)
+    assert pairs(cells.links) <= pairs(blocks.links) and {a for a, _ in pairs(cells.links)} == {a for a, _ in pairs(blocks.links)}
+
+
+def test_tree_sends_points_to_every_leaf_within_reach():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2000, 3))
+    tree = dbscan.Tree(x, 50, 0.1)
+    row, leaf, home = tree.places(x, 0.1)
+    assert sorted(row[home]) == list(range(2000)) and len(set(leaf)) > 10
+    at = dict(zip(row[home].tolist(), leaf[home].tolist(), strict=True))
+    sent = set(zip(row.tolist(), leaf.tolist(), strict=True))
+    near = np.argwhere(dbscan.squares(x, x) <= 0.01)
+    assert all((i, at[j]) in sent for i, j in near.tolist())
+
+
+def test_dbscan_of_an_empty_table(spark):
+    empty = spark.createDataFrame([], "id bigint, x double, y double")
+    assert clustering.dbscan(empty, ["x", "y"], id_col="id", eps=1.0, min_samples=2).count() == 0
+
+
 def test_pipeline_record(features):
     rows, record = clustering.outlier_pipeline(features, id_col="id_col", features=COLUMNS, eps=0.5, min_samples=3)
     found = {r.original_index for r in rows.filter("is_outlier").collect()}
