@@ -288,7 +288,7 @@ def dbscan(points: DataFrame, features: list[str], *, id_col: str, eps: float, m
     """id_col, label: density clusters by euclidean distance, numbered from 0 by their smallest core id; -1 is noise.
 
     Exact, whatever the tree. A site that isn't core joins the cluster of its nearest core site (ties: the smaller
-    cluster). Rows with a null, NaN or infinite feature are noise; an empty table gives no rows. The driver holds the
+    cluster). Ids are unique, of any type that has an order. Rows with a null, NaN or infinite feature are noise; an empty table gives no rows. The driver holds the
     tree's sample of at most about ``sample_sites`` sites; a task holds one leaf with its halo, whose size a region of under two eps in width doesn't bound."""
     names = [f"f{k}" for k in range(len(features))]
     rows = stored(points.select(F.col(id_col).alias("id"), *[quoted(f).cast("double").alias(n) for f, n in zip(features, names, strict=True)]))
@@ -296,6 +296,8 @@ def dbscan(points: DataFrame, features: list[str], *, id_col: str, eps: float, m
     for n in names:
         finite = finite & (F.abs(n) < float("inf"))  # neither NULL nor NaN
     sites = stored(rows.filter(finite).groupBy(*[(F.col(n) + 0.0).alias(n) for n in names]).agg(F.count("*").alias("w"), F.min("id").alias("site")))
+    whole = dict(rows.dtypes)["id"] in ("tinyint", "smallint", "int", "bigint")
+    sites = sites.withColumn("site", F.col("site").cast("long")) if whole else with_row_index(sites.withColumnRenamed("site", "least"), "least", name="site")
     n = sites.count()
     share = sample_sites / max(n, 1)
     drawn = sites.select(*names) if share >= 1 else sites.filter(F.pmod(F.xxhash64("site", F.lit(seed)), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))).select(*names)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.schema import feature_columns, stored
 from plumbline.functions.text import percent
 
+from .forest import mean_path
 from .numeric import _by_column
 from .quantiles import number
 
@@ -73,11 +74,6 @@ def zscore_outliers(df: DataFrame, columns: list[str] | None = None, threshold:
     return out.filter(F.col("n") >= LEAST_VALUES).select("column", "n", "outlier_count", percent(F.col("outlier_count"), F.col("n")).alias("outlier_pct"))
 
 
-def mean_path(n: float) -> float:
-    """Mean depth of an unsuccessful search among n values."""
-    return 0.0 if n <= 1 else 1.0 if n <= 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
-
-
 def isolation_steps(sample: np.ndarray, trees: int = 100, tree_size: int = 256, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
     """A forest over one dimension as a step function: break points, and the anomaly score between them."""
     rng, depth_limit = np.random.default_rng(seed), math.ceil(math.log2(max(2, min(tree_size, len(sample)))))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import clustering, dbscan, numeric, outliers
+from plumbline.operators import clustering, dbscan, forest, numeric, outliers
 from plumbline.plans import catalogue
 
 
@@ -146,11 +146,69 @@ def test_tree_sends_points_to_every_leaf_within_reach():
     assert all((i, at[j]) in sent for i, j in near.tolist())
 
 
+def test_dbscan_numbers_clusters_by_ids_of_any_type(spark):
+    rows = [(f"r{k:02}", float(k // 5 * 10), 1.0) for k in range(15)][::-1] + [("a", 99.0, 1.0)]
+    df = spark.createDataFrame(rows, "id string, x double, y double")
+    for cast in ("string", "int"):
+        got = {r.id: r.label for r in clustering.dbscan(df.filter("id > 'a'").withColumn("id", F.substring("id", 2, 2).cast(cast)), ["x", "y"], id_col="id", eps=1.0, min_samples=5).collect()}
+        assert {int(k): v for k, v in got.items()} == {k: k // 5 for k in range(15)}
+    assert clustering.dbscan(df, ["x", "y"], id_col="id", eps=1.0, min_samples=5).filter("id = 'a'").first().label == -1
+
+
 def test_dbscan_of_an_empty_table(spark):
     empty = spark.createDataFrame([], "id bigint, x double, y double")
     assert clustering.dbscan(empty, ["x", "y"], id_col="id", eps=1.0, min_samples=2).count() == 0
 
 
+def _plain_paths(sample, x, depth, rng):
+    """Path lengths of the rows of x in one isolation tree, by splitting sample and rows together."""
+    out = np.zeros(len(x))
+    feature, value, left, _ = forest.grow(sample, depth, rng)
+
+    def walk(node, inside, rows, level):
+        if feature[node] < 0:
+            out[rows] = level + forest.mean_path(len(inside))
+            return
+        f, v = feature[node], value[node]
+        assert sample[inside, f].min() <= v < sample[inside, f].max() and level < depth
+        walk(left[node], inside[sample[inside, f] <= v], rows[x[rows, f] <= v], level + 1)
+        walk(left[node] + 1, inside[sample[inside, f] > v], rows[x[rows, f] > v], level + 1)
+
+    walk(0, np.arange(len(sample)), np.arange(len(x)), 0)
+    return out
+
+
+@pytest.mark.parametrize(("n", "trees", "tree_size"), [(300, 20, 64), (4000, 10, 32)])  # each tree of all rows, and of its own draw
+def test_forest_equals_a_plain_one_on_its_samples(spark, n, trees, tree_size):
+    rng = np.random.default_rng(7)
+    x = np.round(np.concatenate([rng.normal(size=(n - 3, 4)), rng.normal(size=(3, 4)) + 9]), 2)
+    x[:, 3] = 1.0  # doesn't vary
+    rows = [(i, *map(float, r)) for i, r in enumerate(x)] + [(-1, None, 1.0, 1.0, 1.0), (-2, float("nan"), 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "id bigint, a double, b double, c double, d double")
+    columns = ["a", "b", "c", "d"]
+    how = {"trees": trees, "tree_size": tree_size, "seed": 3}
+    model = forest.IsolationForest.fit(df, columns, "id", **how)
+    samples = {}
+    for r in forest.IsolationForest.samples(df.repartition(5), columns, "id", **how).orderBy("tree", "place").collect():
+        samples.setdefault(r.tree, []).append(r.x)
+    assert len(samples) == trees and all(len(s) == tree_size for s in samples.values())
+    assert len({tuple(map(tuple, s)) for s in samples.values()}) == trees
+    depth = int(np.ceil(np.log2(tree_size)))
+    plain = np.mean([_plain_paths(np.array(s), x, depth, np.random.default_rng([3, t])) for t, s in samples.items()], axis=0)
+    assert np.allclose(model.path_lengths(x), plain)
+    got = {r.id: r.anomaly for r in model.scored(df, "id").collect()}
+    assert got.pop(-1) is None and got.pop(-2) is None
+    assert np.allclose([got[i] for i in range(n)], 2 ** (-plain / forest.mean_path(tree_size)))
+    assert min(got[i] for i in range(n - 3, n)) > np.quantile([got[i] for i in range(n - 3)], 0.99)
+
+
+def test_forest_of_nothing(spark):
+    empty = spark.createDataFrame([], "id bigint, a double")
+    model = forest.IsolationForest.fit(empty, ["a"], "id")
+    assert model.scored(empty, "id").count() == 0
+    assert [r.anomaly for r in model.scored(spark.createDataFrame([(1, 2.0)], empty.schema), "id").collect()] == [0.5]
+
+
 def test_pipeline_record(features):
     rows, record = clustering.outlier_pipeline(features, id_col="id_col", features=COLUMNS, eps=0.5, min_samples=3)
     found = {r.original_index for r in rows.filter("is_outlier").collect()}

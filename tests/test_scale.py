@@ -79,9 +79,13 @@ def test_run_is_saved_and_scores_new_rows(spark, tmp_path):
     df = spark.createDataFrame([(i, float(a), float(2 * a + e), float(e)) for i, (a, e) in enumerate(rng.normal(size=(80, 2)))], "id bigint, a double, b double, c double")
     fitted = clustering.Reconstruction.fit(df, ["a", "b", "c"])
     rows, record = clustering.outlier_pipeline(df, id_col="id", features=["a", "b", "c"], min_samples=3, fitted=fitted)
-    clustering.save_run(rows, record, tmp_path.as_uri(), fitted)
-    told, again = clustering.load_run(spark, tmp_path.as_uri())
+    clustering.save_run(rows, record, tmp_path.as_uri())
+    told = clustering.load_run(spark, tmp_path.as_uri())
+    again = told["fitted"]
     assert told["num_points"] == 80 and again.features == ["a", "b", "c"]
+    same, _ = clustering.outlier_pipeline(df, id_col="id", features=["a", "b", "c"], min_samples=3, fitted=again, forest=told["forest"])
+    for x, y in zip(sorted(map(tuple, same.collect())), sorted(map(tuple, rows.collect())), strict=True):
+        assert x == pytest.approx(y)
     new = spark.createDataFrame([(1000, 0.5, 1.0, 0.0), (1001, 0.5, -9.0, 9.0), (1002, None, 1.0, 1.0)], df.schema)
     one, two = ({r.id: r.reconstruction_error for r in f.errors(new, "id").collect()} for f in (fitted, again))
     assert one == pytest.approx(two) and set(one) == {1000, 1001} and one[1001] > one[1000]
