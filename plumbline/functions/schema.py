@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Names that never are features.
 ROW_NAMES = {"id", "index", "key", "uuid"}
 
@@ -61,6 +64,17 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Python workers get at most so many rows at once in what is computed meanwhile."""
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
+
+
 def with_row_index(df: DataFrame, *order: str, name: str = "row_index") -> DataFrame:
     """Rows numbered from 0 in the order of a stable key. Ranges of the key are sorted and numbered
     each on its own, then shifted by the sizes of those before: no task sorts the whole table."""

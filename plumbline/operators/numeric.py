@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +11,7 @@ from plumbline.functions.text import is_null, percent
 
 from .duplicates import exact_duplicates
 from .frequency import distinct_counts, frequencies, top_values
+from .gram import correlations_of
 from .quantiles import exact_quantiles, number
 
 def _by_column(df: DataFrame, columns: list[str], measures: dict, quantiles: dict[str, float] | None = None) -> DataFrame:
@@ -127,8 +126,7 @@ def density(df: DataFrame, column: str, points: int = 1000, *, bins_per_bandwidt
     return grid.select("x").join(F.broadcast(sums), "x", "left").select("x", F.coalesce("density", F.lit(0.0)).alias("density"))
 
 
-def winsorised(df: DataFrame, columns: list[str], factor: float = 3.0) -> DataFrame:
-    """Columns clipped to the quartiles less and plus ``factor`` times their distance, where that isn't 0."""
+def _clipped(df: DataFrame, columns: list[str], factor: float = 3.0) -> list[Column]:
     found = exact_quantiles(df, columns, [0.25, 0.75])
     quartiles = {c: (found[c, 0.25], found[c, 0.75]) for c in columns}
     limits = {c: (a - factor * (b - a), b + factor * (b - a)) for c, (a, b) in quartiles.items() if a is not None and b > a}
@@ -137,33 +135,40 @@ def winsorised(df: DataFrame, columns: list[str], factor: float = 3.0) -> DataFr
         v = number(df, c)
         return F.when(v.isNotNull(), F.greatest(F.lit(limits[c][0]), F.least(F.lit(limits[c][1]), v))) if c in limits else v
 
-    return df.withColumns({c: clip(c) for c in columns})
+    return [clip(c) for c in columns]
+
+
+def winsorised(df: DataFrame, columns: list[str], factor: float = 3.0) -> DataFrame:
+    """Columns clipped to the quartiles less and plus ``factor`` times their distance, where that isn't 0."""
+    return df.withColumns(dict(zip(columns, _clipped(df, columns, factor), strict=True)))
+
+
+def _paired(df: DataFrame, parts: list[list[str]], names: list[str]) -> DataFrame:
+    """part, column1, column2, correlation with the columns' ``names``."""
+    of = F.array(*[F.lit(n) for n in names])
+    return correlations_of(df, parts).select("part", F.get(of, "a").alias("column1"), F.get(of, "b").alias("column2"), "correlation")
 
 
 def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column1, column2, correlation of each pair of columns over the rows that have both; NULL where one
-    doesn't vary. One aggregation for all pairs."""
+    doesn't vary. One pass over the rows for all pairs."""
     columns = columns or feature_columns(df)
-    pairs = list(combinations(columns, 2))
-    if not pairs:
+    if len(columns) < 2:
         return df.sparkSession.createDataFrame([], "column1 string, column2 string, correlation double")
-    aggs = []
-    for k, (a, b) in enumerate(pairs):
-        x, y = number(df, a), number(df, b)
-        both = x.isNotNull() & y.isNotNull()
-        x, y = F.when(both, x), F.when(both, y)
-        aggs.append(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias(f"c{k}"))
-    cells = F.array(*[F.struct(F.lit(a).alias("column1"), F.lit(b).alias("column2"), F.col(f"c{k}").alias("correlation")) for k, (a, b) in enumerate(pairs)])
-    return df.agg(*aggs).select(F.inline(cells))
+    return _paired(df, [columns], columns).drop("part")
 
 
 def correlation_comparison(df: DataFrame, columns: list[str] | None = None, noted: float = 0.2) -> DataFrame:
-    """Correlations of winsorised and of raw columns, their absolute difference, and whether it is over ``noted``."""
+    """Correlations of winsorised and of raw columns, from one pass, their absolute difference, and whether it is over ``noted``."""
     columns = columns or feature_columns(df)
-    clean = correlations(winsorised(df, columns), columns).withColumnRenamed("correlation", "corr_filtered")
-    raw = correlations(df, columns).withColumnRenamed("correlation", "corr_original")
+    if len(columns) < 2:
+        return df.sparkSession.createDataFrame([], "column1 string, column2 string, corr_filtered double, corr_original double, abs_diff double, noted boolean")
+    both = df.select(*[quoted(c).alias(f"raw{k}") for k, c in enumerate(columns)], *[clip.alias(f"clip{k}") for k, clip in enumerate(_clipped(df, columns))])
+    found = _paired(both, [[f"{p}{k}" for k in range(len(columns))] for p in ("raw", "clip")], columns)
+    of = lambda part: F.max(F.when(F.col("part") == part, F.col("correlation")))
+    wide = found.groupBy("column1", "column2").agg(of(1).alias("corr_filtered"), of(0).alias("corr_original"))
     difference = F.abs(F.col("corr_filtered") - F.col("corr_original"))
-    return clean.join(raw, ["column1", "column2"]).select("column1", "column2", "corr_filtered", "corr_original", difference.alias("abs_diff"), F.coalesce(difference > noted, F.lit(False)).alias("noted"))
+    return wide.select("column1", "column2", "corr_filtered", "corr_original", difference.alias("abs_diff"), F.coalesce(difference > noted, F.lit(False)).alias("noted"))
 
 
 def strongest_correlations(correlated: DataFrame, k: int = 5) -> DataFrame:
