@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.schema import quoted, shared_folder, with_row_index
 from plumbline.functions.text import NULL_TOKENS
-from plumbline.operators import categorical, clustering, duplicates, frequency, inference, missing, numeric, outliers, sampling
+from plumbline.operators import categorical, clustering, duplicates, frequency, inference, missing, numeric, outliers, sampling, sketches
 from plumbline.sources.catalog import Catalog
 from plumbline.sources.readers import read_dataset
 
@@ -726,11 +726,16 @@ def _(spark, sf):
     return catalog.datasets_of(7).select("id", "filename", "user_id")
 
 
-@query("catalog_users", """SELECT c_custkey AS id, c_name AS email, CASE WHEN c_custkey % 3 = 0 THEN 'moved' ELSE c_mktsegment END AS company, c_custkey % 3 = 0 AS is_active FROM customer WHERE c_custkey % 5 <> 0""")
+@query("catalog_users", """WITH named AS (SELECT *, CASE WHEN c_custkey % 7 = 0 THEN 'shared ' || c_nationkey WHEN c_custkey % 11 <> 0 THEN c_name END AS email FROM customer),
+one AS (SELECT min(c_custkey) AS id, email FROM named WHERE c_custkey % 2 = 0 AND email IS NOT NULL GROUP BY email),
+two AS (SELECT min(c_custkey) AS id, email FROM named WHERE email IS NOT NULL AND email NOT IN (SELECT email FROM one) GROUP BY email)
+SELECT id, email, CASE WHEN id % 3 = 0 THEN 'moved' ELSE c_mktsegment END AS company, id % 3 = 0 AS is_active FROM (SELECT * FROM one UNION ALL SELECT * FROM two) JOIN customer ON c_custkey = id WHERE id % 5 <> 0""")
 def _(spark, sf):
     catalog, customers = _catalog(spark), read(spark, sf, "customer")
     none = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in catalog.table("users").schema.fields}
-    given = {"id": F.col("c_custkey").alias("id"), "email": F.col("c_name").alias("email"), "company": F.col("c_mktsegment").alias("company"), "is_active": F.lit(False).alias("is_active")}
+    # some e-mails are shared, within a batch and across batches, and some users have none
+    email = F.when(F.col("c_custkey") % 7 == 0, F.concat(F.lit("shared "), F.col("c_nationkey").cast("string"))).when(F.col("c_custkey") % 11 != 0, F.col("c_name"))
+    given = {"id": F.col("c_custkey").alias("id"), "email": email.alias("email"), "company": F.col("c_mktsegment").alias("company"), "is_active": F.lit(False).alias("is_active")}
     users = customers.select(*({**none, **given}).values())
     catalog.insert_unique("users", users.filter("id % 2 = 0"), "email")
     catalog.insert_unique("users", users, "email")
@@ -744,3 +749,25 @@ SELECT source, CASE WHEN missing_pct + dup * 100 < 10 THEN 'good' WHEN missing_p
 def _(spark, sf):
     sums = labelled(spark, sf).groupBy("source").agg(F.count("*").alias("n"), F.count("quality").alias("q"), F.count_distinct("n_chars").alias("u"))
     return sums.select("source", numeric.quality_light((F.col("n") - F.col("q")) / F.col("n") * 100, (F.col("n") - F.col("u")) / F.col("n")).alias("light"))
+
+
+@query("catalog_extend", """WITH cells AS (SELECT 'o_totalprice' AS "column", CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS v FROM orders UNION ALL SELECT 'o_custkey', o_custkey FROM orders)
+SELECT "column", count(*)::BIGINT AS rows, (count(*) - count(v))::BIGINT AS missing_count, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, min(v) AS min, max(v) AS max, true AS quartiles_within, true AS distinct_within FROM cells GROUP BY 1""")
+def _(spark, sf):
+    """A dataset of a third of the orders, to which two more files are added; estimates are held against all rows."""
+    catalog = _catalog(spark)
+    rows = read(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("o_totalprice"), "o_custkey")
+    part = lambda k: _written(spark, rows.filter(F.pmod("o_orderkey", F.lit(3)) == k).drop("o_orderkey"), "parquet")
+    dataset = catalog.ingest(part(0), "parquet", user_id=1)["id"]
+    for k in (1, 2):
+        catalog.extend(dataset, part(k), "parquet")
+    told = catalog.measures_of(dataset).filter("column IS NOT NULL")
+    cells = outliers.cells(rows, ["o_totalprice", "o_custkey"]).filter("value IS NOT NULL").join(F.broadcast(told.select("column", "q25", "q50", "q75")), "column")  # a row for each column
+    below = [F.avg((F.col("value") < F.col(q)).cast("int")).alias(f"lt_{q}") for q in ("q25", "q50", "q75")] + [F.avg((F.col("value") <= F.col(q)).cast("int")).alias(f"le_{q}") for q in ("q25", "q50", "q75")]
+    exact = cells.groupBy("column").agg(F.count_distinct("value").alias("n"), *below)
+    ranked = F.lit(True)
+    for q, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)):
+        ranked = ranked & (F.col(f"lt_{q}") <= p + sketches.RANK_ERROR) & (F.col(f"le_{q}") >= p - sketches.RANK_ERROR)
+    near = F.abs(F.col("distinct") - F.col("n")) <= sketches.DISTINCT_ERROR * F.col("n") + 1
+    out = told.join(exact, "column")
+    return out.select("column", "rows", "missing_count", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "min", "max", ranked.alias("quartiles_within"), near.alias("distinct_within"))

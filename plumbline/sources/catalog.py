@@ -16,6 +16,7 @@ from plumbline.operators.frequency import frequencies
 from plumbline.operators.inference import data_types
 from plumbline.operators.missing import missing_basic, missing_basic_totals
 from plumbline.operators.numeric import describe, numeric_columns
+from plumbline.operators.sketches import MEASURES, described, measures, merged
 
 from .readers import file_type, read_dataset
 
@@ -27,6 +28,8 @@ USERS = (
     "id bigint, email string, first_name string, last_name string, hashed_password string, role string, company string, "
     "phone_number string, is_active boolean, created_at timestamp, reset_token string"
 )
+#: Measures of each part of a dataset that was ingested or added to it.
+PARTS = "dataset_id string, part string, " + MEASURES
 
 
 class Catalog:
@@ -52,7 +55,7 @@ class Catalog:
         return f"{self.root}/{name}/v{version:08d}"
 
     def table(self, name: str) -> DataFrame:
-        schema = {"datasets": DATASETS, "users": USERS}[name]
+        schema = {"datasets": DATASETS, "users": USERS, "parts": PARTS}[name]
         done, _ = self._versions(name)
         return self.spark.read.schema(schema).parquet(self._path(name, done[-1])) if done else self.spark.createDataFrame([], schema)
 
@@ -60,9 +63,12 @@ class Catalog:
         done, following = self._versions(name)
         rows.select(*self.table(name).columns).write.mode("append").parquet(self._path(name, done[-1] if done else following))
 
-    def insert_unique(self, name: str, rows: DataFrame, key: str) -> int:
-        """Appends the rows whose key the table doesn't have yet; how many these are."""
-        new = stored(rows.join(self.table(name).select(key), key, "left_anti"))
+    def insert_unique(self, name: str, rows: DataFrame, key: str, order: str = "id") -> int:
+        """Appends the rows whose key neither the table nor a row before them (by ``order``, then by all columns) has; how many
+        these are. A row without a key is refused."""
+        columns = self.table(name).columns
+        first = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(order, *[c for c in columns if c != order])).alias("first")).select("first.*")
+        new = stored(first.join(self.table(name).select(key), key, "left_anti"))
         self.append(name, new)
         return new.count()
 
@@ -107,9 +113,41 @@ class Catalog:
         if landing:
             df.write.parquet(f"{landing.rstrip('/')}/user_id={user_id}/{now:%Y%m%d_%H%M%S}_{name}")
         row = {"id": uuid.uuid4().hex, "filename": name, "file_type": kind or file_type(path), "file_path": path, "format": "auto-detect", **{k: json.dumps(v) if k != "duplicates" else v for k, v in profile.items()}, "created_at": now, "updated_at": now, "user_id": user_id}
+        self._measure(row["id"], path, df)
         self.append("datasets", self.spark.createDataFrame([row], DATASETS))
         return row
 
+    def _measure(self, dataset_id: str, path: str, df: DataFrame) -> None:
+        self.append("parts", measures(df).select(F.lit(dataset_id).alias("dataset_id"), F.lit(path).alias("part"), "*"))
+
+    def measures_of(self, dataset_id: str) -> DataFrame:
+        """Measures of all parts of a dataset, merged from what is kept of each; ``sketches.described`` has the columns."""
+        parts = self.table("parts").filter(F.col("dataset_id") == dataset_id).drop("dataset_id", "part")
+        return described(merged(parts))
+
+    def extend(self, dataset_id: str, path: str, kind: str | None = None) -> dict:
+        """Adds a file's rows to a dataset. Only the new rows are read: their measures join those kept, and the dataset's missing values, types, statistics
+        and duplicates become the merged ones, whose quartiles and duplicates are estimates within the errors that
+        ``sketches`` states. A part that was added already is refused."""
+        old = self.dataset(dataset_id)
+        if not self.table("parts").filter((F.col("dataset_id") == dataset_id) & (F.col("part") == path)).isEmpty():
+            raise ValueError(f"{path} is part of the dataset already")
+        df = read_dataset(self.spark, path, kind)
+        self._measure(dataset_id, path, df)
+        rows = self.measures_of(dataset_id).collect()  # one row for each column
+        whole = next(r for r in rows if r.column is None)
+        columns = [r for r in rows if r.column is not None]
+        cells, lost = whole.rows * len(columns), sum(whole.rows - (r.rows - r.missing_count) for r in columns)
+        missing = {r.column: whole.rows - (r.rows - r.missing_count) for r in columns}  # a column that a part lacks is missing there
+        values = {
+            "missing_values": {"total_missing": lost, "missing_percentage": lost / cells * 100 if cells else 0.0, "per_column": {c: {"count": n, "percentage": n / whole.rows * 100} for c, n in missing.items() if n}},
+            "duplicates": whole.duplicates, "data_types": {**{r.column: r.type for r in data_types(df).collect()}, **json.loads(old["data_types"])},
+            "summary_stats": {r.column: {"count": r.rows - r.missing_count, **{k: r[k] for k in ("mean", "std", "min", "q25", "q50", "q75", "max")}} for r in columns if r["mean"] is not None},
+            "updated_at": datetime.now(timezone.utc).replace(tzinfo=None),
+        }
+        self.update("datasets", F.col("id") == dataset_id, {k: json.dumps(v) if isinstance(v, dict) else v for k, v in values.items()})
+        return self.dataset(dataset_id)
+
 
 def upload_profile(df: DataFrame) -> dict:
     """What the catalog keeps of a dataset: missing_values, duplicates, data_types, categorical_issues, summary_stats."""

@@ -1,11 +1,15 @@
 from __future__ import annotations
 
+import json
 import zipfile
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators.missing import missing_basic
+from plumbline.operators.sketches import DISTINCT_ERROR, RANK_ERROR
 from plumbline.sources.catalog import Catalog
 from plumbline.sources.readers import read_dataset
 from plumbline.streaming.profile import profile_batches, windowed_missing
@@ -69,6 +73,47 @@ def test_catalog(spark, tmp_path):
     assert len(list((tmp_path / "landed").iterdir())) == 1
 
 
+def test_unique_inserts(spark, tmp_path):
+    catalog = Catalog(spark, (tmp_path / "catalog").as_uri())
+    schema = catalog.table("users").schema
+    user = lambda k, email: (k, email, f"n{k}", "B", "x", "user", None, None, True, None, None)
+    batch = spark.createDataFrame([user(2, "a@x"), user(1, "a@x"), user(3, None), user(4, None), user(5, "b@x"), user(5, "b@x")], schema)
+    assert catalog.insert_unique("users", batch, "email") == 2
+    assert sorted((r.id, r.email) for r in catalog.table("users").collect()) == [(1, "a@x"), (5, "b@x")]
+    assert catalog.insert_unique("users", batch.union(spark.createDataFrame([user(9, "c@x")], schema)), "email") == 1
+    assert catalog.insert_unique("users", batch.limit(0), "email") == 0 and catalog.table("users").count() == 3
+
+
+def test_a_dataset_grows_by_its_new_rows_alone(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    frames = [pd.DataFrame({"v": rng.normal(size=n) * 5 + 100, "w": rng.integers(0, 400, n), "t": rng.choice(["a", "b", None], n)}) for n in (3000, 500, 1)]
+    frames[1].loc[:50, "v"] = np.nan
+    frames[1]["late"] = 1.5
+    for k, f in enumerate(frames):
+        f.to_parquet(tmp_path / f"{k}.parquet")
+    catalog = Catalog(spark, (tmp_path / "catalog").as_uri())
+    row = catalog.ingest((tmp_path / "0.parquet").as_uri(), user_id=1)
+    (tmp_path / "0.parquet").unlink()  # what was ingested isn't read again
+    catalog.extend(row["id"], (tmp_path / "1.parquet").as_uri())
+    told = catalog.extend(row["id"], (tmp_path / "2.parquet").as_uri())
+    with pytest.raises(ValueError, match="already"):
+        catalog.extend(row["id"], (tmp_path / "2.parquet").as_uri())
+    whole = pd.concat(frames)
+    got = {r.column: r for r in catalog.measures_of(row["id"]).collect()}
+    for c in ("v", "w"):
+        exact = whole[c].dropna()
+        assert (got[c].rows, got[c].missing_count) == (len(whole), len(whole) - len(exact))
+        assert (got[c]["mean"], got[c]["std"], got[c]["min"], got[c]["max"]) == pytest.approx((exact.mean(), exact.std(), exact.min(), exact.max()))
+        for q, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)):
+            assert (exact < got[c][q]).mean() - RANK_ERROR <= p <= (exact <= got[c][q]).mean() + RANK_ERROR
+        assert abs(got[c].distinct - exact.nunique()) <= DISTINCT_ERROR * exact.nunique() + 1
+    assert got["t"].distinct == 2 and got["t"]["mean"] is None and got["t"].missing_count == whole.t.isna().sum()
+    missing = json.loads(told["missing_values"])
+    assert {c: x["count"] for c, x in missing["per_column"].items()} == {"v": 51, "t": int(whole.t.isna().sum()), "late": 3001}
+    assert missing["total_missing"] == int(whole.isna().sum().sum()) and abs(told["duplicates"] - whole.duplicated().sum()) <= DISTINCT_ERROR * len(whole)
+    assert json.loads(told["summary_stats"])["late"]["count"] == 500 and json.loads(told["data_types"]).keys() == {"v", "w", "t", "late"}
+
+
 def test_stream_profiles(spark, sf_dir, tmp_path):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", "value", "event_type")
     events.write.parquet(str(tmp_path / "in"))
