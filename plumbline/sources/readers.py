@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.schema import nan_to_null, quoted
 
 from .arrow_file import FeatherSource
+from .delimited import lines_of, quotes_in, records_of
 from .workbook import WorkbookSource
 
 #: Cells of a delimited file that mean no value.
@@ -27,12 +28,18 @@ def without_na(raw: DataFrame, na_cells: list[str] = NA_CELLS) -> DataFrame:
     return raw.select(*[F.when(~quoted(f.name).isin(na_cells), quoted(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else quoted(f.name) for f in raw.schema.fields])
 
 
-def typed(raw: DataFrame) -> DataFrame:
-    """All-text columns as whole numbers, numbers or booleans where every value is one; one aggregation."""
+_WHOLE, _REAL = r"^[+-]?[0-9]{1,18}$", r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+_TESTS = {"n": F.count, "i": lambda c: F.count_if(c.rlike(_WHOLE)), "d": lambda c: F.count_if(c.rlike(_REAL)), "b": lambda c: F.count_if(F.lower(c).isin("true", "false"))}
+
+
+def _type_tests(cells: list[Column]) -> list[Column]:
+    return [f(c).alias(f"{t}{k}") for k, c in enumerate(cells) for t, f in _TESTS.items()]
+
+
+def typed(raw: DataFrame, tested: Row | None = None) -> DataFrame:
+    """All-text columns as whole numbers, numbers or booleans where every value is one; one aggregation, whose row may be given."""
     columns = raw.columns
-    whole, real = r"^[+-]?[0-9]{1,18}$", r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-    tests = {"n": lambda c: F.count(c), "i": lambda c: F.count_if(c.rlike(whole)), "d": lambda c: F.count_if(c.rlike(real)), "b": lambda c: F.count_if(F.lower(c).isin("true", "false"))}
-    row = raw.agg(*[f(quoted(c)).alias(f"{t}{k}") for k, c in enumerate(columns) for t, f in tests.items()]).first()
+    row = tested or raw.agg(*_type_tests([quoted(c) for c in columns])).first()
 
     def cast(k: int, c: str):
         n = row[f"n{k}"]
@@ -45,19 +52,40 @@ def typed(raw: DataFrame) -> DataFrame:
 def spans_lines(spark: SparkSession, path: str) -> bool:
     """Whether a delimited file has records of several lines: some line then has an odd number of quotes. One pass over the lines,
     in splits, that ends with the first such line."""
-    lines = spark.read.text(path)
-    return not lines.filter((F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2 == 1).isEmpty()
+    return not lines_of(spark, path).filter(quotes_in("value") % 2 == 1).isEmpty()
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str = ",", schema: T.StructType | str | None = None, *, multi_line: bool | None = None, **options: str) -> DataFrame:
-    """A headed file. Without ``schema`` cells are read as text, tokens of no value are taken out, and only
-    then types are inferred, so that a token doesn't turn a column of numbers into text. A file is read in splits unless
-    its records span lines (``multi_line``; looked up if not given), for which Spark needs a task a file."""
-    whole = spans_lines(spark, path) if multi_line is None else multi_line
-    reader = spark.read.option("header", True).option("sep", sep).option("multiLine", whole).option("escape", '"').options(**options)
-    if schema is not None:
-        return without_na(reader.schema(schema).csv(path))
-    return typed(without_na(reader.csv(path)))
+    """A headed file, read in splits, whether or not its records span lines (``multi_line``; looked up if not given). Without
+    ``schema`` cells are read as text, tokens of no value are taken out, and only then types are inferred, so that a token
+    doesn't turn a column of numbers into text. The pass that looks for line breaks in cells tests the types as well, which
+    holds if there are none; else another pass does."""
+    how = {"sep": sep, "escape": '"', **options}
+    headed = spark.read.options(**how).option("header", True)
+    if schema is None:
+        names = headed.option("multiLine", True).csv(path).columns  # reads the first record only
+        texts = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(names))])
+    else:
+        texts = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+        names = texts.names
+    tested = None
+    if multi_line is None and schema is None and names:
+        lines = lines_of(spark, path)
+        header = spark.read.option("lineSep", "\n").text(path).first()
+        own = lines.filter((F.col("block") > 0) | (F.col("value") != (header[0] if header else "")))  # no line but a header's, or one like it
+        cells = own.select("value", F.from_csv(F.col("value"), ", ".join(f"c{k} string" for k in range(len(names))), how).alias("cells"))
+        filled = [F.when(~F.col(f"cells.c{k}").isin(NA_CELLS), F.col(f"cells.c{k}")) for k in range(len(names))]
+        tested = cells.agg(F.coalesce(F.bool_or(quotes_in("value") % 2 == 1), F.lit(False)).alias("spans"), F.count("*").alias("rows"), *_type_tests(filled)).first()
+        whole = tested.spans or (header is not None and header[0].count('"') % 2 == 1)
+        tested = None if whole or not tested.rows else tested
+    else:
+        whole = spans_lines(spark, path) if multi_line is None else multi_line
+    if not whole:
+        raw = headed.schema(T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, texts.fields, strict=True)])).csv(path)
+    else:
+        held = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(texts.fields))
+        raw = records_of(spark, path).select(F.from_csv("record", held, how).alias("cells")).select("cells.*").toDF(*names)
+    return without_na(raw) if schema is not None else typed(without_na(raw), tested)
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None, *, multi_line: bool | None = None) -> DataFrame:
