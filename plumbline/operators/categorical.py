@@ -224,14 +224,14 @@ def value_flags(freq: DataFrame, listed: int = 15) -> DataFrame:
 
 
 def analyze_categorical(df: DataFrame, ids: list[str] = ()) -> dict[str, DataFrame]:
-    columns = categorical_columns(df, ids)
-    freq = frequencies(df, [c for c in df.columns if c not in ids]).join(columns.select("column"), "column", "left_semi")
+    """Frames of the columns that are categories; their names come to the driver, so that only their values are counted."""
+    freq = frequencies(df, [r.column for r in categorical_columns(df, ids).select("column").collect()])
     bad = invalid_values(freq)
     issues = [x.select("column") for x in (case_groups(freq), standard_groups(freq), bad)]
     flagged = issues[0].union(issues[1]).union(issues[2]).distinct().withColumn("has_quality_issues", F.lit(True))
     summary = distinct_counts(freq).select("column", F.col("n_unique").alias("unique_values"), (F.col("total") - F.col("non_null")).alias("missing_count"))
     summary = summary.join(flagged, "column", "left").fillna({"has_quality_issues": False})
-    return {"columns": summary, "top_values": value_rows(freq, bad), "case": case_groups(freq), "standardization": standard_groups(freq), "invalid": bad}
+    return {"columns": summary, "top_values": value_rows(freq, bad), "case": case_groups(freq), "standardization": standard_groups(freq), "invalid": bad, "freq": freq}
 
 
 def main_column(summary: DataFrame, order: list[str]) -> DataFrame:

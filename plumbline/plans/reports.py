@@ -27,7 +27,7 @@ def _duplicates(df: DataFrame) -> Report:
 def _categorical(df: DataFrame) -> Report:
     ids = [r.column for r in inference.id_columns(df).collect()]  # one row for each column at most
     parts = categorical.analyze_categorical(df, ids)
-    freq = frequency.frequencies(df, [c for c in df.columns if c not in ids]).join(parts["columns"].select("column"), "column", "left_semi")
+    freq = parts.pop("freq")
     return {**parts, "shares": frequency.top_with_other(freq), "issues": categorical.issue_table(freq), "main": categorical.main_column(parts["columns"], df.columns)}
 
 
