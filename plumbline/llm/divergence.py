@@ -42,6 +42,8 @@ CELLS = 1 << 21
 TEXT_BYTES = 16 << 20
 #: Rows that a Python worker gets at once.
 ROWS = 1000
+#: Shares in which a source's terms are ranked before they are ranked together.
+SHARES = 16
 _TABLE = term_table(LETTERS)
 
 
@@ -226,9 +228,13 @@ class Encoded:
         bare = self.languages.filter("v = 0")
         none = bare.select("lang", F.explode("names").alias("source"), F.lit("pair").alias("part"), "names")
         none = none.select("lang", "source", "part", F.explode("names").alias("item"), F.lit(0).cast("long").alias("value")).filter("source <> item")
-        every = pairs.unionByName(none).unionByName(rows.filter("part = 'term'"))
-        rank = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
-        return every.withColumn("rank", rank).filter((F.col("part") == "pair") | (F.col("rank") <= listed))
+        order, key = [F.desc("value"), "item"], ["lang", "source", "part"]
+        # each task has handed on ``listed`` terms of a source; they are cut in shares first, so that a source's aren't all ranked in one task
+        share = F.pmod(F.xxhash64("item"), F.lit(SHARES))
+        terms = rows.filter("part = 'term'").withColumn("share", share)
+        terms = terms.withColumn("rank", F.row_number().over(Window.partitionBy(*key, "share").orderBy(*order))).filter(F.col("rank") <= listed).drop("rank", "share")
+        rank = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+        return pairs.unionByName(none).unionByName(terms).withColumn("rank", rank).filter((F.col("part") == "pair") | (F.col("rank") <= listed))
 
 
 def source_divergence(docs: DataFrame, *, listed: int = 200, **how) -> DataFrame:
