@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.schema import quoted, stored
+from plumbline.functions.schema import batches_of, quoted, stored, with_row_index
 from plumbline.functions.text import normalised, percent
 
 from .inference import id_columns
 
 #: Parts of a name that keep a column out of duplicate search.
 ID_NAME_PARTS = ["id", "key", "uuid", "guid", "index", "code", "num", "no", "number"]
+#: Texts of a block, and pairs of texts whose comparison in blocks costs as much as a row of blocking.
+BLOCK_TEXTS, PAIRS_TO_ROW = 256, 20
+#: Tasks that pairs of blocks are dealt to, at most.
+MOST_TASKS = 4096
 
 
 def duplicate_search_columns(df: DataFrame, order: str | None = None) -> list[str]:
@@ -97,6 +105,47 @@ def indel_similarity(a: str, b: str) -> float:
     return 2 * (full ^ rows).bit_count() / (len(a) + len(b))
 
 
+def lcs_lengths(left: list[str], right: list[str], i: np.ndarray, j: np.ndarray, cells: int = 1 << 22) -> np.ndarray:
+    """Lengths of the longest common subsequences of the pairs left[i], right[j]: the bit-parallel steps of ``indel_similarity`` for
+    many pairs at once, a column of each right text after the other, in words of 64 places of the left texts."""
+    out = np.zeros(len(i), np.int64)
+    codes = {ch: k for k, ch in enumerate(sorted(set("".join(left))))}
+    none, longest = len(codes), max(map(len, right), default=0)
+    words = max(1, -(-max(map(len, left), default=0) // 64))
+    at = np.full((longest, len(right)), none, np.int32)
+    for k, text in enumerate(right):
+        at[: len(text), k] = [codes.get(ch, none) for ch in text]
+    rows_at_once = max(1, cells // ((none + 1) * words))
+    for lo in range(0, len(left), rows_at_once):
+        part = left[lo : lo + rows_at_once]
+        masks = np.zeros((words, len(part) * (none + 1)), np.uint64)
+        for k, text in enumerate(part):
+            for p, ch in enumerate(text):
+                masks[p // 64, k * (none + 1) + codes[ch]] |= np.uint64(1 << p % 64)
+        mine = np.flatnonzero((i >= lo) & (i < lo + rows_at_once))
+        for begin in range(0, len(mine), max(1, cells // (8 * words))):
+            some = mine[begin : begin + max(1, cells // (8 * words))]
+            base, of = (i[some] - lo) * (none + 1), j[some]
+            live = np.full((words, len(some)), np.uint64(2**64 - 1))
+            for column in at:
+                place = base + column[of]
+                carry = np.zeros(len(some), np.uint64)
+                for w in range(words):
+                    x = live[w]
+                    u = x & masks[w][place]
+                    total = x + u
+                    more = total < x
+                    total += carry
+                    carry = (more | (total < carry)).astype(np.uint64)
+                    live[w] = total | (x & ~u)
+            lengths = np.array([len(t) for t in part])[i[some] - lo]
+            for w in range(words):
+                valid = np.clip(lengths - 64 * w, 0, 64)
+                mask = np.where(valid == 64, np.uint64(2**64 - 1), (np.uint64(1) << np.minimum(valid, 63).astype(np.uint64)) - np.uint64(1))
+                out[some] += np.bitwise_count(~live[w] & mask)
+    return out
+
+
 def record_text(df: DataFrame, columns: list[str], style: str = "values") -> Column:
     """A row as one text: its values, or as ``dict`` with the column names and texts in quotes as well."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
@@ -106,9 +155,9 @@ def record_text(df: DataFrame, columns: list[str], style: str = "values") -> Col
     return F.concat(F.lit("{"), F.concat_ws(", ", *[F.concat(F.lit(f"'{c}': "), F.coalesce(x, F.lit("nan"))) for c, x in zip(columns, cells, strict=True)]), F.lit("}"))
 
 
-def near_rows(indexed: DataFrame, columns: list[str], threshold: float = 0.9, *, row_index: str = "row_index", up_to: int | None = None) -> DataFrame:
+def near_rows(indexed: DataFrame, columns: list[str], threshold: float = 0.9, *, row_index: str = "row_index", up_to: int | None = None) -> DataFrame | None:
     """Pairs (a, b, similarity) of rows that aren't equal but nearly so once normalised; of equal rows the first stands
-    for all. Rows are compared as texts with the column names. ``up_to``: beyond so many different rows none is sought."""
+    for all. Rows are compared as texts with the column names. None if more than ``up_to`` rows differ: they aren't compared then."""
     kinds = {f.name: f.dataType for f in indexed.schema.fields}
     cells = normalised_row(indexed, columns)
     rows = indexed.select(F.col(row_index).alias("row_index"), *[c.alias(f"c{k}") for k, c in enumerate(cells)])
@@ -117,7 +166,7 @@ def near_rows(indexed: DataFrame, columns: list[str], threshold: float = 0.9, *,
     assert all(rows.schema[c].dataType == kinds[c] for c in columns)
     records = rows.select("row_index", record_text(rows, columns, "dict").alias("record"))
     if up_to is not None and rows.count() > up_to:
-        records = records.limit(0)
+        return None
     return near_duplicates(records, threshold)
 
 
@@ -130,13 +179,15 @@ def near_examples(indexed: DataFrame, pairs: DataFrame, row_index: str = "row_in
 def near_duplicates(records: DataFrame, threshold: float = 0.9, *, id_col: str = "row_index", text_col: str = "record", metric: str = "indel") -> DataFrame:
     """Pairs (a, b, similarity), a < b, of different texts with similarity of at least ``threshold``.
 
-    Lossless blocking: for each pair of lengths that can be similar, the longer text is cut into more
+    Two ways, neither of which loses a pair; counts by length tell which makes fewer rows. Short texts, or few edits: blocking.
+    For each pair of lengths that can be similar, the longer text is cut into more
     segments than edits are allowed, so one of them stands unchanged in the shorter text, shifted
-    by no more than the edits; pairs are candidates when they share (lengths, segment, its text). Equal texts are
-    compared once: rows of the same text are joined to the pair at the end. ``metric`` is
+    by no more than the edits; pairs are candidates when they share (lengths, segment, its text). Long texts that may
+    be many edits apart, which share segments with nearly all others: blocks of texts of similar length are compared with each
+    other (``_by_blocks``). Equal texts are compared once: rows of the same text are joined to the pair at the end. ``metric`` is
     ``indel`` (1 - indel / both lengths) or ``levenshtein`` (1 - edits / longer length)."""
     texts = stored(records.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL"))
-    distinct = stored(texts.select("text").distinct().withColumn("n", F.length("text")).withColumn("uid", F.xxhash64("text")))
+    distinct = stored(texts.select("text").distinct().withColumn("n", F.length("text")).withColumn("uid", F.unhex(F.md5("text"))))
     share = 1 - threshold
     ratio = (1 + share) / (1 - share) if metric == "indel" else 1 / threshold  # longest partner to shortest
 
@@ -144,6 +195,15 @@ def near_duplicates(records: DataFrame, threshold: float = 0.9, *, id_col: str =
         """Edits that two similar texts of these lengths may be apart."""
         return F.floor(share * (long_n + n if metric == "indel" else long_n) + 1e-9).cast("int")
 
+    left, right = texts.select(F.col("id").alias("x"), F.col("text").alias("t")), texts.select(F.col("id").alias("y"), F.col("text").alias("s"))
+    if metric == "indel":
+        most = edits(F.col("n") * ratio, F.col("n"))
+        made = F.col("c") * (F.floor(F.col("n") * ratio) - F.col("n") + 1) * (most + 1) * (most / 2 + 1)
+        sums = distinct.groupBy("n").agg(F.count("*").cast("double").alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0.0)).alias("n"), F.coalesce(F.sum(made), F.lit(0.0)).alias("made")).first()
+        if sums.n * sums.n / 2 < PAIRS_TO_ROW * sums.made:
+            out = _by_blocks(distinct, threshold, ratio).join(left, "t").join(right, "s")
+            return out.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+
     def segments(rows: DataFrame) -> DataFrame:
         """Rows (n, long_n) for each segment of the longer text: one more than there are edits."""
         rows = rows.withColumn("edits", edits(F.col("long_n"), F.col("n"))).filter("long_n > edits")
@@ -177,24 +237,66 @@ def near_duplicates(records: DataFrame, threshold: float = 0.9, *, id_col: str =
     else:
         scored = both.withColumn("similarity", 1 - F.levenshtein("t", "s") / F.greatest(F.length("t"), F.length("s")))
     found = scored.filter(F.col("similarity") >= threshold - 1e-12).select("t", "s", "similarity")
-    left, right = texts.select(F.col("id").alias("x"), F.col("text").alias("t")), texts.select(F.col("id").alias("y"), F.col("text").alias("s"))
     out = found.join(left, "t").join(right, "s")
     return out.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
 
 
+def _by_blocks(distinct: DataFrame, threshold: float, ratio: float) -> DataFrame:
+    """t, s, similarity (indel) of the pairs of different texts that reach the threshold. Texts are numbered by length and cut
+    into blocks; a task compares two blocks whose lengths allow it: by the difference of their character counts, which the
+    indel distance is never below, for all pairs at once, and by common subsequences where that is small enough."""
+    rows = with_row_index(distinct.select("text", "n"), "n", "text").withColumn("block", (F.col("row_index") / BLOCK_TEXTS).cast("int"))
+    blocks = stored(rows.groupBy("block").agg(F.collect_list("text").alias("texts"), F.min("n").alias("least"), F.max("n").alias("most")))
+    last = blocks.count() - 1
+    wanted = blocks.select("block", "texts", "most", F.explode(F.sequence("block", F.lit(max(last, 0)))).alias("other"))
+    pairs = wanted.join(blocks.select(F.col("block").alias("other"), F.col("texts").alias("others"), F.col("least").alias("from")), "other").filter(F.col("from") <= F.col("most") * ratio + 1e-9)
+
+    def counts(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), 64), np.int16)
+        for k, text in enumerate(texts):
+            out[k] = np.minimum(np.bincount(np.frombuffer(text.encode("utf-32-le"), np.uint32) % 64, minlength=64), 2**14)
+        return out
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                left, right = row["texts"], row["others"]
+                n, m = np.fromiter(map(len, left), np.int32, len(left)), np.fromiter(map(len, right), np.int32, len(right))
+                a, b = counts(left), counts(right)
+                far = np.floor((1 - threshold) * (n[:, None] + m[None, :]) + 1e-9)
+                apart = np.zeros(far.shape, np.int32)
+                for k in range(64):
+                    apart += np.abs(a[:, k, None] - b[None, :, k])
+                near = apart <= far
+                if row["block"] == row["other"]:
+                    near = np.triu(near, 1)
+                i, j = np.nonzero(near)
+                similarity = 2 * lcs_lengths(left, right, i, j) / np.maximum(n[i] + m[j], 1)
+                i, j, similarity = (x[similarity >= threshold - 1e-12] for x in (i, j, similarity))
+                made = [pa.array([left[k] for k in i], pa.string()), pa.array([right[k] for k in j], pa.string()), pa.array(similarity)]
+                yield pa.RecordBatch.from_arrays(made, ["t", "s", "similarity"])
+
+    with batches_of(distinct.sparkSession, 1):
+        tasks = min((last + 1) * (last + 2) // 2, MOST_TASKS) or 1  # given, since the rows are few and small and the work isn't
+        dealt = pairs.select("block", "other", "texts", "others").repartition(tasks, "block", "other")
+        return stored(dealt.mapInArrow(compare, "t string, s string, similarity double"))
+
+
 def duplicate_totals(exact: DataFrame, near_count: int | Column) -> DataFrame:
     """A profile's row with its near pairs added to the count: total_rows, duplicate_count, duplicate_pct, near_duplicate_count."""
     near = near_count if isinstance(near_count, Column) else F.lit(near_count)
-    count = F.col("duplicate_count") + near
+    count = F.col("duplicate_count") + F.coalesce(near, F.lit(0))
     return exact.select("total_rows", count.alias("duplicate_count"), percent(count, F.col("total_rows")).alias("duplicate_pct"), near.cast("long").alias("near_duplicate_count"))
 
 
-def duplicate_profiles(df: DataFrame, *, near_threshold: float = 0.9, near_up_to: int | None = None, order: str | None = None) -> DataFrame:
+def duplicate_profiles(df: DataFrame, *, near_threshold: float = 0.9, near_up_to: int | None = None, order: str | None = None, smart: list[str] | None = None, near: Column | int | None = None) -> DataFrame:
     """Three profiles of the table as rows: raw rows, normalised rows, and normalised rows without the
-    columns that identify them, to which each pair of nearly equal rows adds one."""
-    smart = duplicate_search_columns(df, order) or df.columns
-    numbered = df.select(*[quoted(c) for c in smart]).withColumn("__row", F.monotonically_increasing_id())
-    near = near_rows(numbered, smart, near_threshold, row_index="__row", up_to=near_up_to).count() if near_threshold < 1 else 0
+    columns that identify them, to which each pair of nearly equal rows adds one; near_duplicate_count is NULL where
+    they weren't looked for, because more than ``near_up_to`` rows differ. ``smart`` and ``near``: those columns and the number of
+    pairs, where they are known already (0: none)."""
+    if smart is None:
+        smart = duplicate_search_columns(df, order) or df.columns
+        near = _near_count(df, smart, near_threshold, near_up_to)
     parts = [("standard", exact_duplicates(df), 0), ("normalized", normalised_duplicates(df), 0), ("smart", normalised_duplicates(df, smart), near)]
     out = None
     for name, part, pairs in parts:
@@ -203,6 +305,12 @@ def duplicate_profiles(df: DataFrame, *, near_threshold: float = 0.9, near_up_to
     return out
 
 
+def _near_count(df: DataFrame, smart: list[str], near_threshold: float, near_up_to: int | None) -> int | None:
+    numbered = df.select(*[quoted(c) for c in smart]).withColumn("__row", F.monotonically_increasing_id())
+    pairs = near_rows(numbered, smart, near_threshold, row_index="__row", up_to=near_up_to) if near_threshold < 1 else numbered.limit(0)
+    return None if pairs is None else pairs.count()
+
+
 def additional_duplicates(profiles: DataFrame) -> DataFrame:
     of = lambda name: F.max(F.when(F.col("profile") == name, F.col("duplicate_count")))
     return profiles.agg((of("smart") - of("standard")).alias("additional_duplicates_found"))

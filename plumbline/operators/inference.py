@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,13 +37,37 @@ def id_columns(df: DataFrame, *, content_check: bool = True, order: str | None =
     others = [c for c in df.columns if c not in named]
     if not (content_check and others):
         return out
+    some = first_filled(df, others, order, first).groupBy("k")
+    verdict = some.agg(F.count("*").alias("n"), F.count_distinct("value").alias("u"), F.bool_or(F.col("value").rlike(UUID)).alias("uuid")).filter("u > 0.9 * n OR uuid")
+    names = F.array(*[F.lit(c) for c in others])
+    return out.unionByName(verdict.select(F.get(names, "k").alias("column"), F.lit("content").alias("reason")))
+
+
+def first_filled(df: DataFrame, columns: list[str], order: str | None, first: int) -> DataFrame:
+    """k (the place in ``columns``), at, value: the first ``first`` filled cells, as texts, of every column, in one scan. A task keeps no more of
+    each column, and without ``order``, where rows come as they are filed, it stops reading once it has them."""
     at = quoted(order) if order else F.monotonically_increasing_id()  # the order of the table's files, not of whichever task ends first
-    for c in others:
-        some = df.select(quoted(c).cast("string").alias("value"), at.alias("at")).filter("value IS NOT NULL")
-        some = some.orderBy("at", "value").select("value").limit(first)
-        verdict = some.agg(F.count("*").alias("n"), F.count_distinct("value").alias("u"), F.coalesce(F.bool_or(F.col("value").rlike(UUID)), F.lit(False)).alias("uuid"))
-        out = out.unionByName(verdict.filter("n > 0 AND (u > 0.9 * n OR uuid)").select(F.lit(c).alias("column"), F.lit("content").alias("reason")))
-    return out
+    rows = df.select(at.alias("at"), *[quoted(c).cast("string").alias(f"c{k}") for k, c in enumerate(columns)])
+    kind = dict(rows.dtypes)["at"]
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table | None] = [None] * len(columns)
+        for batch in batches:
+            for k in range(len(columns)):
+                if order is None and held[k] is not None and len(held[k]) >= first:
+                    continue
+                filled = pa.table([batch["at"], batch[f"c{k}"]], ["at", "value"]).filter(pc.is_valid(batch[f"c{k}"]))
+                both = filled if held[k] is None else pa.concat_tables([held[k], filled])
+                held[k] = (both if order is None else both.take(pc.sort_indices(both, [("at", "ascending"), ("value", "ascending")], null_placement="at_start"))).slice(0, first)
+            if order is None and all(h is not None and len(h) >= first for h in held):
+                break
+        for k, table in enumerate(held):
+            if table is not None:
+                yield from table.append_column("k", pa.array([k] * len(table), pa.int32())).select(["k", "at", "value"]).combine_chunks().to_batches()
+
+    found = rows.mapInArrow(least, f"k int, at {kind}, value string")
+    rank = F.row_number().over(Window.partitionBy("k").orderBy("at", "value"))  # what the tasks have kept
+    return found.withColumn("rank", rank).filter(F.col("rank") <= first).drop("rank")
 
 
 def data_types(df: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from plumbline.functions.schema import EmptyDatasetError, feature_columns, numer
 from plumbline.operators import categorical, duplicates, frequency, inference, missing, numeric, outliers
 
 Report = dict[str, DataFrame]
-#: A report compares rows with each other only if no more than so many differ; the operator itself has no bound.
+#: A report compares rows with each other only if no more than so many differ, and says NULL beyond; the operator itself has no bound.
 NEAR_UP_TO = 10_000
 
 
@@ -108,11 +108,13 @@ def full_analysis(df: DataFrame, *order: str) -> Report:
     searched = duplicates.duplicate_search_columns(df) or df.columns
     flags = duplicates.duplicate_flags(indexed, searched, case_sensitive=False)
     near = duplicates.near_rows(indexed, searched, up_to=NEAR_UP_TO)
-    examples = duplicates.duplicate_examples(indexed, flags).unionByName(duplicates.near_examples(indexed, near))
+    profiles = duplicates.duplicate_profiles(df, smart=searched, near=None if near is None else near.count())
+    examples = duplicates.duplicate_examples(indexed, flags)
+    examples = examples if near is None else examples.unionByName(duplicates.near_examples(indexed, near))
     types = inference.analyze_types(df)
     return {
         "missing_values": missing.missing_full(df), "missing_totals": missing.missing_full_totals(df), "missing_tokens": missing.missing_tokens_used(freq),
-        "missing_examples": missing.missing_examples(indexed), "duplicates": duplicates.duplicate_profiles(df, near_up_to=NEAR_UP_TO), "duplicate_examples": examples,
+        "missing_examples": missing.missing_examples(indexed), "duplicates": profiles, "duplicate_examples": examples,
         **types, "categorical_consistency": categorical.consistency(freq), "case_examples": categorical.variation_examples(freq, "case"),
         "whitespace_examples": categorical.variation_examples(freq, "space"), "id_columns": inference.id_columns(df),
         "shape": df.agg(F.count("*").alias("row_count")).withColumn("column_count", F.lit(len(df.columns))),

@@ -161,3 +161,15 @@ def test_reports_and_errors(people, spark):
         diagnose(people.limit(0), "summary")
     with pytest.raises(EmptyDatasetError):
         diagnose(people.select("name"), "outliers")
+
+
+@pytest.mark.parametrize("order", [None, "n"])
+def test_id_columns_by_the_first_filled_cells_of_one_scan(spark, order):
+    rows = [(k, None if k < 40 else f"v{k}", f"w{k % 80}", "x" if k != 7 else "0a1b2c3d-0000-1111-2222-0a1b2c3d4e5f", None, str(k % 95)) for k in range(400)]
+    df = spark.createDataFrame(rows, "n bigint, late string, some string, tag string, none string, most string").repartitionByRange(5, "n").sortWithinPartitions("n")
+    got = {r.column: r.reason for r in inference.id_columns(df, order=order).collect()}
+    assert got == {"n": "content", "late": "content", "tag": "content", "most": "content"}  # 80 of 100 differ in some, 95 in most
+    plan = inference.first_filled(df, df.columns, order, 100)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    back = df.repartition(3).select("n", "late")
+    assert [r.at for r in inference.first_filled(back, ["late"], "n", 3).orderBy("at").collect()] == [40, 41, 42]
