@@ -664,6 +664,14 @@ def _(spark, sf):
     return read_dataset(spark, _written(spark, _orders(spark, sf), "tsv", header="true", sep="\t", nullValue="NULL"))
 
 
+@query("read_csv_lines", """SELECT o_orderkey, o_orderpriority || CASE WHEN o_orderkey % 3 = 0 THEN chr(10) || '"so", ' || o_orderstatus WHEN o_orderkey % 3 = 1 THEN ', x' || chr(10) || chr(10) ELSE '' END AS note, o_totalprice FROM orders""")
+def _(spark, sf):
+    """Cells with line breaks, quotes and commas, in files that are read in splits."""
+    note = F.concat("o_orderpriority", F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit('\n"so", '), "o_orderstatus")).when(F.col("o_orderkey") % 3 == 1, ", x\n\n").otherwise(""))
+    rows = read(spark, sf, "orders").select("o_orderkey", note.alias("note"), "o_totalprice")
+    return read_dataset(spark, _written(spark, rows, "csv", header="true", escape='"', quoteAll="true", ignoreTrailingWhiteSpace="false"))
+
+
 @query("read_json", _ORDERS_SQL)
 def _(spark, sf):
     return read_dataset(spark, _written(spark, _orders(spark, sf), "json"))
