@@ -6,6 +6,8 @@ different value once, whatever the number of rows.
 
 from __future__ import annotations
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,12 +93,29 @@ def _named(parts: list[str]) -> Column:
     return F.lit(False) if not parts else low.rlike("|".join(p.replace("-", r"\-") for p in parts))
 
 
+def _near_places() -> Column:
+    """A function of texts: whether one holds a country's name or is held by one, of which neither is over twice as long as the other. An
+    automaton finds all names in a text at once; parts of at least half a name are a set."""
+    names = [*COUNTRIES, *COUNTRY_ALIASES]
+    parts = {c[i:j] for c in names for i in range(len(c)) for j in range(i + 1, len(c) + 1) if len(c) <= 2 * (j - i)}
+    held: list[ahocorasick.Automaton] = []  # made once in each worker
+
+    @F.pandas_udf("boolean")
+    def near(texts: pd.Series) -> pd.Series:
+        if not held:
+            held.append(ahocorasick.Automaton())
+            for c in names:
+                held[0].add_word(c, 2 * len(c))
+            held[0].make_automaton()
+        return texts.map(lambda t: None if t is None else t in parts or any(twice >= len(t) for _, twice in held[0].iter(t)))
+
+    return near
+
+
 def country_verdict(value: Column) -> Column:
     """``ok``, ``obvious`` (names no place) or ``unknown`` for a text given as a country."""
     low = strip(F.lower(value))
-    valid = F.array(*[F.lit(c) for c in [*COUNTRIES, *COUNTRY_ALIASES]])
-    near = F.exists(valid, lambda c: (low.contains(c) | c.contains(low)) & (F.length(c) * 2 >= F.length(low)) & (F.length(c) <= 2 * F.length(low)))
-    return F.when(low.isin([*COUNTRIES, *COUNTRY_ALIASES]), "ok").when(low.isin(NOT_COUNTRIES) | (F.length(low) < 2), "obvious").when(near, "ok").otherwise("unknown")
+    return F.when(low.isin([*COUNTRIES, *COUNTRY_ALIASES]), "ok").when(low.isin(NOT_COUNTRIES) | (F.length(low) < 2), "obvious").when(_near_places()(low), "ok").otherwise("unknown")
 
 
 def invalid_values(freq: DataFrame) -> DataFrame:
@@ -105,12 +124,12 @@ def invalid_values(freq: DataFrame) -> DataFrame:
     v = F.col("value")
     digits = F.length(F.regexp_replace(v, "[^0-9]", ""))
     number = to_number(v)
-    country = country_verdict(v)
     domain = (
         F.when(_named(COUNTRY_NAME_PARTS), "country").when(_named(EMAIL_NAME_PARTS), "email").when(_named(PHONE_NAME_PARTS), "phone")
         .when(_named(GENDER_NAME_PARTS), "gender").when(_named(RATING_NAME_PARTS), "rating")
     )
     rows = freq.filter(_filled()).withColumn("domain", domain).filter("domain IS NOT NULL")
+    country = country_verdict(F.when(F.col("domain") == "country", v))
     reason = (
         F.when(F.col("domain") == "country", F.when(country != "ok", country))
         .when((F.col("domain") == "email") & ~v.rlike(EMAIL), "pattern")

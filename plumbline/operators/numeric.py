@@ -12,19 +12,22 @@ from plumbline.functions.text import is_null, percent
 from .duplicates import exact_duplicates
 from .frequency import distinct_counts, frequencies, top_values
 from .gram import correlations_of
-from .quantiles import exact_quantiles, number
+from .quantiles import exact_quantiles, number, quantiles_with
 
 def _by_column(df: DataFrame, columns: list[str], measures: dict, quantiles: dict[str, float] | None = None) -> DataFrame:
     """One row for each column with the given measures (name: function of a Column), by one aggregation, and exact
     ``quantiles`` (name: probability), all in the order of ``measures`` and then of ``quantiles``."""
     if not columns:
         raise ValueError("no numeric column")
-    found = exact_quantiles(df, columns, list(quantiles.values())) if quantiles else {}
     aggs = [f(number(df, c)).alias(f"{name}__{k}") for k, c in enumerate(columns) for name, f in measures.items()] or [F.count("*").alias("rows")]
-    row = df.agg(*aggs)
-    extra = lambda c: [F.lit(found[c, p]).cast("double").alias(name) for name, p in (quantiles or {}).items()]
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{name}__{k}").alias(name) for name in measures], *extra(c)) for k, c in enumerate(columns)])
-    return row.select(F.inline(cells))
+    if not quantiles:
+        row = df.agg(*aggs)
+        return row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{name}__{k}").alias(name) for name in measures]) for k, c in enumerate(columns)])))
+    found, told = quantiles_with(df, columns, list(quantiles.values()), aggs)
+    rows = [(c, *[told[f"{name}__{k}"] for name in measures], *[found[c, p] for p in quantiles.values()]) for k, c in enumerate(columns)]
+    whole = {name for name in measures if any(isinstance(told[f"{name}__{k}"], int) for k in range(len(columns)))}
+    kinds = [f"`{name}` {'bigint' if name in whole else 'double'}" for name in [*measures, *quantiles]]
+    return df.sparkSession.createDataFrame(rows, ", ".join(["`column` string", *kinds]))
 
 
 MOMENTS = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}

@@ -135,7 +135,9 @@ def combined_outliers(df: DataFrame, columns: list[str] | None = None, *, factor
     """column, n, iqr_count, zscore_count, forest_count, outlier_count (cells that any method flags),
     outlier_pct, values (the smallest flagged, up to ``listed``)."""
     columns = columns or feature_columns(df)
-    bounds = fences(df, columns, factor).join(zscore_bounds(df, columns, threshold).drop("n"), "column").filter(F.col("n") >= LEAST_VALUES)
+    wide = _by_column(df, columns, {"n": F.count, "mean": F.avg, "std": F.stddev_pop}, {"q25": 0.25, "q75": 0.75}).filter(F.col("n") >= LEAST_VALUES)
+    width = factor * (F.col("q75") - F.col("q25"))
+    bounds = wide.select("column", "n", (F.col("q25") - width).alias("lower"), (F.col("q75") + width).alias("upper"), "mean", "std", F.lit(threshold).alias("threshold"))
     counted = cells(df, columns).groupBy("column", "value").agg(F.count("*").alias("cnt")).join(F.broadcast(bounds), "column")
     if isolation:
         forest = None

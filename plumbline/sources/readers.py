@@ -61,9 +61,9 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",", schema: T.Str
     doesn't turn a column of numbers into text. The pass that looks for line breaks in cells tests the types as well, which
     holds if there are none; else another pass does."""
     how = {"sep": sep, "escape": '"', **options}
-    headed = spark.read.options(**how).option("header", True)
+    headed = lambda lines: spark.read.options(**how).option("header", True).option("multiLine", lines)  # noqa: E731  (an option stays with its reader)
     if schema is None:
-        names = headed.option("multiLine", True).csv(path).columns  # reads the first record only
+        names = headed(True).csv(path).columns  # reads the first record only
         texts = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(names))])
     else:
         texts = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
@@ -81,7 +81,7 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",", schema: T.Str
     else:
         whole = spans_lines(spark, path) if multi_line is None else multi_line
     if not whole:
-        raw = headed.schema(T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, texts.fields, strict=True)])).csv(path)
+        raw = headed(False).schema(T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, texts.fields, strict=True)])).csv(path)
     else:
         held = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(texts.fields))
         raw = records_of(spark, path).select(F.from_csv("record", held, how).alias("cells")).select("cells.*").toDF(*names)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.schema import EmptyDatasetError, with_row_index
 from plumbline.operators import categorical, duplicates, frequency, inference, missing, numeric
+from plumbline.operators.rules import COUNTRIES, COUNTRY_ALIASES, NOT_COUNTRIES
 from plumbline.plans.reports import REPORTS, diagnose, full_analysis
 
 QUICK = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -173,3 +175,25 @@ def test_id_columns_by_the_first_filled_cells_of_one_scan(spark, order):
     assert plan.count("MapInArrow") == 1
     back = df.repartition(3).select("n", "late")
     assert [r.at for r in inference.first_filled(back, ["late"], "n", 3).orderBy("at").collect()] == [40, 41, 42]
+
+
+def test_places_hold_or_are_held_by_names(spark):
+    rng = random.Random(2)
+    names = [*COUNTRIES, *COUNTRY_ALIASES]
+    texts = [None, "", "x", "test", *names[:40]]
+    for c in rng.choices(names, k=300):
+        i, j = sorted(rng.sample(range(len(c) + 1), 2)) if len(c) > 1 else (0, 1)
+        texts += [c[i:j].upper(), " " + c + "x" * rng.randint(0, 2 * len(c)), "é" * rng.randint(0, 4) + c[i:j] + "!"]
+    texts += ["france and germany and spain and italy", "a" * 5000]
+
+    def verdict(text):
+        low = text.lower().strip()
+        if low in names:
+            return "ok"
+        if low in NOT_COUNTRIES or len(low) < 2:
+            return "obvious"
+        return "ok" if any((c in low or low in c) and 2 * len(c) >= len(low) and len(c) <= 2 * len(low) for c in names) else "unknown"
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", categorical.country_verdict(F.col("t")).alias("v")).collect()
+    assert all(r.v == verdict(r.t) for r in got if r.t is not None) and {r.v for r in got if r.t} == {"ok", "obvious", "unknown"}
