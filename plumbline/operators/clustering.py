@@ -5,52 +5,15 @@ from __future__ import annotations
 import json
 import time
 
-from pyspark.ml.feature import PCA, PCAModel, StandardScaler, StandardScalerModel, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.schema import feature_columns, quoted, stored
+from plumbline.functions.schema import feature_columns, stored
 
+from .autoencoder import Autoencoder
 from .dbscan import dbscan
 from .forest import IsolationForest
-
-
-class Reconstruction:
-    """A fitted scaler and principal components; what a run saves to score other rows by."""
-
-    def __init__(self, scaler: StandardScalerModel, model: PCAModel, features: list[str]):
-        self.scaler, self.model, self.features = scaler, model, features
-
-    @staticmethod
-    def _wide(df: DataFrame, features: list[str], id_col: str | None) -> DataFrame:
-        kept = [] if id_col is None else [F.col(id_col)]
-        return VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="skip").transform(df.select(*kept, *[quoted(f).cast("double").alias(f) for f in features]))
-
-    @classmethod
-    def fit(cls, df: DataFrame, features: list[str], kept: int | None = None) -> Reconstruction:
-        wide = cls._wide(df, features, None)
-        scaler = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True).fit(wide)
-        kept = kept or max(1, min(10, len(features) - 1))
-        return cls(scaler, PCA(k=kept, inputCol="scaled", outputCol="latent").fit(scaler.transform(wide)), features)
-
-    def errors(self, df: DataFrame, id_col: str) -> DataFrame:
-        """id_col, reconstruction_error (mean squared difference of the scaled features to the point rebuilt from the
-        components), and the latent features, for rows that have all features."""
-        ways = self.model.pc.toArray()  # features by components
-        kept = range(ways.shape[1])
-        out = self.model.transform(self.scaler.transform(self._wide(df, self.features, id_col))).select(id_col, vector_to_array("scaled").alias("x"), vector_to_array("latent").alias("z"))
-        rebuilt = F.array(*[sum((F.get("z", F.lit(j)) * float(ways[i, j]) for j in kept), F.lit(0.0)) for i in range(len(self.features))])
-        error = F.aggregate(F.zip_with("x", rebuilt, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v) / len(self.features)
-        return out.select(id_col, error.alias("reconstruction_error"), *[F.get("z", F.lit(j)).alias(f"latent{j}") for j in kept])
-
-    def save(self, folder: str) -> None:
-        self.scaler.write().overwrite().save(f"{folder}/scaler")
-        self.model.write().overwrite().save(f"{folder}/components")
-
-    @classmethod
-    def load(cls, folder: str, features: list[str]) -> Reconstruction:
-        return cls(StandardScalerModel.load(f"{folder}/scaler"), PCAModel.load(f"{folder}/components"), features)
+from .reconstruction import Reconstruction
 
 
 def is_outlier(label: Column, score: Column) -> Column:
@@ -60,13 +23,13 @@ def is_outlier(label: Column, score: Column) -> Column:
 
 def outlier_pipeline(
     df: DataFrame, *, id_col: str, features: list[str] | None = None, eps: float = 0.5, min_samples: int = 5, trees: int = 100, tree_size: int = 256, seed: int = 42,
-    fitted: Reconstruction | None = None, forest: IsolationForest | None = None,
+    fitted: Reconstruction | Autoencoder | None = None, forest: IsolationForest | None = None,
 ) -> tuple[DataFrame, dict]:
     """original_index, is_outlier, if_score, final_cluster_label, reconstruction_error for each row with all
-    features, and the run's record, which holds what was fitted (``fitted``: scaler and components, ``forest``). The score is
+    features, and the run's record, which holds what was fitted (``fitted``: scaler and components, or network; ``forest``). The score is
     0.5 less the anomaly under an isolation forest over the latent features, grown on all rows: negative for what is
     easier to isolate than most; noise has -1. ``fitted`` and ``forest``: those of another run instead
-    of this table's own."""
+    of this table's own, or an ``Autoencoder`` in place of the components."""
     began = time.time()
     features = features or feature_columns(df)
     fitted = fitted or Reconstruction.fit(df, features)
@@ -84,22 +47,23 @@ def outlier_pipeline(
 
 def save_run(rows: DataFrame, record: dict, folder: str) -> None:
     """A run's artifacts under ``folder``: the labelled rows as Parquet, the record as one JSON line, and scaler, components
-    and forest, which ``load_run`` reads back."""
+    (or network) and forest, which ``load_run`` reads back."""
     folder = folder.rstrip("/")
     rows.write.mode("overwrite").parquet(f"{folder}/cluster_labels.parquet")
     told = {k: v for k, v in record.items() if k not in ("fitted", "forest")}
     if record.get("fitted") is not None:
         record["fitted"].save(folder)
         record["forest"].save(rows.sparkSession, folder)
-        told.update(features=record["fitted"].features, latent=record["forest"].features)
+        told.update(features=record["fitted"].features, latent=record["forest"].features, rebuilt_by=type(record["fitted"]).__name__)
     one = rows.sparkSession.createDataFrame([(json.dumps(told, sort_keys=True),)], "value string")
     one.coalesce(1).write.mode("overwrite").text(f"{folder}/run_summary")
 
 
 def load_run(spark: SparkSession, folder: str) -> dict:
-    """The record of a saved run, with its scaler, components and forest."""
+    """The record of a saved run, with its scaler, components (or network) and forest."""
     folder = folder.rstrip("/")
     record = json.loads(spark.read.text(f"{folder}/run_summary").first().value)
     if "features" in record:
-        record.update(fitted=Reconstruction.load(folder, record["features"]), forest=IsolationForest.load(spark, folder, record["latent"]))
+        kind = Autoencoder if record.get("rebuilt_by") == "Autoencoder" else Reconstruction
+        record.update(fitted=kind.load(folder, record["features"]), forest=IsolationForest.load(spark, folder, record["latent"]))
     return record

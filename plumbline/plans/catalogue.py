@@ -638,6 +638,16 @@ def _(spark, sf):
     return rounded(found)
 
 
+@query("autoencoder_error")
+def _(spark, sf):
+    text, words = F.coalesce("text", F.lit("")), F.split(F.coalesce("text", F.lit("")), r"[\s]+")
+    kinds = {"chars": F.length(text), "words": F.size(words), "different": F.size(F.array_distinct(words)), "lines": F.size(F.split(text, "\n")), "digits": F.length(F.regexp_replace(text, r"[^0-9]", "")), "capitals": F.length(F.regexp_replace(text, r"[^A-Z]", ""))}
+    shape = read(spark, sf, "documents").select("doc_id", *[F.log1p(v.cast("double")).alias(c) for c, v in kinds.items()])
+    network, linear = clustering.Autoencoder.fit(shape, list(kinds), 2), clustering.Reconstruction.fit(shape, list(kinds), 2)
+    both = network.errors(shape, "doc_id").select("doc_id", "reconstruction_error").join(linear.errors(shape, "doc_id").select("doc_id", F.col("reconstruction_error").alias("components_error")), "doc_id")
+    return rounded(both)
+
+
 # ---- sources
 
 
