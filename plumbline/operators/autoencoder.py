@@ -170,14 +170,15 @@ class Autoencoder:
         steps that lower the loss, so it never rebuilds the table worse than they do. A round is one pass over the table, or two where the whole
         step along its direction is too long; at most ``rounds`` are made, and they end once five together gain less than ``settled`` of the loss. Reruns with one seed agree, whatever
         the partitions, but for the rounding of the scaler's and the components' own sums. A table without such rows is a ValueError."""
-        whole = df.filter(cls._whole(df, features))
-        if whole.isEmpty():
+        whole = stored(df.filter(cls._whole(df, features)).select(*[quoted(c).cast("double").alias(c) for c in features]))  # read by several passes
+        total = float(whole.count())
+        if not total:
             raise ValueError("no row has all features")
         base = Reconstruction.fit(whole, features, kept)
         mean, std, ways = base.scaler.mean.toArray(), base.scaler.std.toArray(), base.model.pc.toArray()
         d, k = ways.shape
-        blocks = cls.blocks(df, features)
-        count, total = blocks.count(), float(whole.count())
+        blocks = cls.blocks(whole, features)
+        count = blocks.count()
         rng = np.random.default_rng(seed)
         start = parted(np.zeros(sum(math.prod(s) for s in shapes(d, k, hidden).values())), d, k, hidden)
         start.update(into=ways, out=ways.T, in_hidden=rng.normal(0, 1 / math.sqrt(d), (d, hidden)), in_shift=rng.normal(0, 0.5, hidden), out_hidden=rng.normal(0, 1 / math.sqrt(k), (k, hidden)), out_shift=rng.normal(0, 0.5, hidden))

@@ -194,6 +194,29 @@ def structure(df: DataFrame) -> DataFrame:
     return row.select("n", F.inline(cells)).select("ordinal", "name", "dtype", "non_null_count", percent(F.col("n") - F.col("non_null_count"), F.col("n")).alias("null_pct"))
 
 
+#: Bytes of a filled cell of each type of fixed width.
+WIDTHS = {T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.FloatType: 4, T.DateType: 4, T.LongType: 8, T.DoubleType: 8, T.TimestampType: 8, T.TimestampNTZType: 8}
+
+
+def structure_size(df: DataFrame) -> DataFrame:
+    """ordinal, name, bytes: what the filled cells of each column hold: numbers, dates and booleans their width, decimals 8 up to 18
+    digits and 16 beyond, texts and binary their octets, all else the octets of its JSON form. An empty table: 0."""
+    sizes = []
+    for f in df.schema.fields:
+        c, kind = quoted(f.name), f.dataType
+        if isinstance(kind, T.NullType):
+            size = F.lit(None)
+        elif isinstance(kind, (T.StringType, T.BinaryType)):
+            size = F.octet_length(c)
+        elif isinstance(kind, T.DecimalType) or type(kind) in WIDTHS:
+            size = F.when(c.isNotNull(), F.lit((8 if kind.precision <= 18 else 16) if isinstance(kind, T.DecimalType) else WIDTHS[type(kind)]))
+        else:
+            size = F.when(c.isNotNull(), F.octet_length(F.to_json(F.struct(c.alias("v")))) - len('{"v":}'))
+        sizes.append(F.coalesce(F.sum(size.cast("long")), F.lit(0)).cast("long").alias(f"b{len(sizes)}"))
+    cells = F.array(*[F.struct(F.lit(k).alias("ordinal"), F.lit(f.name).alias("name"), F.col(f"b{k}").alias("bytes")) for k, f in enumerate(df.schema.fields)])
+    return df.agg(*sizes).select(F.inline(cells))
+
+
 def dataset_summary(df: DataFrame) -> DataFrame:
     """metric, value: rows, columns, numeric and categorical columns, missing cells, duplicate rows, and their shares."""
     missing = F.lit(0)

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.schema import quoted, shared_folder, with_row_index
+from plumbline.functions.schema import quoted, shared_folder, stored, with_row_index
 from plumbline.functions.text import NULL_TOKENS
 from plumbline.operators import categorical, clustering, duplicates, frequency, inference, missing, numeric, outliers, sampling, sketches
 from plumbline.sources.catalog import Catalog
@@ -551,6 +551,11 @@ def _(spark, sf):
     return numeric.structure(labelled(spark, sf))
 
 
+@query("structure_size", f"WITH {LABELLED_SQL} " + " UNION ALL ".join(f"SELECT {k} AS ordinal, '{c}' AS name, coalesce(sum({size}), 0)::BIGINT AS bytes FROM labelled" for k, (c, size) in enumerate([(c, {"lang": "octet_length(encode(lang))", "source": "octet_length(encode(source))"}.get(c, f"CASE WHEN {c} IS NOT NULL THEN {w} END")) for c, w in (("doc_id", 8), ("lang", 0), ("source", 0), ("n_chars", 8), ("quality", 4), ("toxic", 4))])))
+def _(spark, sf):
+    return numeric.structure_size(labelled(spark, sf))
+
+
 @query("dataset_summary", f"""WITH {LABELLED_SQL}, t AS (SELECT lang, source, quality FROM labelled), s AS (SELECT count(*)::DOUBLE AS n, (count(*) - count(quality))::DOUBLE AS m, (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM t)))::DOUBLE AS d FROM t)
 SELECT 'Total Rows' AS metric, n AS value FROM s UNION ALL SELECT 'Total Columns', 3 UNION ALL SELECT 'Numeric Columns', 1 UNION ALL SELECT 'Categorical Columns', 2 UNION ALL SELECT 'Missing Values', m FROM s UNION ALL SELECT 'Missing %', round(m / (3 * n) * 100, 2) FROM s UNION ALL SELECT 'Duplicate Rows', d FROM s UNION ALL SELECT 'Duplicate %', round(d / n * 100, 2) FROM s""")
 def _(spark, sf):
@@ -641,8 +646,8 @@ def _(spark, sf):
 @query("autoencoder_error")
 def _(spark, sf):
     text, words = F.coalesce("text", F.lit("")), F.split(F.coalesce("text", F.lit("")), r"[\s]+")
-    kinds = {"chars": F.length(text), "words": F.size(words), "different": F.size(F.array_distinct(words)), "lines": F.size(F.split(text, "\n")), "digits": F.length(F.regexp_replace(text, r"[^0-9]", "")), "capitals": F.length(F.regexp_replace(text, r"[^A-Z]", ""))}
-    shape = read(spark, sf, "documents").select("doc_id", *[F.log1p(v.cast("double")).alias(c) for c, v in kinds.items()])
+    kinds = {"chars": F.length(text), "words": F.size(words), "different": F.size(F.array_distinct(words)), "lines": F.size(F.split(text, "\n")), "digits": F.length(text) - F.length(F.translate(text, "0123456789", "")), "capitals": F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))}
+    shape = stored(read(spark, sf, "documents").select("doc_id", *[F.log1p(v.cast("double")).alias(c) for c, v in kinds.items()]))
     network, linear = clustering.Autoencoder.fit(shape, list(kinds), 2), clustering.Reconstruction.fit(shape, list(kinds), 2)
     both = network.errors(shape, "doc_id").select("doc_id", "reconstruction_error").join(linear.errors(shape, "doc_id").select("doc_id", F.col("reconstruction_error").alias("components_error")), "doc_id")
     return rounded(both)

@@ -39,7 +39,7 @@ def _outliers(df: DataFrame) -> Report:
 
 
 def _structure(df: DataFrame) -> Report:
-    return {"columns": numeric.structure(df)}
+    return {"columns": numeric.structure(df), "sizes": numeric.structure_size(df)}
 
 
 def _distribution(df: DataFrame) -> Report:

@@ -197,3 +197,11 @@ def test_places_hold_or_are_held_by_names(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = df.select("t", categorical.country_verdict(F.col("t")).alias("v")).collect()
     assert all(r.v == verdict(r.t) for r in got if r.t is not None) and {r.v for r in got if r.t} == {"ok", "obvious", "unknown"}
+
+
+def test_bytes_of_columns(spark):
+    rows = [(1, "é", b"abc", 1.5, [1, 2], True), (None, "", None, None, None, None), (3, None, b"", 2.0, [], False)]
+    df = spark.createDataFrame(rows, "`a.b` int, name string, raw binary, bytes double, list array<int>, flag boolean").withColumn("d", F.lit("1.5").cast("decimal(20,2)")).withColumn("void", F.lit(None))
+    got = {r.name: r.bytes for r in numeric.structure_size(df).collect()}
+    assert got == {"a.b": 8, "name": 2, "raw": 3, "bytes": 16, "list": len("[1,2]") + len("[]"), "flag": 2, "d": 48, "void": 0}
+    assert {r.bytes for r in numeric.structure_size(df.filter("false")).collect()} == {0}
